@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, mixing, warc
+from . import decontam, jaccard, lines, mixing, toxicity, warc
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = table(spark, sf_dir, "labels").filter(~toxicity.fold())
+    out = toxicity.score_toxicity(docs, toxicity.train(docs, known))
+    return out.select("doc_id", toxicity.fold().alias("held_out"), "score", "predicted")
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_ids(table(spark, sf_dir, "documents"))
 
@@ -32,7 +44,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_mix_sources, op6_line_dedup, op9_decontamination, op10_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op3_jaccard_join, op4_mix_sources, op6_line_dedup, op9_decontamination, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
