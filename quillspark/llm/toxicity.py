@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> dict:
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # ids and labels alone; `most` bounds what is broadcast
     picked = docs.select("doc_id", text_bytes().alias("t")).join(F.broadcast(ids), "doc_id")
     sample = picked.select("doc_id", F.col("y").cast("double"), "t").mapInArrow(_sampled_terms, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("y", T.DoubleType()), T.StructField("terms", T.BinaryType())]))
-    found = sample.groupBy(F.lit(1)).applyInPandas(_fit_group, "bias double, terms binary, w binary, v binary").collect()
+    found = sample.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(_fit_group, "bias double, terms binary, w binary, v binary").collect()
     if not found:
         return {"bias": 0.0, "terms": np.zeros(0, np.uint32), "w": np.zeros(0), "v": np.zeros((0, FACTORS))}
     row = found[0]
