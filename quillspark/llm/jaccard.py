@@ -91,7 +91,15 @@ def _fingerprint(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
-SCAN = "kind int, doc_id long, n long, print binary, number long, counts binary"
+BINS = 64
+
+
+def histogram(own: np.ndarray) -> bytes:
+    """A set's shingles by 6 bits of their hashes: two sets share no more than the sum of the smaller counts."""
+    return np.minimum(np.bincount((own & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 2**32 - 1).astype(np.uint32).tobytes()
+
+
+SCAN = "kind int, doc_id long, n long, print binary, bins binary, number long, counts binary"
 
 
 def _scan(width: int):
@@ -99,23 +107,24 @@ def _scan(width: int):
 
     def rows(kind: int, **cols) -> pa.RecordBatch:
         size = len(next(iter(cols.values())))
-        kinds = {"doc_id": pa.int64(), "n": pa.int64(), "print": pa.binary(), "number": pa.int64(), "counts": pa.binary()}
+        kinds = {"doc_id": pa.int64(), "n": pa.int64(), "print": pa.binary(), "bins": pa.binary(), "number": pa.int64(), "counts": pa.binary()}
         arrays = [pa.array(np.full(size, kind, np.int32))] + [cols[c] if c in cols else pa.nulls(size, t) for c, t in kinds.items()]
         return pa.RecordBatch.from_arrays(arrays, names=["kind", *kinds])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts, seen = WordHash(), np.zeros(1 << SKETCH_BITS, np.int64), False
         for batch in batches:
-            n, prints, every = [], [], []
+            n, prints, bins, every = [], [], [], []
             for t in batch.column(1):
                 own = shingles(t.as_py(), width, hashes)
                 n.append(len(own))
                 prints.append(_fingerprint(own))
+                bins.append(histogram(own))
                 every.append(own)
             flat = np.concatenate(every) if every else np.zeros(0, np.uint64)
             counts += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
             seen = seen or len(flat) > 0
-            yield rows(0, doc_id=batch.column(0), n=pa.array(n, pa.int64()), print=pa.array(prints, pa.binary()))
+            yield rows(0, doc_id=batch.column(0), n=pa.array(n, pa.int64()), print=pa.array(prints, pa.binary()), bins=pa.array(bins, pa.binary()))
             few = flat[flat < SAMPLE].astype(np.int64)
             if len(few):
                 yield rows(2, number=pa.array(few))
@@ -226,7 +235,11 @@ def _stars(percent: int):
     return sweep
 
 
-def list_pairs(fp: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+def _bins(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, BINS).astype(np.int64)
+
+
+def list_pairs(fp: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, bins: np.ndarray, percent: int) -> Iterator[np.ndarray]:
     """Pairs of a list's classes (sorted by size) in different components that can still link."""
     roots, at = np.unique(root, return_inverse=True)
     if len(roots) < 2:
@@ -238,8 +251,9 @@ def list_pairs(fp: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarra
         # from this shingle on, no more can be common than either has left
         need = -(-percent * (n[lo:hi] + n[i]) // (100 + percent))
         left = np.minimum(n[lo:hi] - np.maximum(place[lo:hi], 0), n[i] - max(place[i], 0))
-        hit = (at[lo:hi] != at[i]) & (left >= need) & ((at[lo:hi] == most) | (np.arange(lo, hi) < i))
-        if hit.any():
+        hit = np.flatnonzero((at[lo:hi] != at[i]) & (left >= need) & ((at[lo:hi] == most) | (np.arange(lo, hi) < i)))
+        hit = hit[np.minimum(bins[lo:hi][hit], bins[i]).sum(1) >= need[hit]]
+        if len(hit):
             other = fp[lo:hi][hit]
             yield np.stack([np.maximum(other, fp[i]), np.minimum(other, fp[i])], 1)
 
@@ -248,15 +262,17 @@ def _pairs(percent: int):
     """Lists come sorted by key and n; what of a list can meet entries of the next batch is held over."""
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, held_bins = np.zeros((5, 0), np.int64), np.zeros((0, BINS), np.int64)
         for batch in batches:
-            cols = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            if held is not None:
-                cols = np.concatenate([held, cols], 1)
+            if not batch.num_rows:
+                continue
+            cols = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:5]])
+            cols, bins = np.concatenate([held, cols], 1), np.concatenate([held_bins, _bins(batch.column(5))])
             edges = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1], True])
-            found = [x for s, e in zip(edges[:-1], edges[1:], strict=True) for x in list_pairs(*cols[1:, s:e], percent)]
-            held = cols[:, edges[-2] :]
-            held = held[:, held[2] * 100 >= held[2][-1] * percent]
+            found = [x for s, e in zip(edges[:-1], edges[1:], strict=True) for x in list_pairs(*cols[1:, s:e], bins[s:e], percent)]
+            held, held_bins = cols[:, edges[-2] :], bins[edges[-2] :]
+            reach = held[2] * 100 >= held[2][-1] * percent
+            held, held_bins = held[:, reach], held_bins[reach]
             if found:
                 every = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["a", "b"])
@@ -264,6 +280,19 @@ def _pairs(percent: int):
     return sweep
 
 
+def _plausible(percent: int):
+    """Pairs whose histograms allow a link."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = _bins(batch.column(2)), _bins(batch.column(3))
+                need = -(-percent * (a.sum(1) + b.sum(1)) // (100 + percent))
+                yield batch.select([0, 1]).filter(pa.array(np.minimum(a, b).sum(1) >= need))
+
+    return keep
+
+
 def _wanted(shared, bits: int):
     """Keeps documents whose id may be among the wanted."""
 
@@ -400,8 +429,8 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     counts, each = bytearray(4 << SKETCH_BITS), (4 << SKETCH_BITS) // SLICES
     for row in summed.toLocalIterator():  # 4 bytes for each of the sketch's cells, whatever the input
         counts[row["number"] * each : (row["number"] + 1) * each] = row["counts"]
-    members = scan.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "print")
-    classes = members.filter("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"))
+    members = scan.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "print", "bins")
+    classes = members.filter("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("bins").alias("bins"))
     classes = stage(classes.withColumn("fp", F.conv(F.hex(F.substring("print", 1, 8)), 16, -10).cast("long")), "jaccard_classes")
     sizes = {r["n"]: r["k"] for r in classes.filter(F.col("n") <= 2 * LARGEST_SMALL).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
     lists = scan.filter("kind = 2").groupBy("number").agg(F.count(F.lit(1)).cast("double").alias("k")).agg(F.sum(F.col("k") * F.col("k")) / F.sum("k")).first()[0]
@@ -412,21 +441,21 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     swept = posts.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(_stars(percent), "kind int, a long, b long, n int, place int")
     swept = stage(swept, "jaccard_lists")
 
-    ids = classes.filter(F.col("class_id").isNotNull()).select("fp", "class_id")
-    x, y = ids.toDF("_fa", "_a"), ids.toDF("_fb", "_b")
-
-    def by_id(pairs: DataFrame) -> DataFrame:
-        named = pairs.join(x, pairs["a"] == x["_fa"]).join(y, pairs["b"] == y["_fb"])
-        return named.filter("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-
-    tried = stage(by_id(swept.filter("kind = 0").select("a", "b").distinct()), "jaccard_tried")
+    ids = classes.filter(F.col("class_id").isNotNull()).select("fp", "class_id", "bins")
+    x, y = ids.toDF("_fa", "_a", "_ba"), ids.toDF("_fb", "_b", "_bb")
+    stars = swept.filter("kind = 0").select("a", "b").distinct()
+    stars = stars.join(x, stars["a"] == x["_fa"]).join(y, stars["b"] == y["_fb"]).filter("_a <> _b")
+    tried = stage(stars.select("_a", "_b", "_ba", "_bb").mapInArrow(_plausible(percent), "_a long, _b long").toDF("a", "b"), "jaccard_tried")
     links = verified(tried, docs, width, percent)
     roots = components(links)
     z = roots.toDF("_node", "_root")
-    open_lists = swept.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"), "n", "place").distinct()
-    placed = open_lists.join(ids, "fp").join(z, F.col("class_id") == z["_node"], "left")
-    placed = placed.select("key", F.col("class_id").alias("fp"), "n", "place", F.coalesce("_root", "class_id").alias("root"))
-    left = placed.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(_pairs(percent), "a long, b long").distinct()
+    entries = swept.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"), "n", "place").distinct()
+    placed = entries.join(ids.drop("bins"), "fp").join(z, F.col("class_id") == z["_node"], "left")
+    placed = stage(placed.select("key", "class_id", "n", "place", F.coalesce("_root", "class_id").alias("root")), "jaccard_entries")
+    # lists that are one component by now are done with
+    still = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    opened = placed.join(still, "key", "left_semi").join(ids.drop("fp"), "class_id").select("key", "class_id", "n", "place", "root", "bins")
+    left = opened.repartition("key").sortWithinPartitions("key", "n", "class_id").mapInArrow(_pairs(percent), "a long, b long").distinct()
     both_ways = tried.union(tried.select("b", "a"))
     left = left.join(both_ways, ["a", "b"], "left_anti")
     more = verified(left, docs, width, percent)
@@ -434,5 +463,5 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     z = roots.toDF("_node", "_root")
     named = classes.select("print", "class_id").join(z, F.col("class_id") == z["_node"], "left").select("print", "class_id", F.coalesce("_root", "class_id").alias("component_id"))
     own = F.col("n_shingles") > 0
-    out = members.join(named, "print", "left")
+    out = members.drop("bins").join(named, "print", "left")
     return out.select("doc_id", "n_shingles", F.when(own, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
