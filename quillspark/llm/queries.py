@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, lines, mixing, toxicity, warc
+from . import ann, decontam, jaccard, lines, mixing, toxicity, urls, warc
 from .common import table
 
 
@@ -30,6 +30,16 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
+    return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest_neighbours(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -44,8 +54,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_jaccard_join, op4_mix_sources, op6_line_dedup, op9_decontamination, op10_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op3_jaccard_join, op4_mix_sources, op6_line_dedup, op7_url_filter, op8_nearest, op9_decontamination, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.SQL, "op6_line_dedup": lines.SQL, "op9_decontamination": decontam.SQL, "op10_warc": warc.SQL.replace("AS refers_to", "AS refers_to, true AS verified")}
+    return {"op4_mix_sources": mixing.SQL, "op6_line_dedup": lines.SQL, "op7_url_filter": urls.SQL, "op9_decontamination": decontam.SQL, "op10_warc": warc.SQL.replace("AS refers_to", "AS refers_to, true AS verified")}
