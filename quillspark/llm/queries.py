@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, jaccard, lines, mixing, secrets, toxicity, urls, warc
+from . import ann, decontam, jaccard, lines, maskedlm, mixing, secrets, toxicity, urls, warc
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.fold().alias("held_out"), "score", "predicted")
 
 
+def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return maskedlm.score_documents(docs, maskedlm.train(docs)).drop("text")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
     return out.select("doc_id", "n_shingles", "component_id", "class_id")
@@ -60,7 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_jaccard_join, op4_mix_sources, op5_secret_scan, op6_line_dedup, op7_url_filter, op8_nearest, op9_decontamination, op10_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_masked_lm, op3_jaccard_join, op4_mix_sources, op5_secret_scan, op6_line_dedup, op7_url_filter, op8_nearest, op9_decontamination, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
