@@ -4,8 +4,8 @@ Two sets of a and b shingles link when they share c(a, b) of them at least. A sm
 of its subsets of the sizes c that partners ask for; a large set emits its rarest shingles, enough that linked
 sets share one, whose inverted lists are then scanned. The boundary between small and large is the cheaper one
 by the measured sizes and list lengths. Sets that are equal are one class from the start. The lists first give
-each class a link to the list's smallest one; where those links don't yet make a list's classes one component,
-all remaining pairs of different components are verified. So large groups of near copies cost a few pairs
+each class a link to the list's smallest one, then to a neighbour in another component; where those links don't
+yet make a list's classes one component, all remaining pairs of different components are verified. So large groups of near copies cost a few pairs
 for each member, and no link between different components is lost.
 """
 
@@ -91,12 +91,13 @@ def _fingerprint(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
-BINS = 64
+#: Counts from FULL on stand for any number.
+BINS, FULL = 128, 65535
 
 
 def histogram(own: np.ndarray) -> bytes:
-    """A set's shingles by 6 bits of their hashes: two sets share no more than the sum of the smaller counts."""
-    return np.minimum(np.bincount((own & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 2**32 - 1).astype(np.uint32).tobytes()
+    """A set's shingles by 7 bits of their hashes: two sets share no more than the sum of the smaller counts."""
+    return np.minimum(np.bincount((own & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), FULL).astype(np.uint16).tobytes()
 
 
 SCAN = "kind int, doc_id long, n long, print binary, bins binary, number long, counts binary"
@@ -236,7 +237,9 @@ def _stars(percent: int):
 
 
 def _bins(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, BINS).astype(np.int64)
+    counts = np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int64)
+    counts[counts == FULL] = 1 << 40
+    return counts
 
 
 def list_pairs(fp: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, bins: np.ndarray, percent: int) -> Iterator[np.ndarray]:
@@ -258,6 +261,30 @@ def list_pairs(fp: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarra
             yield np.stack([np.maximum(other, fp[i]), np.minimum(other, fp[i])], 1)
 
 
+def _some_pairs(percent: int, seed: int):
+    """Of each list, neighbours in an order by hash that are in different components and can link.
+
+    They bring large groups together with a few pairs for each member; what they leave is for ``_pairs``.
+    """
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows < 2:
+                continue
+            key, fp, n, _, root = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:5])
+            order = np.lexsort((_mix(key.view(np.uint64) ^ (fp.view(np.uint64) * ODD) + np.uint64(seed)), key))
+            a, b = order[:-1], order[1:]
+            need = -(-percent * (n[a] + n[b]) // (100 + percent))
+            hit = np.flatnonzero((key[a] == key[b]) & (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= need))
+            if len(hit):
+                a, b, bins = a[hit], b[hit], _bins(batch.column(5))
+                likely = np.minimum(bins[a], bins[b]).sum(1) >= need[hit]
+                pairs = np.unique(np.stack([np.maximum(fp[a], fp[b])[likely], np.minimum(fp[a], fp[b])[likely]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return sweep
+
+
 def _pairs(percent: int):
     """Lists come sorted by key and n; what of a list can meet entries of the next batch is held over."""
 
@@ -287,7 +314,7 @@ def _plausible(percent: int):
         for batch in batches:
             if batch.num_rows:
                 a, b = _bins(batch.column(2)), _bins(batch.column(3))
-                need = -(-percent * (a.sum(1) + b.sum(1)) // (100 + percent))
+                need = -(-percent * (batch.column(4).to_numpy() + batch.column(5).to_numpy()) // (100 + percent))
                 yield batch.select([0, 1]).filter(pa.array(np.minimum(a, b).sum(1) >= need))
 
     return keep
@@ -441,25 +468,30 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     swept = posts.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(_stars(percent), "kind int, a long, b long, n int, place int")
     swept = stage(swept, "jaccard_lists")
 
-    ids = classes.filter(F.col("class_id").isNotNull()).select("fp", "class_id", "bins")
-    x, y = ids.toDF("_fa", "_a", "_ba"), ids.toDF("_fb", "_b", "_bb")
+    ids = classes.filter(F.col("class_id").isNotNull()).select("fp", "class_id", "bins", F.col("n").alias("size"))
+    x, y = ids.toDF("_fa", "_a", "_ba", "_na"), ids.toDF("_fb", "_b", "_bb", "_nb")
     stars = swept.filter("kind = 0").select("a", "b").distinct()
     stars = stars.join(x, stars["a"] == x["_fa"]).join(y, stars["b"] == y["_fb"]).filter("_a <> _b")
-    tried = stage(stars.select("_a", "_b", "_ba", "_bb").mapInArrow(_plausible(percent), "_a long, _b long").toDF("a", "b"), "jaccard_tried")
+    tried = stage(stars.select("_a", "_b", "_ba", "_bb", "_na", "_nb").mapInArrow(_plausible(percent), "_a long, _b long").toDF("a", "b"), "jaccard_tried")
     links = verified(tried, docs, width, percent)
     roots = components(links)
-    z = roots.toDF("_node", "_root")
     entries = swept.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"), "n", "place").distinct()
-    placed = entries.join(ids.drop("bins"), "fp").join(z, F.col("class_id") == z["_node"], "left")
-    placed = stage(placed.select("key", "class_id", "n", "place", F.coalesce("_root", "class_id").alias("root")), "jaccard_entries")
-    # lists that are one component by now are done with
-    still = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    opened = placed.join(still, "key", "left_semi").join(ids.drop("fp"), "class_id").select("key", "class_id", "n", "place", "root", "bins")
-    left = opened.repartition("key").sortWithinPartitions("key", "n", "class_id").mapInArrow(_pairs(percent), "a long, b long").distinct()
-    both_ways = tried.union(tried.select("b", "a"))
-    left = left.join(both_ways, ["a", "b"], "left_anti")
-    more = verified(left, docs, width, percent)
-    roots = components(links.union(more)) if not more.isEmpty() else roots
+    entries = entries.join(ids.drop("bins"), "fp").select("key", "class_id", "n", "place")
+    for sweep in (_some_pairs(percent, 1), _some_pairs(percent, 2), _pairs(percent)):
+        z = roots.toDF("_node", "_root")
+        placed = entries.join(z, F.col("class_id") == z["_node"], "left")
+        placed = stage(placed.select("key", "class_id", "n", "place", F.coalesce("_root", "class_id").alias("root")), "jaccard_entries")
+        # lists that are one component by now are done with
+        still = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+        opened = stage(placed.join(still, "key", "left_semi"), "jaccard_open")
+        entries = opened.drop("root")
+        held = opened.join(ids.drop("fp"), "class_id").select("key", "class_id", "n", "place", "root", "bins")
+        left = held.repartition("key").sortWithinPartitions("key", "n", "class_id").mapInArrow(sweep, "a long, b long").distinct()
+        left = stage(left.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"), "jaccard_left")
+        if not left.isEmpty():
+            tried = stage(tried.union(left), "jaccard_tried")
+            links = stage(links.union(verified(left, docs, width, percent)), "jaccard_all_links")
+            roots = components(links)
     z = roots.toDF("_node", "_root")
     named = classes.select("print", "class_id").join(z, F.col("class_id") == z["_node"], "left").select("print", "class_id", F.coalesce("_root", "class_id").alias("component_id"))
     own = F.col("n_shingles") > 0
