@@ -6,11 +6,12 @@ from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT = datetime(2024, 1, 1)
 
 
-@F.pandas_udf("timestamp")
+@F.pandas_udf(T.TimestampType())
 def parse_date(text: pd.Series) -> pd.Series:
     from dateutil import parser
 

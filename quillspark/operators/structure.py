@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-IN_ORDER = Window.partitionBy("doc_id").orderBy("block_index")
+def in_order():
+    return Window.partitionBy("doc_id").orderBy("block_index")
+
 
 
 def flow_positions(blocks: DataFrame) -> DataFrame:
     """With flow_pos: the place of a block in its document, from 0."""
-    return blocks.withColumn("flow_pos", (F.row_number().over(IN_ORDER) - 1).cast("long"))
+    return blocks.withColumn("flow_pos", (F.row_number().over(in_order()) - 1).cast("long"))
 
 
 def with_section(blocks: DataFrame) -> DataFrame:
     """With section: block_index of the nearest heading at or before (a backward as-of join as one window)."""
     heads = F.when(F.col("level").isNotNull(), F.col("block_index"))
-    return blocks.withColumn("section", F.last(heads, ignorenulls=True).over(IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    return blocks.withColumn("section", F.last(heads, ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def heading_ranges(blocks: DataFrame, deepest: int = 9) -> DataFrame:
@@ -24,7 +26,7 @@ def heading_ranges(blocks: DataFrame, deepest: int = 9) -> DataFrame:
 
     For each level a window carries the next heading of that level or above backwards; no self-join.
     """
-    after = IN_ORDER.rowsBetween(1, Window.unboundedFollowing)
+    after = in_order().rowsBetween(1, Window.unboundedFollowing)
     heads = blocks.filter("level is not null").select("doc_id", "block_index", "level")
     nexts = [F.min(F.when(F.col("level") <= n, F.col("block_index"))).over(after) for n in range(1, deepest + 1)]
     pick = F.element_at(F.array(*nexts), F.greatest(F.least(F.col("level"), F.lit(deepest)), F.lit(1)).cast("int"))
@@ -45,7 +47,7 @@ def nearest_within(blocks: DataFrame, anchor: Column, target: Column, window: in
     document, no join.
     """
     placed = flow_positions(blocks).withColumns({"_anchor": anchor, "_target": target})
-    near = F.collect_list(F.when(F.col("_target"), F.col("flow_pos"))).over(IN_ORDER.rowsBetween(-window, window))
+    near = F.collect_list(F.when(F.col("_target"), F.col("flow_pos"))).over(in_order().rowsBetween(-window, window))
     placed = placed.withColumn("_near", near).filter("_anchor")
     own = F.col("flow_pos")
     ranked = F.array_sort(F.transform("_near", lambda p: F.struct(F.abs(p - own).alias("far"), p.alias("pos"))))
