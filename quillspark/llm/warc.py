@@ -72,12 +72,14 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     refers = F.when((F.col("payload_bytes") >= min_bytes) & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner"))
     records = narrow.join(owners, "digest").select("page_id", "digest", "payload_bytes", _header(refers).cast("binary").alias("header"))
     records.write.parquet(f"{path}/records")
-    # the owner's row brings the bytes; the texts of all other rows don't move, and equal rows meet by page_id
-    keep = owners.select(F.col("owner").alias("page_id"), "digest")
-    bodies = pages.select("page_id", "payload").join(keep, "page_id")
-    bodies = bodies.filter(F.unhex(F.sha2("payload", 256)) == F.col("digest")).dropDuplicates(["page_id", "digest"]).select("digest", "payload")
+    # the owner's row brings the bytes; the texts of all other rows don't move. Join and deduplication share the
+    # columns of ``keep`` as keys, so that the bytes are dealt out once
+    keep = owners.select("owner", "digest")
+    texts = pages.select("page_id", "payload", F.unhex(F.sha2("payload", 256)).alias("_sha"))
+    bodies = texts.join(keep, (texts["page_id"] == keep["owner"]) & (texts["_sha"] == keep["digest"]))
+    bodies = bodies.select("owner", "digest", "payload").dropDuplicates(["owner", "digest"]).select("digest", "payload")
     nameless = pages.filter("page_id is null").withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    nameless = nameless.join(keep.filter("page_id is null").select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    nameless = nameless.join(keep.filter("owner is null").select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
     bodies = bodies.unionByName(nameless.select("digest", "payload"))
     bodies.write.parquet(f"{path}/payloads")
 
