@@ -11,15 +11,22 @@ from pyspark.sql import types as T
 DEFAULT = datetime(2024, 1, 1)
 
 
+def parsed(text: str | None) -> datetime | None:
+    from dateutil import parser
+
+    try:
+        found = parser.parse(text.strip(), dayfirst=True, default=DEFAULT) if text and text.strip() else None
+        return found.replace(tzinfo=None) if found else None
+    except (ValueError, OverflowError, TypeError):
+        return None
+
+
 @F.pandas_udf(T.TimestampType())
 def parse_date(text: pd.Series) -> pd.Series:
-    from dateutil import parser
+    return pd.to_datetime(text.map(parsed), errors="coerce")
 
-    def one(x):
-        try:
-            found = parser.parse(x.strip(), dayfirst=True, default=DEFAULT) if x and x.strip() else None
-            return found.replace(tzinfo=None) if found else None
-        except (ValueError, OverflowError, TypeError):
-            return None
 
-    return pd.to_datetime(text.map(one), errors="coerce")
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def parseable(found: pd.Series) -> pd.Series:
+    """Of date-like strings those that can be parsed, in order."""
+    return found.map(lambda xs: [x for x in xs if parsed(x)] if xs is not None else [])

@@ -10,7 +10,9 @@ from quillspark.functions import similarity as S
 from quillspark.functions import text as X
 from quillspark.functions import vector as V
 from quillspark.operators import chunks, search, structure
-from quillspark.sources import corpus
+from quillspark.rules import engine
+from quillspark.rules.model import Config
+from quillspark.sources import corpus, models
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -278,3 +280,38 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = rows.withColumn("text", X.squeeze(F.col("text"))).filter("text <> ''").withColumn("ord", F.row_number().over(w))
     records = clean.select("doc_id", "ord", "text", "block_index", F.format_string("Paragraph %d", "block_index").alias("location"), F.lit("paragraph").alias("kind"), "level", F.lit(None).cast("long").alias("table_index"))
     return chunks.chunk_records(records)
+
+
+@query(
+    """SELECT page_id AS doc_id, 10 AS rule_id, n > 0 AS passed, concat('Sections: ', n) AS message
+FROM (SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '(?is)<h[1-6]\\b[^>]*>\\s*[^<\\s].*?</h[1-6]>')) AS n FROM pages)"""
+)
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule 10 over all pages: is there any heading."""
+    found = engine.evaluate(models.page_model(table(spark, sf_dir, "pages")), Config(), [10])
+    return found.select("doc_id", "rule_id", "passed", "message")
+
+
+@query(
+    """WITH f AS (SELECT page_id, list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<footer\\b[^>]*>(.*?)</footer>', 1), lambda x: true) AS f FROM pages),
+t AS (SELECT page_id, list_transform(f, lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS t FROM f),
+h AS (SELECT page_id, t, len(list_filter(t, lambda x: regexp_matches(x, '\\b[A-Z]{2,}[-_/][A-Z0-9]+(?:[-_/][A-Z0-9]+)*\\b'))) > 0 AS id,
+  len(list_filter(t, lambda x: regexp_matches(lower(x), 'confidential|internal use only|proprietary|restricted'))) > 0 AS mark,
+  len(list_filter(t, lambda x: regexp_matches(x, '(?i)\\bpage\\s+\\d+\\b') OR regexp_matches(x, '(?m)^[ \\t]*[-–]?[ \\t]*\\d{1,4}[ \\t]*[-–]?[ \\t]*$'))) > 0 AS typed FROM t)
+SELECT page_id AS doc_id, 11 AS rule_id, false AS passed FROM h UNION ALL SELECT page_id, 13, id OR mark OR typed FROM h"""
+)
+def page_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules 11 and 13 over all pages: page fields and details of footers."""
+    return engine.evaluate(models.page_model(table(spark, sf_dir, "pages")), Config(), [11, 13]).select("doc_id", "rule_id", "passed")
+
+
+@query()
+def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All thirteen rules over all pages."""
+    return engine.evaluate(models.page_model(table(spark, sf_dir, "pages")))
+
+
+@query()
+def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of verdicts of all thirteen rules for every document."""
+    return engine.summary(engine.evaluate(models.text_model(table(spark, sf_dir, "documents"))))
