@@ -9,7 +9,7 @@ from quillspark.functions import readability as R
 from quillspark.functions import similarity as S
 from quillspark.functions import text as X
 from quillspark.functions import vector as V
-from quillspark.operators import chunks, search, structure
+from quillspark.operators import chunks, retrieval, search, structure
 from quillspark.rules import engine
 from quillspark.rules.model import Config
 from quillspark.sources import corpus, models
@@ -315,3 +315,11 @@ def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of verdicts of all thirteen rules for every document."""
     return engine.summary(engine.evaluate(models.text_model(table(spark, sf_dir, "documents"))))
+
+
+@query()
+def rule_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that a judge would get for each rule and conversation: top chunks by hashed embeddings."""
+    rows = document_chunks(spark, sf_dir).withColumn("source", F.col("doc_id").cast("string")).withColumn("embedding", retrieval.hashed_embedding(F.col("text")))
+    asked = retrieval.questions(spark).withColumn("embedding", retrieval.hashed_embedding(F.col("question"))).drop("question")
+    return retrieval.context(retrieval.retrieve(rows, asked), ["doc_id", "rule_id"])
