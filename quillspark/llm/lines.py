@@ -131,6 +131,19 @@ def _suspects(shared, bits: int, min_chars: int):
     return scan
 
 
+#: Keys that are broadcast at most: each holds 1 / HOT_KEYS or more of all repeats, so there can't be more of them.
+HOT_KEYS = 1000
+
+
+def with_keepers(suspects: DataFrame, found: DataFrame) -> DataFrame:
+    """``suspects`` of the keys in ``found`` (key, n, keeper); rows of hot keys stay where they are, all others meet by key."""
+    total = found.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT_KEYS >= F.lit(total)
+    hot, cool = found.filter(is_hot).select("key", "keeper"), found.filter(~is_hot).select("key", "keeper")
+    spread = suspects.join(F.broadcast(hot), "key")
+    return spread.unionByName(suspects.join(F.broadcast(hot.select("key")), "key", "left_anti").join(cool, "key"))
+
+
 def _drop(min_chars: int, columns: set[str]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,10 +176,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("key", T.BinaryType())])
     suspects = docs.select("doc_id", text_bytes().alias("t")).mapInArrow(_suspects(shared, bits, min_chars), schema)
-    suspects = stage(suspects, "line_suspects")
-    found = suspects.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
-    found = found.filter(F.col("n") >= min_docs).select("key", "keeper")
-    drops = suspects.join(found, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    suspects = stage(suspects.distinct(), "line_suspects")
+    found = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
+    found = stage(found.filter(F.col("n") >= min_docs), "line_repeats")
+    drops = with_keepers(suspects, found).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     drops = drops.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("key").alias("_drop"))
     joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_id"]), "left").drop("_id").withColumn("_bytes", text_bytes())
     gone = {"text", "_bytes", "_drop"}
