@@ -4,8 +4,8 @@ Every token is predicted from the two tokens on either side: each place of the w
 table, their sum goes through tanh, and a two-level softmax (group, then token in the group) gives the token's
 probability. A document's score is the sum of its tokens' conditional log-probabilities.
 
-The vocabulary comes from the word counts of all documents. Each round, every partition trains on masked
-positions of all its documents, from the common weights; the partitions' weights are then averaged by their
+The vocabulary comes from the word counts of all documents. Each round, every partition trains on the masked
+positions of all its documents, from the common weights, and all rounds together mask every position once; the partitions' weights are then averaged by their
 numbers of positions, slice by slice, so that neither the driver nor a task holds more than one model.
 """
 
@@ -27,8 +27,8 @@ from .common import extended, rest, text_bytes, with_columns
 #: Groups x tokens in a group; the last RARE tokens are shared by all rarer words, by their hashes. Token 0 stands beyond the ends.
 GROUPS, SIZE, RARE = 32, 64, 512
 DEPTH, SIDE, SEED = 16, 2, 3
-#: One position of so many is masked in a round; rounds; positions in a step; step size.
-MASKED, ROUNDS, STEP, RATE = 8, 2, 4096, 0.08
+#: Rounds, each with its share of the positions; positions in a step; step size.
+ROUNDS, STEP, RATE = 2, 4096, 0.08
 SLICES, CHUNK = 16, 1 << 15
 WORD = re.compile(rb"[0-9a-z_\x80-\xff]+")
 
@@ -128,13 +128,16 @@ def learn(p: dict, squares: dict, context: np.ndarray, target: np.ndarray) -> No
     back = d @ p["c"].T
     order = np.argsort(group, kind="stable")
     ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    for g in range(GROUPS):
-        own = order[ends[g] : ends[g + 1]]
-        if len(own):
-            d = _softmax(h[own] @ p["w"][g])
-            d[np.arange(len(own)), inside[own]] -= 1
-            grad["w"][g] = h[own].T @ d
-            back[own] += d @ p["w"][g].T
+    sorted_h, d, deeper = h[order], np.empty((n, SIZE), np.float32), np.empty_like(back)
+    spans = [(g, slice(ends[g], ends[g + 1])) for g in range(GROUPS) if ends[g] < ends[g + 1]]
+    for g, own in spans:
+        np.matmul(sorted_h[own], p["w"][g], out=d[own])
+    d = _softmax(d)
+    d[np.arange(n), inside[order]] -= 1
+    for g, own in spans:
+        grad["w"][g] = sorted_h[own].T @ d[own]
+        deeper[own] = d[own] @ p["w"][g].T
+    back[order] += deeper
     slope = back[:, :-1] * (1 - h[:, :-1] ** 2)
     for i in range(2 * SIDE):
         for f in range(DEPTH):
@@ -150,6 +153,19 @@ def windows(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([tokens[at + o] for o in range(-SIDE, SIDE + 1) if o], 1)
 
 
+def masked(sizes: list[int], round_: int, rounds: int) -> np.ndarray:
+    """Which words of documents of ``sizes`` words are targets in a round: every word in one round of ``rounds``.
+
+    The round comes from a hash of the place in the document and of its size, so it stays with the word however rows are dealt.
+    """
+    sizes = np.asarray(sizes, np.int64)
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    x = (place * 0x9E3779B1 + np.repeat(sizes, sizes) * 0x85EBCA6B).astype(np.uint32)
+    for shift, by in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        x = (x ^ (x >> np.uint32(shift))) * np.uint32(by)
+    return (x ^ (x >> np.uint32(16))) % np.uint32(rounds) == round_
+
+
 def _joined(texts: Iterator[bytes], numbers: Numbers) -> tuple[np.ndarray, list[int]]:
     parts, sizes = [np.zeros(SIDE, np.int64)], []
     for t in texts:
@@ -171,7 +187,7 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _train(shared, known, round_: int):
+def _train(shared, known, round_: int, rounds: int):
     """A partition's weights in slices, with the number of positions that it has seen."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,13 +197,14 @@ def _train(shared, known, round_: int):
         held_c, held_t = np.zeros((0, 2 * SIDE), np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
-                tokens, _ = _joined((t.as_py() for t in batch.column(0)[first : first + 256]), numbers)
-                at = np.flatnonzero(tokens)
-                at = at[(at * 2654435761 + round_ * 40503) % (1 << 32) % MASKED == 0]
+                tokens, sizes = _joined((t.as_py() for t in batch.column(0)[first : first + 256]), numbers)
+                at = np.flatnonzero(tokens)[masked(sizes, round_, rounds)]
                 held_c, held_t = np.concatenate([held_c, windows(tokens, at)]), np.concatenate([held_t, tokens[at]])
-                while len(held_t) >= STEP:
-                    learn(p, squares, held_c[:STEP], held_t[:STEP])
-                    held_c, held_t, seen = held_c[STEP:], held_t[STEP:], seen + STEP
+                for k in range(0, len(held_t) - STEP + 1, STEP):
+                    learn(p, squares, held_c[k : k + STEP], held_t[k : k + STEP])
+                    seen += STEP
+                left = len(held_t) // STEP * STEP
+                held_c, held_t = held_c[left:], held_t[left:]
         if len(held_t):
             learn(p, squares, held_c, held_t)
             seen += len(held_t)
@@ -221,7 +238,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[bytes], bytes]:
     known = [w for w, _ in vocabulary(docs)]
     names, weights = sc.broadcast(known), _flat(start()).astype(np.float32).tobytes()
     for r in range(rounds):
-        parts = docs.select(text_bytes().alias("t")).mapInArrow(_train(sc.broadcast(weights), names, r), "slice long, n long, weights binary")
+        parts = docs.select(text_bytes().alias("t")).mapInArrow(_train(sc.broadcast(weights), names, r, rounds), "slice long, n long, weights binary")
         merged = parts.repartition(SLICES // 4, "slice").sortWithinPartitions("slice", "n", "weights").mapInArrow(_average, "slice long, weights binary").collect()
         if merged:
             weights = b"".join(bytes(x["weights"]) for x in sorted(merged, key=lambda x: x["slice"]))

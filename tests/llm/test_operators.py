@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,22 @@ def test_lm_scores_against_plain_sums(spark):
     assert abs(got[0]["log_likelihood"] - total) < 1e-3
 
 
+def test_lm_trains_on_every_position_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(maskedlm, "learn", lambda p, squares, context, target: seen.extend(target.tolist()))
+    line = [b"w%d" % i for i in range(8)]
+    texts = [b" ".join(line * (k + 1)) for k in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["t"])
+    weights = SimpleNamespace(value=maskedlm._flat(maskedlm.start()).astype(np.float32).tobytes())
+    for rounds in (maskedlm.ROUNDS, 5):
+        seen.clear()
+        for r in range(rounds):
+            before = len(seen)
+            out = list(maskedlm._train(weights, SimpleNamespace(value=line), r, rounds)(iter([batch])))
+            assert out[0].column("n")[0].as_py() == len(seen) - before > 0
+        assert np.bincount(seen, minlength=9).tolist() == [0] + [sum(range(1, 41))] * 8
+
+
 @pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
 def test_jaccard_against_brute_force(spark, width, percent):
     rng = random.Random(width)
