@@ -2,7 +2,9 @@
 
 Every token is predicted from the two tokens on either side: each place of the window has its own embedding
 table, their sum goes through tanh, and a two-level softmax (group, then token in the group) gives the token's
-probability. A document's score is the sum of its tokens' conditional log-probabilities.
+probability. Rarer words share tokens by their hashes; such a word's probability is its token's, times its share
+of all words of that token. The shares come from the exact counts of all words, a table that grows with the
+input. A document's score is the sum of its words' conditional log-probabilities.
 
 The vocabulary comes from the word counts of all documents. Each round, every partition trains on the masked
 positions of all its documents, from the common weights, and all rounds together mask every position once; the partitions' weights are then averaged by their
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extended, rest, text_bytes, with_columns
+from .common import extended, rest, stage, text_bytes, with_columns
 
 #: Groups x tokens in a group; the last RARE tokens are shared by all rarer words, by their hashes. Token 0 stands beyond the ends.
 GROUPS, SIZE, RARE = 32, 64, 512
@@ -54,12 +56,39 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def vocabulary(docs: DataFrame) -> list[tuple[bytes, int]]:
-    """The most frequent words of all documents with their counts, GROUPS x SIZE - RARE - 1 at most."""
+class Vocabulary(list):
+    """The most frequent words, GROUPS x SIZE - RARE - 1 at most; ``counts`` (word, n) has all words of the documents."""
+
+    def __init__(self, known: list[bytes], counts: DataFrame) -> None:
+        super().__init__(known)
+        self.counts = counts
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
     counts = docs.select(text_bytes().alias("t")).mapInArrow(_counts, "word binary, n long")
-    counts = counts.groupBy("word").agg(F.sum("n").alias("n"))
+    counts = stage(counts.groupBy("word").agg(F.sum("n").alias("n")), "word_counts")
     top = counts.orderBy(F.col("n").desc(), "word").limit(GROUPS * SIZE - RARE - 1).collect()
-    return [(bytes(r["word"]), r["n"]) for r in top]
+    return Vocabulary([bytes(r["word"]) for r in top], counts)
+
+
+def rare_shares(occurring: DataFrame, known: Vocabulary) -> DataFrame:
+    """``occurring`` (word, none of ``known``) with the logarithm of each word's share of the words of its token, in 1e-9.
+
+    With n of the N words of a token in the documents the share is n / (N + 1); words that they don't have share
+    the rest with as many others as the token has different words. The driver receives RARE rows at most.
+    """
+    spark = occurring.sparkSession
+    names = spark.createDataFrame([(w,) for w in known], "word binary")
+    bucket = (F.crc32("word") % RARE).cast("int")
+    rarer = known.counts.join(F.broadcast(names), "word", "left_anti")
+    found = rarer.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
+    sums, kinds = [0] * RARE, [0] * RARE
+    for x in found:
+        sums[x["b"]], kinds[x["b"]] = x["n"], x["kinds"]
+    of = lambda numbers: F.element_at(F.lit(numbers), bucket + 1).cast("double")
+    new = -F.log(of(kinds) + 1)
+    share = F.coalesce(F.log(F.col("n").cast("double")), new) - F.log(of(sums) + 1)
+    return occurring.join(known.counts, "word", "left").withColumn("share", F.round(share * 1e9).cast("long")).drop("n")
 
 
 class Numbers(dict):
@@ -232,11 +261,11 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[bytes], bytes]:
+def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, bytes]:
     """Vocabulary and weights (about 0.7 MB) fitted on all of ``docs``."""
     sc = docs.sparkSession.sparkContext
-    known = [w for w, _ in vocabulary(docs)]
-    names, weights = sc.broadcast(known), _flat(start()).astype(np.float32).tobytes()
+    known = vocabulary(docs)
+    names, weights = sc.broadcast(list(known)), _flat(start()).astype(np.float32).tobytes()
     for r in range(rounds):
         parts = docs.select(text_bytes().alias("t")).mapInArrow(_train(sc.broadcast(weights), names, r, rounds), "slice long, n long, weights binary")
         merged = parts.repartition(SLICES // 4, "slice").sortWithinPartitions("slice", "n", "weights").mapInArrow(_average, "slice long, weights binary").collect()
@@ -268,19 +297,53 @@ def _score(shared, known, gone: set[str]):
                 sizes, sums = document_scores(p, numbers, texts[first : first + 128].to_pylist())
                 n += sizes
                 total += sums.tolist()
-            mean = [t / k if k else None for t, k in zip(total, n, strict=True)]
-            yield with_columns(batch, gone, n_tokens=pa.array(n, pa.int64()), log_likelihood=pa.array(total, pa.float64()), mean_log_prob=pa.array(mean, pa.float64()))
+            yield with_columns(batch, gone, n_tokens=pa.array(n, pa.int64()), log_likelihood=pa.array(total, pa.float64()))
 
     return score
 
 
-def score_documents(docs: DataFrame, model: tuple[list[bytes], bytes]) -> DataFrame:
+def _occurrences(known):
+    """Words beside the known ones with the rows that have them, handed on whenever many have come together."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        skip, found, n = frozenset(known.value), defaultdict(list), 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["word", "rows"])
+
+        for batch in batches:
+            for row, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for w in words(t.as_py()):
+                    if w not in skip:
+                        found[w].append(row)
+                        n += 1
+                if n > 1_000_000:
+                    yield out()
+                    found.clear()
+                    n = 0
+        if found:
+            yield out()
+
+    return find
+
+
+def score_documents(docs: DataFrame, model: tuple[Vocabulary, bytes]) -> DataFrame:
     """All columns of ``docs`` with n_tokens, log_likelihood (the sum) and mean_log_prob.
 
     Null and empty texts have no tokens, the sum 0 and a null mean; equal texts score alike; an empty table
     gives an empty result; columns named like an output are replaced.
     """
-    docs = docs.select(rest(docs, "n_tokens", "log_likelihood", "mean_log_prob", "_bytes")).withColumn("_bytes", text_bytes())
+    docs = docs.select(rest(docs, "n_tokens", "log_likelihood", "mean_log_prob", "_bytes", "_row", "_shares"))
+    own = docs.columns
+    docs = docs.withColumns({"_row": F.monotonically_increasing_id(), "_bytes": text_bytes()})
+    known, weights = model
     sc = docs.sparkSession.sparkContext
-    kinds = {"n_tokens": T.LongType(), "log_likelihood": T.DoubleType(), "mean_log_prob": T.DoubleType()}
-    return docs.mapInArrow(_score(sc.broadcast(model[1]), sc.broadcast(model[0]), {"_bytes"}), extended(docs.schema, {"_bytes"}, **kinds))
+    names = sc.broadcast(list(known))
+    kinds = {"n_tokens": T.LongType(), "log_likelihood": T.DoubleType()}
+    scored = stage(docs.mapInArrow(_score(sc.broadcast(weights), names, {"_bytes"}), extended(docs.schema, {"_bytes"}, **kinds)), "lm_scores")
+    rare = scored.select("_row", text_bytes().alias("t")).mapInArrow(_occurrences(names), "word binary, rows array<long>")
+    shares = rare_shares(rare, known).select("share", F.explode("rows").alias("_row")).groupBy("_row").agg(F.sum("share").alias("_shares"))
+    # whole numbers of 1e-9 add up alike in any order
+    total = F.col("log_likelihood") + F.coalesce(F.col("_shares"), F.lit(0)) / 1e9
+    out = scored.join(shares, "_row", "left").withColumn("log_likelihood", total)
+    return out.select(*own, "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_prob"))

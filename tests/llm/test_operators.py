@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 from types import SimpleNamespace
 
@@ -92,6 +93,20 @@ def test_lm_trains_on_every_position_once(monkeypatch):
         assert np.bincount(seen, minlength=9).tolist() == [0] + [sum(range(1, 41))] * 8
 
 
+def test_lm_rare_words_have_their_own_shares(spark):
+    alike = [w for w in (b"r%d" % i for i in range(5000)) if zlib.crc32(w) % maskedlm.RARE == 7][:3]
+    common = " ".join(f"c{i}" for i in range(maskedlm.GROUPS * maskedlm.SIZE - maskedlm.RARE - 1))
+    often, once, new = (w.decode() for w in alike)
+    model = maskedlm.train(docs(spark, [(i, f"{common} {often}", "a") for i in range(4)] + [(9, f"{common} {once}", "a")]))
+    got = {r["doc_id"]: r for r in maskedlm.score_documents(docs(spark, [(1, often, "a"), (2, once, "a"), (3, new, "a"), (4, "c1", "a"), (5, f"{often} {often}", "a")]), model).collect()}
+    assert abs(got[1]["log_likelihood"] - got[2]["log_likelihood"] - np.log(4)) < 1e-6
+    assert abs(got[2]["log_likelihood"] - got[3]["log_likelihood"] - np.log(3)) < 1e-6
+    p, numbers = maskedlm._shaped(np.frombuffer(model[1], np.float32)), maskedlm.Numbers(model[0])
+    for i, text, share in ((1, often, np.log(4 / 6)), (4, "c1", 0), (5, f"{often} {often}", 2 * np.log(4 / 6))):
+        assert abs(got[i]["log_likelihood"] - maskedlm.document_scores(p, numbers, [text.encode()])[1][0] - share) < 1e-6
+        assert got[i]["mean_log_prob"] == got[i]["log_likelihood"] / got[i]["n_tokens"]
+
+
 @pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
 def test_jaccard_against_brute_force(spark, width, percent):
     rng = random.Random(width)
