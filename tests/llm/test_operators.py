@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -182,6 +183,23 @@ def test_secret_spans_and_battery(spark):
     assert f"random:{at}:{at + 60}" in out[1]["s"].split(",") and out[1]["s"].count("random") == 1
 
 
+def test_random_tokens_are_found_whatever_surrounds_them(spark):
+    rng = random.Random(4)
+    pick = lambda letters, n: "".join(rng.choices(letters, k=n))
+    mixed, lower = string.ascii_letters + string.digits, string.ascii_lowercase
+    hidden = [pick(letters, n) for letters, n in ((mixed, 20), (mixed, 22), (mixed, 30), (lower, 64), (lower.upper(), 64)) for _ in range(20)]
+    rows = [(i, f"see {t} there", "a") for i, t in enumerate(hidden)]
+    plain = [(1000 + i, "/".join(rng.choices(("reports", "archive", "station", "garden", "winter"), k=4)), "a") for i in range(300)]
+    plain += [(2000 + i, "".join(rng.choices(("reports", "archive", "station", "garden", "winter"), k=4)), "a") for i in range(300)]
+    found = []
+    for more in ([], plain):
+        out = {r["doc_id"]: r["s"] for r in secrets.scan_secrets(docs(spark, rows + more)).select("doc_id", secrets.listed("all").alias("s")).collect()}
+        found.append({i for i in range(len(rows)) if "random" in out[i]})
+        assert sum("random" in s for i, s in out.items() if i >= 1000) <= 0.05 * len(more)
+    assert found[0] == found[1]
+    assert [len([i for i in found[0] if i // 20 == k]) >= 10 for k in range(5)] == [True] * 5
+
+
 def test_lines_against_plain_counts(spark):
     rng = random.Random(6)
     pool = [f"Line number {i} of the common pool" for i in range(30)] + ["short", ""]
