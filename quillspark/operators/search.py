@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import vector as V
 
-#: Queries that go to every task at once; more are refused.
-MOST_QUERIES = 1000
+#: Blocks that queries and store are dealt into; each pair of blocks is searched by itself.
+QUERY_BLOCKS, STORE_BLOCKS = 4, 32
 
 
 def top_k(store: DataFrame, query: Column, k: int, where: Column | None = None) -> DataFrame:
@@ -20,12 +20,16 @@ def top_k(store: DataFrame, query: Column, k: int, where: Column | None = None)
 
 
 def top_k_each(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, id, score for each of ``queries`` (query_id, query): a question set of MOST_QUERIES rows at most."""
-    asked = queries.limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries")
-    literal = F.array(*[F.struct(F.lit(r["query_id"]).cast("long").alias("query_id"), F.array(*[F.lit(float(x)) for x in r["query"]]).alias("query")) for r in asked])
-    rows = store.select("id", "ins_ord", V.doubles(F.col("embedding")).alias("_e"), F.explode(literal).alias("_q"))
-    scored = rows.select("id", "ins_ord", F.col("_q.query_id").alias("query_id"), (V.dot(F.col("_e"), F.col("_q.query")) / (V.norm(F.col("_e")) * V.norm(F.col("_q.query")))).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "ins_ord")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    """query_id, rank, id, score for each of ``queries`` (query_id, query), however many: the top k of each block of the store, merged."""
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    own = lambda col, blocks: F.pmod(F.xxhash64(col), F.lit(blocks))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), V.doubles(F.col("query")).alias("_q"))
+    asked = asked.withColumn("_qb", own("query_id", QUERY_BLOCKS)).withColumn("_sb", every(STORE_BLOCKS))
+    rows = store.select("id", "ins_ord", V.doubles(F.col("embedding")).alias("_e"))
+    rows = rows.withColumn("_sb", own("id", STORE_BLOCKS)).withColumn("_qb", every(QUERY_BLOCKS))
+    score = V.dot(F.col("_e"), F.col("_q")) / (V.norm(F.col("_e")) * V.norm(F.col("_q")))
+    scored = rows.join(asked, ["_qb", "_sb"]).select("id", "ins_ord", "query_id", "_sb", score.alias("score"))
+    order = [F.col("score").desc(), F.col("ins_ord")]
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "_sb").orderBy(*order))).filter(F.col("rank") <= k)
+    merged = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long"))
+    return merged.filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
