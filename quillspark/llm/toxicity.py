@@ -2,7 +2,8 @@
 
 A document's terms are its words and its words' beginnings, hashed into a fixed space. The machine adds, to a
 linear weight for each term, a weight for every pair of terms: the product of their factor vectors. Its terms
-are those of the labelled sample that tell the labels apart best (chi-squared).
+are those of the labelled sample that tell the labels apart best (chi-squared), and those of the pairs that do so
+better than their terms by themselves: a group's name that is harmless alone counts beside an insult.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from .common import extended, rest, text_bytes, with_columns
 #: Most labelled rows that the machine is fitted on, those with the smallest id hashes: one task holds their term numbers.
 SAMPLE_ROWS = 20_000
 SPACE_BITS, TERMS, FACTORS = 20, 4096, 4
+#: All pairs of the FREQUENT most frequent terms are tested; terms of the best pairs, PAIRED at most, join the machine.
+#: PAIR_EVIDENCE: chi-squared of a pair beyond that of its terms, as 5 million pairs ask for; PAIR_ROWS: rows in which it occurs.
+FREQUENT, PAIRED, PAIR_EVIDENCE, PAIR_ROWS = 3072, 1024, 35.0, 5
 EPOCHS, BATCH, RATE, DECAY, SEED = 40, 256, 0.02, 1e-4, 7
 WORD = re.compile(r"[^\W_]+")
 STEM = 5
@@ -47,21 +51,44 @@ def _sampled_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["doc_id", "y", "terms"])
 
 
-def choose_terms(rows: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray:
-    """The terms with the largest chi-squared against the label, of those in two documents at least."""
-    size = 1 << SPACE_BITS
-    toxic = np.zeros(size)
-    every = np.zeros(size)
-    for r, label in zip(rows, y, strict=True):
-        every[r] += 1
-        if label:
-            toxic[r] += 1
-    n, n1 = len(y), max(1.0, float(y.sum()))
-    expected = every * n1 / max(1, n)
+def chi_squared(hits: np.ndarray, rows: np.ndarray, n: int, positive: float) -> np.ndarray:
+    """Evidence that the share of positive rows differs where a term (or pair) occurs: ``hits`` of its ``rows`` are positive."""
+    expected = rows * (positive / max(1, n))
+    spread = expected * (n - rows) * max(1e-9, 1 - positive / max(1, n))
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.where((every >= 2) & (every < n), (toxic - expected) ** 2 * n / (expected * (n - every) * max(1e-9, 1 - n1 / n)), 0.0)
+        return np.where((rows >= 2) & (rows < n), (hits - expected) ** 2 * n / spread, 0.0)
+
+
+def paired_terms(rows: list[np.ndarray], y: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """Terms of the pairs that tell the labels apart and that their own counts don't explain, strongest pairs first."""
+    common = np.sort(np.argsort(-every, kind="stable")[:FREQUENT])
+    common = common[every[common] >= PAIR_ROWS]
+    place = np.full(1 << SPACE_BITS, -1, np.int32)
+    place[common] = np.arange(len(common))
+    both, toxic = (np.zeros((len(common), len(common)), np.float32) for _ in range(2))
+    for at in range(0, len(rows), 1024):
+        there = np.zeros((len(rows[at : at + 1024]), len(common)), np.float32)
+        for i, r in enumerate(rows[at : at + 1024]):
+            own = place[r]
+            there[i, own[own >= 0]] = 1
+        both += there.T @ there
+        there = there[y[at : at + 1024] > 0]
+        toxic += there.T @ there
+    chi = chi_squared(toxic, both, len(y), max(1.0, float(y.sum()))).astype(np.float32)
+    chi[both < PAIR_ROWS] = 0
+    alone = np.diag(chi)
+    a, b = np.nonzero(np.triu(chi - alone[:, None] - alone > PAIR_EVIDENCE, 1))
+    order = np.argsort(-(chi[a, b] - alone[a] - alone[b]), kind="stable")
+    found = common[np.stack([a[order], b[order]], 1).ravel()]
+    return found[np.sort(np.unique(found, return_index=True)[1])][:PAIRED]
+
+
+def choose_terms(rows: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` terms with the largest chi-squared against the label, and the terms of telling pairs; all in two documents at least."""
+    every, toxic = (np.bincount(np.concatenate(some) if some else np.zeros(0, np.int64), minlength=1 << SPACE_BITS) for some in (rows, [r for r, label in zip(rows, y, strict=True) if label]))
+    chi = chi_squared(toxic, every, len(y), max(1.0, float(y.sum())))
     best = np.argsort(-chi, kind="stable")[:most]
-    return np.sort(best[chi[best] > 3.84])
+    return np.union1d(best[chi[best] > 3.84], paired_terms(rows, y, every))
 
 
 def machine_output(bias: float, w: np.ndarray, v: np.ndarray, own: np.ndarray) -> float:
@@ -116,12 +143,14 @@ def _fit_group(rows: pd.DataFrame) -> pd.DataFrame:
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> dict:
     """A machine for ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic: 0 or 1); rows with a null label or id teach nothing.
 
-    The driver receives the fitted machine only: TERMS x (FACTORS + 1) numbers at most.
+    Of several rows of one id one teaches. The driver receives the fitted machine only: (TERMS + PAIRED) x
+    (FACTORS + 1) numbers at most.
     """
     ids = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # ids and labels alone; `most` bounds what is broadcast
     picked = docs.select("doc_id", text_bytes().alias("t")).join(F.broadcast(ids), "doc_id")
     sample = picked.select("doc_id", F.col("y").cast("double"), "t").mapInArrow(_sampled_terms, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("y", T.DoubleType()), T.StructField("terms", T.BinaryType())]))
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("y", "terms")).alias("x")).select("doc_id", "x.*")
     found = sample.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(_fit_group, "bias double, terms binary, w binary, v binary").collect()
     if not found:
         return {"bias": 0.0, "terms": np.zeros(0, np.uint32), "w": np.zeros(0), "v": np.zeros((0, FACTORS))}
