@@ -1,109 +1,140 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-Every token is predicted from the two tokens on either side: each place of the window has its own embedding
-table, their sum goes through tanh, and a two-level softmax (group, then token in the group) gives the token's
-probability. Rarer words share tokens by their hashes; such a word's probability is its token's, times its share
-of all words of that token. The shares come from the exact counts of all words, a table that grows with the
-input. A document's score is the sum of its words' conditional log-probabilities.
-
-The vocabulary comes from the word counts of all documents. Each round, every partition trains on the masked
-positions of all its documents, from the common weights, and all rounds together mask every position once; the partitions' weights are then averaged by their
-numbers of positions, slice by slice, so that neither the driver nor a task holds more than one model.
+Every word is predicted from the two words on either side: each place of the window has its own embedding table,
+their sum goes through tanh, and a two-level softmax (group, then token in the group) gives the token's
+probability. The most frequent words are tokens of their own; rarer ones share tokens by their last letters, and
+such a word's probability is its token's, times its share of all words of that token. The shares come from the
+exact counts of all words, a table that grows with the input. A document's score is the sum of its words'
+conditional log-probabilities.
+
+The documents' tokens are dealt to shards by hashes of the rows, as many shards as the number of words asks for.
+In each round the network is trained on a part of the positions of every shard, from the common weights; all rounds
+together mask every position once. After a round the shards' weights are averaged, as whole numbers, so that the
+weights don't depend on partitions, machines or the order of tasks. Neither the driver nor a task holds more than a
+few models.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extended, rest, stage, text_bytes, with_columns
+from .common import LETTERS, Lookup, Staged, extended, hash_words, rest, scramble, some_rows, text_bytes, with_columns
 
-#: Groups x tokens in a group; the last RARE tokens are shared by all rarer words, by their hashes. Token 0 stands beyond the ends.
+#: Groups x tokens in a group; the last RARE tokens are shared by all rarer words. Token 0 stands beyond the ends.
 GROUPS, SIZE, RARE = 32, 64, 512
+KNOWN = GROUPS * SIZE - RARE - 1
 DEPTH, SIDE, SEED = 16, 2, 3
 #: Rounds, each with its share of the positions; positions in a step; step size.
 ROUNDS, STEP, RATE = 2, 4096, 0.08
-SLICES, CHUNK = 16, 1 << 15
-WORD = re.compile(rb"[0-9a-z_\x80-\xff]+")
+#: Tokens in a shard; most in one row of a shard (a shard of equal rows can have more).
+SHARD, ROW = 1 << 22, 1 << 23
+SLICES, CHUNK = 16, 1 << 14
+#: Words whose shares every worker holds (the most frequent ones, 16 bytes each); those of all others are joined.
+HELD = 1 << 16
+#: Weights are averaged in units of 2**-FINE, shares added up in units of 1e-9.
+FINE = 20
+WORDS = LETTERS.copy()
+WORDS[ord("_")] = ord("_")
 
 
-def words(text: bytes) -> list[bytes]:
-    return WORD.findall(text.lower())
+def hashed(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ranges of rows with their words' hashes, numbers of words and last letters."""
+    for at, to in some_rows(column, most):
+        yield at, to, *hash_words(column.slice(at, to - at), WORDS, True)
+
+
+def shared_token(tails: np.ndarray) -> np.ndarray:
+    """Which of the RARE tokens stands for words with these last letters."""
+    return (scramble(tails) % np.uint64(RARE)).astype(np.int64)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts, handed on whenever many different words have come together."""
-    found: Counter = Counter()
+    """Hashes of words with their counts and shared tokens, handed on whenever many have come together."""
+    held, size = [], 0
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+        h, b, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        word, at = np.unique(h, return_inverse=True)
+        bucket = np.zeros(len(word), np.int64)
+        bucket[at] = b
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(bucket.astype(np.int32)), pa.array(np.bincount(at, n, len(word)).astype(np.int64))], names=["word", "bucket", "n"])
 
     for batch in batches:
-        for t in batch.column(0):
-            found.update(words(t.as_py()))
-            if len(found) > 1_000_000:
+        for _, _, h, _, tails in hashed(batch.column(0)):
+            word, first, n = np.unique(h, return_index=True, return_counts=True)
+            held.append((word, shared_token(tails[first]), n))
+            size += len(word)
+            if size > 2_000_000:
                 yield out()
-                found.clear()
-    if found:
+                held, size = [], 0
+    if size:
         yield out()
 
 
-class Vocabulary(list):
-    """The most frequent words, GROUPS x SIZE - RARE - 1 at most; ``counts`` (word, n) has all words of the documents."""
-
-    def __init__(self, known: list[bytes], counts: DataFrame) -> None:
-        super().__init__(known)
-        self.counts = counts
-
-
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    counts = docs.select(text_bytes().alias("t")).mapInArrow(_counts, "word binary, n long")
-    counts = stage(counts.groupBy("word").agg(F.sum("n").alias("n")), "word_counts")
-    top = counts.orderBy(F.col("n").desc(), "word").limit(GROUPS * SIZE - RARE - 1).collect()
-    return Vocabulary([bytes(r["word"]) for r in top], counts)
-
+class Vocabulary:
+    """``counts`` (word: its hash, bucket, n) has all words of the documents, ``total`` their number.
 
-def rare_shares(occurring: DataFrame, known: Vocabulary) -> DataFrame:
-    """``occurring`` (word, none of ``known``) with the logarithm of each word's share of the words of its token, in 1e-9.
-
-    With n of the N words of a token in the documents the share is n / (N + 1); words that they don't have share
-    the rest with as many others as the token has different words. The driver receives RARE rows at most.
+    ``hashes``, ``tokens`` and ``shares``: the HELD most frequent words, sorted by hash, with their tokens and the
+    logarithms of their shares in them; ``sums`` and ``kinds``: words and different words of each shared token.
     """
-    spark = occurring.sparkSession
-    names = spark.createDataFrame([(w,) for w in known], "word binary")
-    bucket = (F.crc32("word") % RARE).cast("int")
-    rarer = known.counts.join(F.broadcast(names), "word", "left_anti")
-    found = rarer.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
-    sums, kinds = [0] * RARE, [0] * RARE
-    for x in found:
-        sums[x["b"]], kinds[x["b"]] = x["n"], x["kinds"]
-    of = lambda numbers: F.element_at(F.lit(numbers), bucket + 1).cast("double")
-    new = -F.log(of(kinds) + 1)
-    share = F.coalesce(F.log(F.col("n").cast("double")), new) - F.log(of(sums) + 1)
-    return occurring.join(known.counts, "word", "left").withColumn("share", F.round(share * 1e9).cast("long")).drop("n")
-
-
-class Numbers(dict):
-    """Words to token numbers; unknown words are kept as well, up to half a million."""
-
-    def __init__(self, known: list[bytes]) -> None:
-        super().__init__((w, i + 1) for i, w in enumerate(known))
-        self.known = known
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-            self.update((w, i + 1) for i, w in enumerate(self.known))
-        own = self[word] = GROUPS * SIZE - 1 - zlib.crc32(word) % RARE
-        return own
+
+    def __init__(self, counts: DataFrame, frequent: list, buckets: list, total: int) -> None:
+        self.counts, self.total = counts, total
+        word, n, bucket = (np.array([r[c] for r in frequent], np.int64) for c in ("word", "n", "bucket"))
+        own = np.arange(len(word)) < KNOWN
+        self.sums, self.kinds = np.zeros(RARE, np.int64), np.zeros(RARE, np.int64)
+        for b in buckets:
+            self.sums[b["bucket"]], self.kinds[b["bucket"]] = b["n"], b["kinds"]
+        np.subtract.at(self.sums, bucket[own], n[own])
+        np.subtract.at(self.kinds, bucket[own], 1)
+        order = np.argsort(word.view(np.uint64), kind="stable")
+        self.hashes = word.view(np.uint64)[order]
+        self.tokens = np.where(own, np.arange(len(word)) + 1, GROUPS * SIZE - 1 - bucket)[order]
+        self.shares = np.where(own, 0.0, np.log(np.maximum(n, 1)) - np.log(self.sums[bucket] + 1))[order]
+
+    def plain(self) -> dict:
+        """What workers need."""
+        return {"hashes": self.hashes, "tokens": self.tokens, "shares": self.shares}
+
+
+def vocabulary(docs: DataFrame, staged: Staged) -> Vocabulary:
+    """The driver receives HELD words and RARE sums at most."""
+    found = docs.select(text_bytes().alias("t")).mapInArrow(_counts, "word long, bucket int, n long")
+    counts = staged.put(found.groupBy("word").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n")), "word_counts")
+    frequent = counts.orderBy(F.col("n").desc(), "word").limit(HELD).collect()
+    buckets = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
+    return Vocabulary(counts, frequent, buckets, sum(b["n"] for b in buckets))
+
+
+class Numbers:
+    """Hashes of words to token numbers and, for the held words, the logarithms of their shares."""
+
+    def __init__(self, plain: dict) -> None:
+        self.find, self.numbers, self.shares = Lookup(plain["hashes"]), plain["tokens"], plain["shares"]
+
+    def __call__(self, hashes: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens, shares (0 for a word that isn't held) and whether a word is held."""
+        if not len(self.numbers):
+            return GROUPS * SIZE - 1 - shared_token(tails), np.zeros(len(hashes)), np.zeros(len(hashes), bool)
+        at = self.find(hashes)
+        held = at >= 0
+        tokens = self.numbers[at]
+        tokens[~held] = GROUPS * SIZE - 1 - shared_token(tails[~held])
+        return tokens, np.where(held, self.shares[at], 0.0), held
+
+
+def with_ends(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Tokens of several documents with SIDE zeros before, between and after them."""
+    places = np.arange(len(tokens)) + SIDE * (1 + np.repeat(np.arange(len(sizes)), sizes))
+    out = np.zeros(len(tokens) + SIDE * (len(sizes) + 1), np.int64)
+    out[places] = tokens
+    return out
 
 
 def shapes() -> dict[str, tuple[int, ...]]:
@@ -116,99 +147,96 @@ def start() -> dict[str, np.ndarray]:
     return {k: rng.normal(0, 0.05, s).astype(np.float32) for k, s in shapes().items()}
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(-1, keepdims=True))
-    return e / e.sum(-1, keepdims=True)
-
-
 def hidden(p: dict, context: np.ndarray) -> np.ndarray:
-    """Layer of the window's tokens, with a constant at the end."""
-    s = p["e"][0][context[:, 0]]
+    """Layer of the window's tokens (a row for each place of the window), with a constant at the end."""
+    s = p["e"][0].take(context[0], 0)
     for i in range(1, 2 * SIDE):
-        s = s + p["e"][i][context[:, i]]
-    return np.concatenate([np.tanh(s), np.ones((len(s), 1), np.float32)], 1)
+        s += p["e"][i].take(context[i], 0)
+    out = np.ones((len(s), DEPTH + 1), np.float32)
+    np.tanh(s, out=out[:, :-1])
+    return out
 
 
-def log_probabilities(p: dict, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Of every target given its window."""
-    h = hidden(p, context)
-    group, inside = target % GROUPS, target // GROUPS
-    z = h @ p["c"]
-    top = z.max(1)
-    out = z[np.arange(len(z)), group] - top - np.log(np.exp(z - top[:, None]).sum(1))
+def _softmax(z: np.ndarray) -> None:
+    """In place, over the last axis."""
+    z -= z.max(-1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(-1, keepdims=True)
+
+
+def _by_group(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """Order of the targets by group, and each group's part of it."""
+    group = (target % GROUPS).astype(np.uint8)
     order = np.argsort(group, kind="stable")
     ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    for g in range(GROUPS):
-        own = order[ends[g] : ends[g + 1]]
-        if len(own):
-            z = h[own] @ p["w"][g]
-            top = z.max(1)
-            out[own] += z[np.arange(len(own)), inside[own]] - top - np.log(np.exp(z - top[:, None]).sum(1))
-    return out.astype(np.float64)
+    return order, [(g, slice(ends[g], ends[g + 1])) for g in range(GROUPS) if ends[g] < ends[g + 1]]
+
+
+def log_probabilities(p: dict, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Of every target given its window."""
+    order, spans = _by_group(target)
+    h, target, n = hidden(p, context)[order], target[order], np.arange(len(target))
+    z, inner = h @ p["c"], np.empty((len(h), SIZE), np.float32)
+    for g, own in spans:
+        np.matmul(h[own], p["w"][g], out=inner[own])
+    total = np.zeros(len(h))
+    for logits, chosen in ((z, target % GROUPS), (inner, target // GROUPS)):
+        logits -= logits.max(1, keepdims=True)
+        total += logits[n, chosen]
+        np.exp(logits, out=logits)
+        total -= np.log(logits.sum(1))
+    out = np.empty(len(h))
+    out[order] = total
+    return out
 
 
 def learn(p: dict, squares: dict, context: np.ndarray, target: np.ndarray) -> None:
     """One Adagrad step on the mean log-probability of the targets, in place."""
+    order, spans = _by_group(target)
+    context, target, n = context[:, order], target[order], len(target)
     h = hidden(p, context)
-    group, inside, n = target % GROUPS, target // GROUPS, len(target)
-    d = _softmax(h @ p["c"])
-    d[np.arange(n), group] -= 1
-    grad = {"c": h.T @ d, "w": np.zeros_like(p["w"]), "e": np.zeros_like(p["e"])}
+    rows = np.arange(n)
+    d = h @ p["c"]
+    _softmax(d)
+    d[rows, target % GROUPS] -= 1
+    grad = {"c": h.T @ d, "w": np.zeros_like(p["w"]), "e": np.empty_like(p["e"])}
     back = d @ p["c"].T
-    order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    sorted_h, d, deeper = h[order], np.empty((n, SIZE), np.float32), np.empty_like(back)
-    spans = [(g, slice(ends[g], ends[g + 1])) for g in range(GROUPS) if ends[g] < ends[g + 1]]
+    d = np.empty((n, SIZE), np.float32)
     for g, own in spans:
-        np.matmul(sorted_h[own], p["w"][g], out=d[own])
-    d = _softmax(d)
-    d[np.arange(n), inside[order]] -= 1
+        np.matmul(h[own], p["w"][g], out=d[own])
+    _softmax(d)
+    d[rows, target // GROUPS] -= 1
     for g, own in spans:
-        grad["w"][g] = sorted_h[own].T @ d[own]
-        deeper[own] = d[own] @ p["w"][g].T
-    back[order] += deeper
-    slope = back[:, :-1] * (1 - h[:, :-1] ** 2)
+        np.matmul(h[own].T, d[own], out=grad["w"][g])
+        back[own] += d[own] @ p["w"][g].T
+    slope = (back[:, :-1] * (1 - h[:, :-1] ** 2)).astype(np.float64).ravel()
     for i in range(2 * SIDE):
-        for f in range(DEPTH):
-            grad["e"][i, :, f] = np.bincount(context[:, i], slope[:, f], GROUPS * SIZE)
+        spots = (context[i][:, None] * DEPTH + np.arange(DEPTH)).ravel()
+        grad["e"][i] = np.bincount(spots, slope, GROUPS * SIZE * DEPTH).reshape(-1, DEPTH)
+    scale = np.float32(1 / np.sqrt(n))
     for k, g in grad.items():
-        g = g / np.sqrt(n)
+        g *= scale
         squares[k] += g * g
-        p[k] -= (RATE * g / (np.sqrt(squares[k]) + 1e-6)).astype(np.float32)
+        g /= np.sqrt(squares[k]) + np.float32(1e-6)
+        g *= np.float32(RATE)
+        p[k] -= g
 
 
 def windows(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Window of the positions ``at`` in ``tokens``, which have SIDE ends around every document."""
-    return np.stack([tokens[at + o] for o in range(-SIDE, SIDE + 1) if o], 1)
-
-
-def masked(sizes: list[int], round_: int, rounds: int) -> np.ndarray:
-    """Which words of documents of ``sizes`` words are targets in a round: every word in one round of ``rounds``.
-
-    The round comes from a hash of the place in the document and of its size, so it stays with the word however rows are dealt.
-    """
-    sizes = np.asarray(sizes, np.int64)
-    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    x = (place * 0x9E3779B1 + np.repeat(sizes, sizes) * 0x85EBCA6B).astype(np.uint32)
-    for shift, by in ((16, 0x7FEB352D), (15, 0x846CA68B)):
-        x = (x ^ (x >> np.uint32(shift))) * np.uint32(by)
-    return (x ^ (x >> np.uint32(16))) % np.uint32(rounds) == round_
+    """Windows of the positions ``at`` in ``tokens``, which have SIDE ends around every document: a row for each place."""
+    return np.stack([tokens[at + o] for o in range(-SIDE, SIDE + 1) if o])
 
 
-def _joined(texts: Iterator[bytes], numbers: Numbers) -> tuple[np.ndarray, list[int]]:
-    parts, sizes = [np.zeros(SIDE, np.int64)], []
-    for t in texts:
-        w = words(t)
-        parts += [np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)), np.zeros(SIDE, np.int64)]
-        sizes.append(len(w))
-    return np.concatenate(parts), sizes
+def masked(places: np.ndarray, round_: int, rounds: int) -> np.ndarray:
+    """Which places of a shard's row are targets in a round: each in one round of ``rounds``, by a hash."""
+    return scramble(places) % np.uint64(rounds) == round_
 
 
 def _flat(p: dict) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in shapes()])
 
 
-def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
+def shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k, s in shapes().items():
         out[k] = flat[at : at + int(np.prod(s))].reshape(s).astype(np.float32)
@@ -216,30 +244,60 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _train(shared, known, round_: int, rounds: int):
-    """A partition's weights in slices, with the number of positions that it has seen."""
+def _numbered(shared):
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(shared.value)
+        for batch in batches:
+            out = []
+            for _, _, h, sizes, tails in hashed(batch.column(2)):
+                tokens = numbers(h, tails)[0].astype(np.uint16)
+                out += [x.tobytes() for x in np.split(tokens, np.cumsum(sizes)[:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["shard", "key", "tokens"])
+
+    return number
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents come sorted by shard: rows of a shard's tokens, with ends around each document."""
+    ends = np.zeros(SIDE, np.uint16).tobytes()
+    now, parts, size = None, [], 0
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([ends + ends.join(parts) + ends], pa.binary())], names=["shard", "tokens"])
+
+    for batch in batches:
+        for shard, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if parts and (shard != now or size >= ROW):
+                yield out()
+                parts, size = [], 0
+            if tokens:
+                now, size = shard, size + len(tokens) // 2
+                parts.append(tokens)
+    if parts:
+        yield out()
+
+
+def _train(shared, round_: int, rounds: int):
+    """Summed weights of all rows of shards that a task has seen, with the number of its steps, in slices."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, numbers = _shaped(np.frombuffer(shared.value, np.float32)), Numbers(known.value)
-        p = {k: v.copy() for k, v in p.items()}
-        squares, seen = {k: np.full(s, 1e-3, np.float32) for k, s in shapes().items()}, 0
-        held_c, held_t = np.zeros((0, 2 * SIDE), np.int64), np.zeros(0, np.int64)
+        total, steps = None, 0
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                tokens, sizes = _joined((t.as_py() for t in batch.column(0)[first : first + 256]), numbers)
-                at = np.flatnonzero(tokens)[masked(sizes, round_, rounds)]
-                held_c, held_t = np.concatenate([held_c, windows(tokens, at)]), np.concatenate([held_t, tokens[at]])
-                for k in range(0, len(held_t) - STEP + 1, STEP):
-                    learn(p, squares, held_c[k : k + STEP], held_t[k : k + STEP])
-                    seen += STEP
-                left = len(held_t) // STEP * STEP
-                held_c, held_t = held_c[left:], held_t[left:]
-        if len(held_t):
-            learn(p, squares, held_c, held_t)
-            seen += len(held_t)
-        if seen:
-            parts = np.array_split(_flat(p), SLICES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array(np.full(SLICES, seen)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "n", "weights"])
+            for row in batch.column(0):
+                p = shaped(np.frombuffer(shared.value, np.float32))
+                squares = {k: np.full(s, 1e-3, np.float32) for k, s in shapes().items()}
+                tokens = np.frombuffer(row.as_py(), np.uint16).astype(np.int64)
+                at = np.flatnonzero(tokens)
+                at = at[masked(at, round_, rounds)]
+                n = max(1, -(-len(at) // STEP)) if len(at) else 0
+                for some in np.array_split(at, n) if n else ():
+                    learn(p, squares, windows(tokens, some), tokens[some])
+                if n:
+                    own = np.rint(_flat(p).astype(np.float64) * (1 << FINE)).astype(np.int64) * n
+                    total, steps = own if total is None else total + own, steps + n
+        if steps:
+            parts = np.array_split(total, SLICES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array(np.full(SLICES, steps)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "steps", "weights"])
 
     return train
 
@@ -248,102 +306,96 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, n, total = None, 0, None
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["slice", "weights"])
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([(total / (n * float(1 << FINE))).astype(np.float32).tobytes()], pa.binary())], names=["slice", "weights"])
 
     for batch in batches:
         for i, k, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if i != now:
                 if now is not None:
                     yield out()
-                now, n, total = i, 0, 0.0
-            total, n = total + k * np.frombuffer(x, np.float32).astype(np.float64), n + k
+                now, n, total = i, 0, 0
+            total, n = total + np.frombuffer(x, np.int64), n + k
     if now is not None:
         yield out()
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, bytes]:
-    """Vocabulary and weights (about 0.7 MB) fitted on all of ``docs``."""
-    sc = docs.sparkSession.sparkContext
-    known = vocabulary(docs)
-    names, weights = sc.broadcast(list(known)), _flat(start()).astype(np.float32).tobytes()
+    """Vocabulary and weights (about 0.7 MB) fitted on all of ``docs``; equal for equal rows, however they are dealt."""
+    spark, staged = docs.sparkSession, Staged(docs.sparkSession, "lm")
+    known, weights = vocabulary(docs, staged), _flat(start()).astype(np.float32).tobytes()
+    key = F.xxhash64(*[F.col(c).cast("string") for c in ("doc_id", "text") if c in docs.columns])
+    rows = docs.select(F.pmod(key, F.lit(max(1, round(known.total / SHARD)))).alias("shard"), key.alias("key"), text_bytes().alias("t"))
+    rows = rows.mapInArrow(_numbered(spark.sparkContext.broadcast(known.plain())), "shard long, key long, tokens binary")
+    shards = rows.repartition("shard").sortWithinPartitions("shard", "key", "tokens").mapInArrow(_packed, "shard long, tokens binary")
+    shards = staged.put(shards, "shards")
     for r in range(rounds):
-        parts = docs.select(text_bytes().alias("t")).mapInArrow(_train(sc.broadcast(weights), names, r, rounds), "slice long, n long, weights binary")
-        merged = parts.repartition(SLICES // 4, "slice").sortWithinPartitions("slice", "n", "weights").mapInArrow(_average, "slice long, weights binary").collect()
+        parts = shards.select("tokens").mapInArrow(_train(spark.sparkContext.broadcast(weights), r, rounds), "slice long, steps long, weights binary")
+        merged = parts.repartition(SLICES // 4, "slice").sortWithinPartitions("slice").mapInArrow(_average, "slice long, weights binary").collect()
         if merged:
             weights = b"".join(bytes(x["weights"]) for x in sorted(merged, key=lambda x: x["slice"]))
+    staged.drop(shards)
     return known, weights
 
 
-def document_scores(p: dict, numbers: Numbers, texts: list[bytes]) -> tuple[list[int], np.ndarray]:
-    """Tokens and summed log-probability of each text."""
-    tokens, sizes = _joined(iter(texts), numbers)
-    at = np.flatnonzero(tokens)
-    each = np.zeros(len(at))
-    for first in range(0, len(at), CHUNK):
-        some = at[first : first + CHUNK]
-        each[first : first + CHUNK] = log_probabilities(p, windows(tokens, some), tokens[some])
-    ends = np.cumsum(sizes)
-    sums = np.concatenate([[0.0], np.cumsum(each)])
-    return sizes, sums[ends] - sums[ends - sizes]
+def token_scores(p: dict, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Log-probability of every token of documents of ``sizes`` tokens."""
+    wide = with_ends(tokens, sizes)
+    at = np.flatnonzero(wide)
+    return np.concatenate([log_probabilities(p, windows(wide, x), wide[x]) for x in np.array_split(at, max(1, -(-len(at) // CHUNK)))])
 
 
 def _score(shared, known, gone: set[str]):
+    """Documents with their number of tokens, the sum of what the network and the held shares give, and the words that aren't held."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, numbers = _shaped(np.frombuffer(shared.value, np.float32)), Numbers(known.value)
+        p, numbers = shaped(np.frombuffer(shared.value, np.float32)), Numbers(known.value)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_bytes"))
-            n, total = [], []
-            for first in range(0, len(texts), 128):
-                sizes, sums = document_scores(p, numbers, texts[first : first + 128].to_pylist())
-                n += sizes
-                total += sums.tolist()
-            yield with_columns(batch, gone, n_tokens=pa.array(n, pa.int64()), log_likelihood=pa.array(total, pa.float64()))
+            texts, n, total, words = batch.column(batch.schema.get_field_index("_bytes")), [], [], []
+            for _, _, h, sizes, tails in hashed(texts):
+                tokens, shares, held = numbers(h, tails)
+                each = token_scores(p, tokens, sizes) + shares
+                ends = np.cumsum(sizes)
+                n.append(sizes)
+                total.append(np.diff(np.concatenate([[0.0], np.cumsum(each)])[np.concatenate([[0], ends])]))
+                rarer = np.concatenate([[0], np.cumsum(~held)])[np.concatenate([[0], ends])]
+                words.append(pa.ListArray.from_arrays(pa.array(rarer, pa.int32()), pa.StructArray.from_arrays([pa.array(h[~held].view(np.int64)), pa.array(shared_token(tails[~held]).astype(np.int32))], ["word", "bucket"])))
+            yield with_columns(batch, gone, n_tokens=pa.array(np.concatenate(n)), log_likelihood=pa.array(np.concatenate(total)), _words=pa.concat_arrays(words))
 
     return score
 
 
-def _occurrences(known):
-    """Words beside the known ones with the rows that have them, handed on whenever many have come together."""
+def rare_shares(words: DataFrame, known: Vocabulary) -> DataFrame:
+    """``words`` (word, bucket and others; none is held) with the logarithm of the word's share in its token, in 1e-9.
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        skip, found, n = frozenset(known.value), defaultdict(list), 0
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["word", "rows"])
-
-        for batch in batches:
-            for row, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for w in words(t.as_py()):
-                    if w not in skip:
-                        found[w].append(row)
-                        n += 1
-                if n > 1_000_000:
-                    yield out()
-                    found.clear()
-                    n = 0
-        if found:
-            yield out()
-
-    return find
+    With n of the N words of a token the share is n / (N + 1); words that the documents don't have share the rest
+    with as many others as the token has different words.
+    """
+    of = lambda numbers: F.element_at(F.lit(numbers.tolist()), F.col("bucket") + 1).cast("double")
+    share = F.coalesce(F.log(F.col("_n").cast("double")), -F.log(of(known.kinds) + 1)) - F.log(of(known.sums) + 1)
+    counts = known.counts.select("word", F.col("n").alias("_n"))
+    return words.join(counts, "word", "left").withColumn("share", F.round(share * 1e9).cast("long")).drop("_n")
 
 
-def score_documents(docs: DataFrame, model: tuple[Vocabulary, bytes]) -> DataFrame:
-    """All columns of ``docs`` with n_tokens, log_likelihood (the sum) and mean_log_prob.
+def score_documents(docs: DataFrame, model: tuple[Vocabulary, bytes], keep: list[str] | None = None) -> DataFrame:
+    """All columns of ``docs``, or those in ``keep``, with n_tokens, log_likelihood (the sum) and mean_log_prob.
 
     Null and empty texts have no tokens, the sum 0 and a null mean; equal texts score alike; an empty table
     gives an empty result; columns named like an output are replaced.
     """
-    docs = docs.select(rest(docs, "n_tokens", "log_likelihood", "mean_log_prob", "_bytes", "_row", "_shares"))
-    own = docs.columns
-    docs = docs.withColumns({"_row": F.monotonically_increasing_id(), "_bytes": text_bytes()})
+    outputs = ("n_tokens", "log_likelihood", "mean_log_prob")
+    own = [c for c in rest(docs, *outputs) if keep is None or c in keep]
+    held = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), held.alias("own"), text_bytes().alias("_bytes"))
     known, weights = model
-    sc = docs.sparkSession.sparkContext
-    names = sc.broadcast(list(known))
-    kinds = {"n_tokens": T.LongType(), "log_likelihood": T.DoubleType()}
-    scored = stage(docs.mapInArrow(_score(sc.broadcast(weights), names, {"_bytes"}), extended(docs.schema, {"_bytes"}, **kinds)), "lm_scores")
-    rare = scored.select("_row", text_bytes().alias("t")).mapInArrow(_occurrences(names), "word binary, rows array<long>")
-    shares = rare_shares(rare, known).select("share", F.explode("rows").alias("_row")).groupBy("_row").agg(F.sum("share").alias("_shares"))
+    sc, staged = docs.sparkSession.sparkContext, Staged(docs.sparkSession, "lm")
+    word = T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("bucket", T.IntegerType())]))
+    kinds = {"n_tokens": T.LongType(), "log_likelihood": T.DoubleType(), "_words": word}
+    scored = rows.mapInArrow(_score(sc.broadcast(weights), sc.broadcast(known.plain()), {"_bytes"}), extended(rows.schema, {"_bytes"}, **kinds))
+    scored = staged.put(scored, "scores")
+    rarer = scored.select("row", F.explode("_words").alias("w")).select("row", "w.*")
     # whole numbers of 1e-9 add up alike in any order
-    total = F.col("log_likelihood") + F.coalesce(F.col("_shares"), F.lit(0)) / 1e9
-    out = scored.join(shares, "_row", "left").withColumn("log_likelihood", total)
-    return out.select(*own, "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_prob"))
+    shares = rare_shares(rarer, known).groupBy("row").agg(F.sum("share").alias("_shares"))
+    total: Column = F.round(F.col("log_likelihood") + F.coalesce(F.col("_shares"), F.lit(0)) / 1e9, 6)
+    out = scored.drop("_words").join(shares, "row", "left").withColumn("log_likelihood", total)
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return out.select(*[F.col(f"own.`{c}`") for c in own], "n_tokens", "log_likelihood", mean.alias("mean_log_prob"))
