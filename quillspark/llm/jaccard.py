@@ -22,40 +22,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_bytes
+from .common import BLANKS, Staged, hash_words, join_spread, marked, marks, scramble, some_rows, stage, text_bytes
 
 SLICES, SKETCH_BITS = 64, 21
-LARGEST_SMALL = 24
 SAMPLE = np.uint64(1 << 54)  # shingles below it (1 of 1,024) measure the list lengths
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: No boundary lies beyond the size for which a set would send so many subsets: they must fit in a task.
+MOST_SUBSETS = 1 << 20
 
 
-class WordHash(dict):
-    """64-bit hashes of words, kept for the most recent half million."""
+def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit shingles of each text; a text of fewer words is one shingle, one without words has none."""
+    for at, to in some_rows(column, 1 << 20):
+        words, sizes, _ = hash_words(column.slice(at, to - at), BLANKS)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        own = self[word] = xxhash.xxh3_64_intdigest(word)
-        return own
+        def grams(of: np.ndarray, n: int) -> np.ndarray:
+            h = np.full(max(0, len(of) - n + 1), n, np.uint64)
+            for i in range(n):
+                h = h * ODD + of[i : len(of) - n + 1 + i]
+            return scramble(h)
 
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
-
-
-def shingles(text: bytes, width: int, hashes: WordHash) -> np.ndarray:
-    """Sorted distinct 64-bit shingles; a text of fewer words is one shingle, one without words has none."""
-    tokens = text.lower().split()  # of bytes: A-Z, and \x20 and \x09-\x0D
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
-    n = min(width, len(w))
-    h = np.full(len(w) - n + 1, n, np.uint64)
-    for i in range(n):
-        h = h * ODD + w[i : len(w) - n + 1 + i]
-    return np.unique(_mix(h))
+        every, end = grams(words, width), np.cumsum(sizes)
+        for n, e in zip(sizes.tolist(), end.tolist(), strict=True):
+            yield np.unique(every[e - n : e - width + 1]) if n >= width else grams(words[e - n : e], n) if n else words[:0]
 
 
 def overlap(a: int, b: int, percent: int) -> int:
@@ -84,20 +73,32 @@ def boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
         large = sum(k * (n - -(-percent * n // 100) + 1) * (1 + list_length) for n, k in sizes.items() if 100 * n // percent > b)
         return small + large
 
-    return min(range(LARGEST_SMALL + 1), key=lambda b: (cost(b), b))
+    most = 0
+    while _subset_cost(most + 1, most + 1, percent) <= MOST_SUBSETS:
+        most += 1
+    return min(range(most + 1), key=lambda b: (cost(b), b))
 
 
 def _fingerprint(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
+def _number(fingerprint: bytes) -> int:
+    return int.from_bytes(fingerprint[:8], "big", signed=True)
+
+
 #: Counts from FULL on stand for any number.
-BINS, FULL = 128, 65535
+BINS, FULL = 64, 255
 
 
 def histogram(own: np.ndarray) -> bytes:
-    """A set's shingles by 7 bits of their hashes: two sets share no more than the sum of the smaller counts."""
-    return np.minimum(np.bincount((own & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), FULL).astype(np.uint16).tobytes()
+    """A set's shingles by 6 bits of their hashes: two sets share no more than the sum of the smaller counts."""
+    return np.minimum(np.bincount((own & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), FULL).astype(np.uint8).tobytes()
+
+
+def early(n, percent: int):
+    """How many of a set's first keys can be the first that it shares with a set of its size or larger."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
 
 
 SCAN = "kind int, doc_id long, n long, print binary, bins binary, number long, counts binary"
@@ -113,11 +114,10 @@ def _scan(width: int):
         return pa.RecordBatch.from_arrays(arrays, names=["kind", *kinds])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, seen = WordHash(), np.zeros(1 << SKETCH_BITS, np.int64), False
+        counts, seen = np.zeros(1 << SKETCH_BITS, np.int64), False
         for batch in batches:
             n, prints, bins, every = [], [], [], []
-            for t in batch.column(1):
-                own = shingles(t.as_py(), width, hashes)
+            for own in shingle_sets(batch.column(1), width):
                 n.append(len(own))
                 prints.append(_fingerprint(own))
                 bins.append(histogram(own))
@@ -166,7 +166,7 @@ def keys_of(own: np.ndarray, counts: np.ndarray, small: int, percent: int) -> tu
             h = np.full(len(every), 1_000_003 + c, np.uint64)
             for i in range(c):
                 h = h * ODD + own[every[:, i]]
-            found.append(_mix(h))
+            found.append(scramble(h))
             places.append(np.full(len(every), -1, np.int32))
     if n and 100 * n // percent > small:
         order = np.argsort(counts[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
@@ -177,73 +177,102 @@ def keys_of(own: np.ndarray, counts: np.ndarray, small: int, percent: int) -> tu
 
 
 def _postings(shared, small: int, width: int, percent: int):
+    """Keys with class, size, place in the order by rarity, and late: the set can only be the larger of a pair that meets here first."""
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHash(), np.frombuffer(shared.value, np.uint32)
+        counts = np.frombuffer(shared.value, np.uint32)
         for batch in batches:
-            keys, places, owner, size = [], [], [], []
-            for t in batch.column(0):
-                own = shingles(t.as_py(), width, hashes)
+            keys, places, owner, size, late = [], [], [], [], []
+            for own in shingle_sets(batch.column(0), width):
                 if len(own):
                     k, p = keys_of(own, counts, small, percent)
                     keys.append(k.astype(np.int64))
                     places.append(p)
-                    owner.append(np.full(len(k), int.from_bytes(_fingerprint(own)[:8], "big", signed=True), np.int64))
+                    owner.append(np.full(len(k), _number(_fingerprint(own)), np.int64))
                     size.append(np.full(len(k), len(own), np.int32))
+                    late.append(p >= early(len(own), percent))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owner, size, places)], names=["key", "fp", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owner, size, places, late)], names=["key", "fp", "n", "place", "late"])
 
     return post
 
 
+class _Carried:
+    """What of a batch the next one needs: its last entry, and of that entry's list the first early entry and the last one before."""
+
+    def __init__(self) -> None:
+        self.entry, self.lead, self.before = None, None, None
+
+
 def _stars(percent: int):
-    """Lists come sorted by key, n, fp. Kind 0: each class with its list's first one; kind 1: the entries of lists of two classes at least."""
+    """Lists come sorted by key, n, late, fp. Kind 0: each class with its list's first early one; kind 1: the entries that have a partner in their list.
+
+    A pair's smaller set is an early entry of the first list that both are in. So an early entry has a partner if
+    the next entry is near in size or the early one before it is, a late entry if the early one before it is.
+    """
+
+    def near(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+        return small.astype(np.int64) * 100 >= large.astype(np.int64) * percent
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the list at a batch's end: its key, first class, and its first entry if that is still alone
-        for batch in batches:
-            key, fp, n, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        held = _Carried()
+
+        def found(cols: list[np.ndarray], last: bool) -> pa.RecordBatch | None:
+            if held.entry is not None:
+                cols = [np.r_[x, y] for x, y in zip(held.entry, cols, strict=True)]
+            key, fp, n, place, late = cols
             if not len(key):
-                continue
-            start = np.r_[True, key[1:] != key[:-1]]
-            first = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
-            lead, lead_n = fp[first].copy(), n[first].copy()
-            early = None
-            if held and held["key"] == key[0]:
-                run = first == 0
-                lead[run], lead_n[run] = held["fp"], held["n"]
-                early = held
-            other = lead != fp
-            many = np.zeros(len(key), bool)
-            many[first[other]] = True  # lists with a second class in this batch
-            alive = many[first]
-            if early:
-                run = first == 0
-                if early["open"]:
-                    alive |= run
-                elif other[0:][run].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *(pa.array([early[c]], t) for c, t in (("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("place", pa.int32())))], names=["kind", "a", "b", "n", "place"])
-            near = other & (lead_n * 100 >= n.astype(np.int64) * percent)
-            pairs = np.unique(np.stack([fp[near], lead[near]], 1), axis=0) if near.any() else np.zeros((0, 2), np.int64)
-            kind = np.r_[np.zeros(len(pairs), np.int32), np.ones(int(alive.sum()), np.int32)]
-            a, b = np.r_[pairs[:, 0], key[alive]], np.r_[pairs[:, 1], fp[alive]]
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b), pa.array(np.r_[np.zeros(len(pairs), np.int32), n[alive]]), pa.array(np.r_[np.zeros(len(pairs), np.int32), place[alive]])], names=["kind", "a", "b", "n", "place"])
-            i = first[-1]
-            if early and i == 0:
-                held = early | {"open": early["open"] or bool(other.any())}
-            else:
-                held = {"key": key[i], "fp": fp[i], "n": n[i], "place": place[i], "open": bool(alive[-1])}
+                return None
+            rows = np.arange(len(key))
+            start = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], rows, 0))
+            seen = np.maximum.accumulate(np.where(late, -1, rows))  # the last early entry at or before
+            ahead = np.r_[-1, seen[:-1]]
+            has = ahead >= start
+            before = np.where(has, n[np.maximum(ahead, 0)], 0)
+            order = np.flatnonzero(~late)
+            first = np.append(order, len(key))[np.searchsorted(order, start)]  # of a list the first early entry
+            led = first < rows
+            first = np.minimum(first, len(key) - 1)
+            lead_fp, lead_n, lead_place = fp[first], n[first], place[first]
+            if held.before is not None and held.before[0] == key[0]:
+                run = start == 0
+                early_now = run & ~has
+                before[early_now], has = held.before[1], has | early_now
+                lead_fp[run], lead_n[run], lead_place[run], led = *held.lead, led | run
+            follows = np.r_[(key[1:] == key[:-1]) & near(n[:-1], n[1:]), False]
+            alive = (~late & follows) | (has & near(before, n))
+            upto = len(key) if last else len(key) - 1
+            need = -(-percent * (lead_n.astype(np.int64) + n) // (100 + percent))
+            left = np.minimum(lead_n - np.maximum(lead_place, 0), n - np.maximum(place, 0))
+            star = (led & (lead_fp != fp) & near(lead_n, n) & (left >= need))[:upto]
+            pairs = np.unique(np.stack([fp[:upto][star], lead_fp[:upto][star]], 1), axis=0) if star.any() else np.zeros((0, 2), np.int64)
+            if not last:
+                i = len(key) - 1
+                held.entry = [x[i:] for x in cols]
+                held.before = (key[i], before[i]) if has[i] else None
+                held.lead = (lead_fp[i], lead_n[i], lead_place[i]) if has[i] else None
+            alive = alive[:upto]
+            kind, none = np.r_[np.zeros(len(pairs), np.int32), np.ones(int(alive.sum()), np.int32)], np.zeros(len(pairs), np.int32)
+            a, b = np.r_[pairs[:, 0], key[:upto][alive]], np.r_[pairs[:, 1], fp[:upto][alive]]
+            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b), pa.array(np.r_[none, n[:upto][alive]]), pa.array(np.r_[none, place[:upto][alive]])], names=["kind", "a", "b", "n", "place"])
+
+        for batch in batches:
+            if batch.num_rows:
+                yield found([c.to_numpy(zero_copy_only=False) for c in batch.columns], False)
+        if held.entry is not None:
+            yield found([x[:0] for x in held.entry], True)
 
     return sweep
 
 
 def _bins(column: pa.Array) -> np.ndarray:
-    counts = np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int64)
+    counts = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int64)
     counts[counts == FULL] = 1 << 40
     return counts
 
 
-def list_pairs(fp: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, bins: np.ndarray, percent: int) -> Iterator[np.ndarray]:
-    """Pairs of a list's classes (sorted by size) in different components that can still link."""
+def list_pairs(fp: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, part: np.ndarray, bins: np.ndarray, percent: int, across: bool) -> Iterator[np.ndarray]:
+    """Pairs of a list's classes (sorted by size) in different components that can still link; ``across``: of different parts only."""
     roots, at = np.unique(root, return_inverse=True)
     if len(roots) < 2:
         return
@@ -254,7 +283,7 @@ def list_pairs(fp: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarra
         # from this shingle on, no more can be common than either has left
         need = -(-percent * (n[lo:hi] + n[i]) // (100 + percent))
         left = np.minimum(n[lo:hi] - np.maximum(place[lo:hi], 0), n[i] - max(place[i], 0))
-        hit = np.flatnonzero((at[lo:hi] != at[i]) & (left >= need) & ((at[lo:hi] == most) | (np.arange(lo, hi) < i)))
+        hit = np.flatnonzero((at[lo:hi] != at[i]) & (left >= need) & ((part[lo:hi] != part[i]) | (not across)) & ((at[lo:hi] == most) | (np.arange(lo, hi) < i)))
         hit = hit[np.minimum(bins[lo:hi][hit], bins[i]).sum(1) >= need[hit]]
         if len(hit):
             other = fp[lo:hi][hit]
@@ -272,7 +301,7 @@ def _some_pairs(percent: int, seed: int):
             if batch.num_rows < 2:
                 continue
             key, fp, n, _, root = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:5])
-            order = np.lexsort((_mix(key.view(np.uint64) ^ (fp.view(np.uint64) * ODD) + np.uint64(seed)), key))
+            order = np.lexsort((scramble(key.view(np.uint64) ^ (fp.view(np.uint64) * ODD) + np.uint64(seed)), key))
             a, b = order[:-1], order[1:]
             need = -(-percent * (n[a] + n[b]) // (100 + percent))
             hit = np.flatnonzero((key[a] == key[b]) & (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= need))
@@ -285,18 +314,32 @@ def _some_pairs(percent: int, seed: int):
     return sweep
 
 
+#: Entries of a list that are compared in one task; a longer list is dealt to parts, and every two parts (and each with itself) make a cell.
+LIST_PART = 4096
+
+
+def in_cells(entries: DataFrame) -> DataFrame:
+    """``entries`` (key and others) with part, and across: whether their cell is of two parts; a row for each cell that an entry is in, whose number is cell."""
+    many = entries.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > LIST_PART)
+    many = stage(many.select("key", F.ceil(F.col("_n") / LIST_PART).cast("int").alias("_parts")), "jaccard_long_lists")
+    wide = entries.join(many, "key", "left").withColumn("part", F.pmod(F.xxhash64("class_id"), F.coalesce("_parts", F.lit(1))).cast("int"))
+    wide = wide.withColumn("_other", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    cell = F.least("part", "_other").cast("long") * 1_000_000 + F.greatest("part", "_other")
+    return wide.withColumn("cell", F.when(F.col("_parts").isNotNull(), cell).otherwise(F.lit(0).cast("long"))).withColumn("across", (F.col("part") != F.col("_other")).cast("long")).drop("_parts", "_other")
+
+
 def _pairs(percent: int):
-    """Lists come sorted by key and n; what of a list can meet entries of the next batch is held over."""
+    """Cells come sorted by key, cell and n; what of a cell can meet entries of the next batch is held over."""
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_bins = np.zeros((5, 0), np.int64), np.zeros((0, BINS), np.int64)
+        held, held_bins = np.zeros((8, 0), np.int64), np.zeros((0, BINS), np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:5]])
+            cols = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2, 3, 4, 6, 7, 8)])
             cols, bins = np.concatenate([held, cols], 1), np.concatenate([held_bins, _bins(batch.column(5))])
-            edges = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1], True])
-            found = [x for s, e in zip(edges[:-1], edges[1:], strict=True) for x in list_pairs(*cols[1:, s:e], bins[s:e], percent)]
+            edges = np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[6][1:] != cols[6][:-1]), True])
+            found = [x for s, e in zip(edges[:-1], edges[1:], strict=True) for x in list_pairs(*cols[1:6, s:e], bins[s:e], percent, bool(cols[7, s]))]
             held, held_bins = cols[:, edges[-2] :], bins[edges[-2] :]
             reach = held[2] * 100 >= held[2][-1] * percent
             held, held_bins = held[:, reach], held_bins[reach]
@@ -320,70 +363,48 @@ def _plausible(percent: int):
     return keep
 
 
-def _wanted(shared, bits: int):
-    """Keeps documents whose id may be among the wanted."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            spot = (_mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
-            yield batch.filter(pa.array(((wanted[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool)))
-
-    return keep
-
+def _owner(fp: np.ndarray, doc_id: pa.Array) -> np.ndarray:
+    """A number for a class and the row that stands for it; rows without an id share one."""
+    ids = doc_id.fill_null(-(1 << 62)).to_numpy(zero_copy_only=False).astype(np.int64)
+    return scramble(fp.astype(np.int64).view(np.uint64) * ODD + scramble(ids.view(np.uint64))).view(np.int64)
 
-def _marks(bits: int):
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            spot = (_mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
-            np.bitwise_or.at(own, spot >> 3, np.left_shift(np.uint8(1), (spot & 7).astype(np.uint8)))
-        for i, x in enumerate(np.split(own, SLICES)):
-            if x.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], names=["number", "marks"])
 
-    return mark
+def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_owner(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)))], names=["owner"])
 
 
-def _or_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    now, total = None, None
-    for batch in batches:
-        for i, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x = np.frombuffer(zlib.decompress(x), np.uint8)
-            if i != now:
-                if now is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["number", "marks"])
-                now, total = i, x.copy()
-            else:
-                total |= x
-    if now is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["number", "marks"])
+def _sets(width: int):
+    """owner, fp and shingles of each text, of equal sets in a task one at a time."""
 
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = list(shingle_sets(batch.column(1), width))
+            fp = np.array([_number(_fingerprint(x)) for x in own], np.int64)
+            _, first = np.unique(owner := _owner(fp, batch.column(0)), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(fp[first]), pa.array([own[i].tobytes() for i in first], pa.binary())], names=["owner", "fp", "shingles"])
 
-MARK_BITS = 1 << 25
+    return build
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text bytes of the documents in ``ids``. A bitmap of fixed size keeps most other texts out of the shuffle."""
-    marks = ids.select("doc_id").mapInArrow(_marks(MARK_BITS), "number long, marks binary")
-    marks = marks.repartition(SLICES // 8, "number").sortWithinPartitions("number").mapInArrow(_or_marks, "number long, marks binary")
-    wanted, each = bytearray(MARK_BITS // 8), MARK_BITS // 8 // SLICES
-    for row in marks.toLocalIterator():
-        wanted[row["number"] * each : (row["number"] + 1) * each] = row["marks"]
-    shared = docs.sparkSession.sparkContext.broadcast(bytes(wanted))
-    likely = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", text_bytes().alias("t")).mapInArrow(_wanted(shared, MARK_BITS), "doc_id long, t binary")
-    return likely.join(ids.select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """fp and shingles of the classes in ``wanted`` (fp, class_id), from the row that stands for each. A bitmap keeps most other sets out of the shuffle."""
+    owners = wanted.select("fp", "class_id").mapInArrow(_owners, "owner long")
+    bitmap, bits = marks(owners)
+    sets = docs.select("doc_id", text_bytes().alias("t")).mapInArrow(_sets(width), "owner long, fp long, shingles binary")
+    likely = marked(sets, docs.sparkSession.sparkContext.broadcast(bitmap), bits)
+    return likely.join(wanted.select("fp"), "fp").dropDuplicates(["fp"]).select("fp", "shingles")
 
 
-def _verify(width: int, percent: int):
-    """Groups come as the second class's text (kind 0) and those of the first ones (1): the pairs that link."""
+def _verify(percent: int):
+    """Groups come as the second class's set (kind 0) and those of the first ones (1): the pairs that link."""
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, now, lead = WordHash(), None, None
+        now, lead = None, None
         for batch in batches:
             linked = ([], [])
             for b, salt, kind, a, t in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                own = shingles(t, width, hashes)
+                own = np.frombuffer(t, np.uint64)
                 if kind == 0:
                     now, lead = (b, salt), own
                 elif now == (b, salt):
@@ -400,32 +421,35 @@ def _verify(width: int, percent: int):
 VERIFY_GROUP = 256
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (ids a, b of documents) whose texts link."""
-    pairs = stage(pairs, "jaccard_pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = stage(texts_of(docs, stage(ids, "jaccard_ids")), "jaccard_texts")
-    many = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_k"))
-    salted = pairs.join(many, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("_k") / VERIFY_GROUP)).cast("int"))
-    salted = stage(salted.select("a", "b", "salt"), "jaccard_salted")
-    one = salted.join(texts, salted["a"] == texts["doc_id"]).select("b", "salt", F.lit(1).alias("kind"), "a", "t")
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, staged: Staged) -> DataFrame:
+    """Those of ``pairs`` (a, b: fp of ``classes``) whose sets link."""
+    ids = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    wanted = staged.put(classes.select("fp", "class_id").join(ids, "fp"), "wanted")
+    sets = staged.put(sets_of(docs, wanted, width), "sets")
+    many = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_k", F.ceil(F.col("_rows") / VERIFY_GROUP))
+    salted = join_spread(pairs, staged.put(many, "many"), "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("_k")).cast("int"))
+    salted = staged.put(salted.select("a", "b", "salt"), "salted")
+    one = salted.join(sets, salted["a"] == sets["fp"]).select("b", "salt", F.lit(1).alias("kind"), "a", "shingles")
     heads = salted.select("b", "salt").distinct()
-    two = heads.join(texts, heads["b"] == texts["doc_id"]).select("b", "salt", F.lit(0).alias("kind"), F.col("b").alias("a"), "t")
+    two = heads.join(sets, heads["b"] == sets["fp"]).select("b", "salt", F.lit(0).alias("kind"), F.col("b").alias("a"), "shingles")
     dealt = two.unionByName(one).repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
-    return stage(dealt.mapInArrow(_verify(width, percent), "a long, b long"), "jaccard_links")
+    out = staged.put(dealt.mapInArrow(_verify(percent), "a long, b long"), "links")
+    staged.drop(wanted, sets, salted)
+    return out
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, staged: Staged | None = None) -> DataFrame:
     """node and root (the smallest node of its component) for every node of ``links`` (a, b): least-neighbour contraction."""
+    staged = staged or Staged(links.sparkSession, "components")
     edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
-    edges, roots = stage(edges, "component_edges"), None
+    edges, roots = staged.put(edges, "edges"), None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).toDF("node", "up")
-        up = stage(both.groupBy("node").agg(F.least("node", F.min("up")).alias("up")), "component_up")
+        up = staged.put(both.groupBy("node").agg(F.least("node", F.min("up")).alias("up")), "up")
         while True:  # follow the pointers to their ends
             over = up.select(F.col("node").alias("_n"), F.col("up").alias("_u"))
             step = up.join(over, up["up"] == over["_n"], "left").select("node", F.coalesce("_u", "up").alias("up"), (F.col("_u") < F.col("up")).alias("moved"))
-            step = stage(step, "component_up")
+            step = staged.put(step, "up")
             up = step.select("node", "up")
             if step.filter("moved").isEmpty():
                 break
@@ -433,10 +457,10 @@ def components(links: DataFrame) -> DataFrame:
         if roots is None:
             roots = up.withColumnRenamed("up", "root")
         else:
-            roots = stage(roots.join(x, roots["root"] == x["_n"], "left").select("node", F.coalesce("_u", "root").alias("root")), "component_roots")
+            roots = staged.put(roots.join(x, roots["root"] == x["_n"], "left").select("node", F.coalesce("_u", "root").alias("root")), "roots")
         moved = edges.join(x, edges["a"] == x["_n"]).select(F.col("_u").alias("a"), "b")
         moved = moved.join(x, moved["b"] == x["_n"]).select("a", F.col("_u").alias("b"))
-        edges = stage(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "component_edges")
+        edges = staged.put(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
     return roots if roots is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
 
 
@@ -444,56 +468,65 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with an equal set) and component_id of every document.
 
     A-Z count as lower case; words are separated by \\x20 and \\x09-\\x0D. A document without words (null, empty,
-    blank) links with nothing. Rows of one doc_id are rows of their own with the ids of their sets; a null doc_id
-    gets the component of documents that have ids, else null. An empty table gives an empty result; further
-    columns of ``docs`` are not read.
+    blank) links with nothing. Rows of one doc_id are rows of their own, each with the class and component of its
+    own text; rows without an id link as all others do, but only ids name classes and components, so where no
+    member has one the name is null. An empty table gives an empty result; further columns of ``docs`` are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark = docs.sparkSession
-    scan = stage(docs.select("doc_id", text_bytes().alias("t")).mapInArrow(_scan(width), SCAN), "jaccard_scan")
+    spark, staged = docs.sparkSession, Staged(docs.sparkSession, "jaccard")
+    put = staged.put
+    scan = put(docs.select("doc_id", text_bytes().alias("t")).mapInArrow(_scan(width), SCAN), "scan")
     slices = scan.filter("kind = 1").select("number", "counts")
     summed = slices.repartition(SLICES // 8, "number").sortWithinPartitions("number").mapInArrow(_sum_counts, "number long, counts binary")
     counts, each = bytearray(4 << SKETCH_BITS), (4 << SKETCH_BITS) // SLICES
     for row in summed.toLocalIterator():  # 4 bytes for each of the sketch's cells, whatever the input
         counts[row["number"] * each : (row["number"] + 1) * each] = row["counts"]
     members = scan.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "print", "bins")
-    classes = members.filter("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("bins").alias("bins"))
-    classes = stage(classes.withColumn("fp", F.conv(F.hex(F.substring("print", 1, 8)), 16, -10).cast("long")), "jaccard_classes")
-    sizes = {r["n"]: r["k"] for r in classes.filter(F.col("n") <= 2 * LARGEST_SMALL).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
+    classes = members.filter("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("bins").alias("bins"), F.count(F.lit(1)).alias("_rows"))
+    classes = put(classes.withColumn("fp", F.conv(F.hex(F.substring("print", 1, 8)), 16, -10).cast("long")), "classes")
+    sizes = {r["n"]: r["k"] for r in classes.groupBy("n").agg(F.count(F.lit(1)).alias("k")).filter(F.col("n") <= 64).collect()}
     lists = scan.filter("kind = 2").groupBy("number").agg(F.count(F.lit(1)).cast("double").alias("k")).agg(F.sum(F.col("k") * F.col("k")) / F.sum("k")).first()[0]
     small = boundary(sizes, lists or 1.0, percent)
 
     shared = spark.sparkContext.broadcast(bytes(counts))
-    posts = docs.select(text_bytes().alias("t")).mapInArrow(_postings(shared, small, width, percent), "key long, fp long, n int, place int")
-    swept = posts.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(_stars(percent), "kind int, a long, b long, n int, place int")
-    swept = stage(swept, "jaccard_lists")
-
-    ids = classes.filter(F.col("class_id").isNotNull()).select("fp", "class_id", "bins", F.col("n").alias("size"))
-    x, y = ids.toDF("_fa", "_a", "_ba", "_na"), ids.toDF("_fb", "_b", "_bb", "_nb")
-    stars = swept.filter("kind = 0").select("a", "b").distinct()
-    stars = stars.join(x, stars["a"] == x["_fa"]).join(y, stars["b"] == y["_fb"]).filter("_a <> _b")
-    tried = stage(stars.select("_a", "_b", "_ba", "_bb", "_na", "_nb").mapInArrow(_plausible(percent), "_a long, _b long").toDF("a", "b"), "jaccard_tried")
-    links = verified(tried, docs, width, percent)
-    roots = components(links)
-    entries = swept.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"), "n", "place").distinct()
-    entries = entries.join(ids.drop("bins"), "fp").select("key", "class_id", "n", "place")
-    for sweep in (_some_pairs(percent, 1), _some_pairs(percent, 2), _pairs(percent)):
-        z = roots.toDF("_node", "_root")
-        placed = entries.join(z, F.col("class_id") == z["_node"], "left")
-        placed = stage(placed.select("key", "class_id", "n", "place", F.coalesce("_root", "class_id").alias("root")), "jaccard_entries")
+    posts = docs.select(text_bytes().alias("t")).mapInArrow(_postings(shared, small, width, percent), "key long, fp long, n int, place int, late boolean")
+    swept = posts.repartition("key").sortWithinPartitions("key", "n", "late", "fp").mapInArrow(_stars(percent), "kind int, a long, b long, n int, place int")
+    swept = put(swept, "lists")
+
+    ids = classes.select("fp", "bins", F.col("n").alias("size"))
+    x, y = ids.toDF("a", "_ba", "_na"), ids.toDF("b", "_bb", "_nb")
+    stars = swept.filter("kind = 0").select("a", "b").distinct().join(x, "a").join(y, "b")
+    tried = put(stars.select("a", "b", "_ba", "_bb", "_na", "_nb").mapInArrow(_plausible(percent), "a long, b long"), "tried")
+    links = verified(tried, docs, classes, width, percent, staged)
+    roots = components(links, staged)
+    entries = put(swept.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("class_id"), "n", "place").distinct(), "entries")
+    staged.drop(swept)
+    for sweep in (_some_pairs(percent, 1), _some_pairs(percent, 2), None):
+        z = roots.toDF("class_id", "_root")
+        placed = put(entries.join(z, "class_id", "left").select("key", "class_id", "n", "place", F.coalesce("_root", "class_id").alias("root")), "placed")
         # lists that are one component by now are done with
         still = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-        opened = stage(placed.join(still, "key", "left_semi"), "jaccard_open")
+        opened = put(placed.join(still, "key", "left_semi"), "open")
+        staged.drop(entries, placed)
         entries = opened.drop("root")
-        held = opened.join(ids.drop("fp"), "class_id").select("key", "class_id", "n", "place", "root", "bins")
-        left = held.repartition("key").sortWithinPartitions("key", "n", "class_id").mapInArrow(sweep, "a long, b long").distinct()
-        left = stage(left.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"), "jaccard_left")
+        entries._staged_at = opened._staged_at
+        held = opened.join(ids.select(F.col("fp").alias("class_id"), "bins"), "class_id").select("key", "class_id", "n", "place", "root", "bins")
+        if sweep is not None:
+            left = held.repartition("key").sortWithinPartitions("key", "n", "class_id").mapInArrow(sweep, "a long, b long").distinct()
+        else:
+            cells = in_cells(held).select("key", "class_id", "n", "place", "root", "bins", "part", "cell", "across")
+            left = cells.repartition("key", "cell").sortWithinPartitions("key", "cell", "n", "class_id").mapInArrow(_pairs(percent), "a long, b long").distinct()
+        left = put(left.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"), "left")
         if not left.isEmpty():
-            tried = stage(tried.union(left), "jaccard_tried")
-            links = stage(links.union(verified(left, docs, width, percent)), "jaccard_all_links")
-            roots = components(links)
-    z = roots.toDF("_node", "_root")
-    named = classes.select("print", "class_id").join(z, F.col("class_id") == z["_node"], "left").select("print", "class_id", F.coalesce("_root", "class_id").alias("component_id"))
-    own = F.col("n_shingles") > 0
-    out = members.drop("bins").join(named, "print", "left")
-    return out.select("doc_id", "n_shingles", F.when(own, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+            more = verified(left, docs, classes, width, percent, staged)
+            tried, links = put(tried.union(left), "tried"), put(links.union(more), "all_links")
+            roots = components(links, staged)
+    z = roots.toDF("fp", "_root")
+    named = put(classes.select("print", "fp", "class_id", "_rows").join(z, "fp", "left").withColumn("root", F.coalesce("_root", "fp")), "rooted")
+    names = put(named.groupBy("root").agg(F.min("class_id").alias("component_id"), F.count(F.lit(1)).alias("_rows")), "names")
+    named = put(join_spread(named.select("print", "class_id", "root", F.col("_rows").alias("_members")), names, "root").select("print", "class_id", "component_id", F.col("_members").alias("_rows")), "named")
+    some = join_spread(members.filter("n_shingles > 0").drop("bins"), named, "print").select("doc_id", "n_shingles", "class_id", "component_id")
+    none = members.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    out = Staged(spark, "components").put(some.unionByName(none), "documents")
+    staged.drop()
+    return out
