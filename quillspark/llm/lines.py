@@ -4,6 +4,10 @@ One scan fills, per partition, a filter of the keys seen and one of the keys see
 by slice (a bit that two partitions have set counts as seen twice, so no repeated key is missed). A second scan
 sends only keys of the twice-seen filter through the shuffle, where they are counted exactly by a 128-bit
 digest; the lines of keys found in enough documents go from all documents but the one with the largest id.
+
+A filter has bits for all lines. Where that is more than a worker should hold, the keys are dealt to several passes
+by their hashes, each with filters of its own. The most frequent repeats are known to every worker; texts that
+hold others meet them by document, and no other text is shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extended, rest, stage, text_bytes, with_columns
+from .common import Staged, join_spread, marked, marks, rest, scramble, text_bytes
 
 SLICES = 64
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Bits of a filter for each line, and the most bits at all (2**29 bits: 64 MB). Beyond, more keys are suspected; results stay exact.
-BITS_PER_LINE, MAX_BITS = 8, 1 << 29
+#: Bits of a filter for each line, and the most bits in one pass (2**29 bits: 64 MB).
+BITS_PER_LINE, PASS_BITS = 8, 1 << 29
+#: Repeated keys that every worker holds with their keeper (24 bytes each), the most frequent ones; all others are joined.
+HELD_KEYS = 50_000
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -54,17 +61,23 @@ def _add(filter_: np.ndarray, hashes: np.ndarray, bits: int) -> None:
         np.bitwise_or.at(filter_, s >> 3, np.left_shift(np.uint8(1), (s & 7).astype(np.uint8)))
 
 
-def _filters(bits: int, min_chars: int):
+def _hashes(texts: pa.Array, min_chars: int, turn: int, turns: int) -> np.ndarray:
+    """Hashes of the keys of each text, of those whose turn it is."""
+    found = np.array([xxhash.xxh3_64_intdigest(k) for t in texts.to_pylist() for k in _keys(t, min_chars)], np.uint64)
+    return found if turns == 1 else found[scramble(found) % np.uint64(turns) == turn]
+
+
+def _filters(bits: int, min_chars: int, turn: int, turns: int):
     """Per partition: slices of the once-seen and the twice-seen filter."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         seen = False
         for batch in batches:
-            hashes = [xxhash.xxh3_64_intdigest(k) for t in batch.column(0).to_pylist() for k in _keys(t, min_chars)]
-            if hashes:
+            hashes = _hashes(batch.column(0), min_chars, turn, turns)
+            if len(hashes):
                 seen = True
-                each, counts = np.unique(np.array(hashes, np.uint64), return_counts=True)
+                each, counts = np.unique(hashes, return_counts=True)
                 _add(twice, each[(counts > 1) | _has(once, each, bits)], bits)
                 _add(once, each, bits)
         if seen:
@@ -96,25 +109,24 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def filter_bits(lines: int) -> int:
-    return min(MAX_BITS, 1 << max(16, math.ceil(math.log2(max(1, lines) * BITS_PER_LINE))))
+def filter_bits(lines: int, most: int) -> tuple[int, int]:
+    """Bits of a filter in one pass, and passes."""
+    bits = 1 << max(16, math.ceil(math.log2(max(1, lines) * BITS_PER_LINE)))
+    return min(bits, most), max(1, bits // most)
 
 
-def twice_seen(docs: DataFrame, min_chars: int) -> tuple[bytes, int]:
-    """The twice-seen filter of all lines and its bits. At most MAX_BITS / 8 bytes reach the driver."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
-    bits = filter_bits(lines)
-    parts = docs.select(text_bytes().alias("t")).mapInArrow(_filters(bits, min_chars), "slice int, once binary, twice binary")
+def twice_seen(docs: DataFrame, min_chars: int, bits: int, turn: int = 0, turns: int = 1) -> bytes:
+    """The twice-seen filter of the lines of one pass; ``bits`` / 8 bytes reach the driver."""
+    parts = docs.select(text_bytes().alias("t")).mapInArrow(_filters(bits, min_chars, turn, turns), "slice int, once binary, twice binary")
     merged = parts.repartition(SLICES // 4, "slice").sortWithinPartitions("slice").mapInArrow(_merge, "slice int, twice binary")
     out = bytearray(bits // 8)
     each = bits // 8 // SLICES
     for row in merged.toLocalIterator():
         out[row["slice"] * each : (row["slice"] + 1) * each] = row["twice"]
-    return bytes(out), bits
+    return bytes(out)
 
 
-def _suspects(shared, bits: int, min_chars: int):
+def _suspects(shared, bits: int, min_chars: int, turn: int, turns: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
@@ -124,67 +136,78 @@ def _suspects(shared, bits: int, min_chars: int):
                 keys += own
                 owner += [i] * len(own)
             if keys:
-                hit = np.flatnonzero(_has(filter_, np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), bits))
+                hashes = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
+                hit = np.flatnonzero(_has(filter_, hashes, bits) & ((turns == 1) | (scramble(hashes) % np.uint64(turns) == turn)))
                 ids = batch.column(0).take(pa.array(np.array(owner, np.int64)[hit]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([xxhash.xxh3_128_digest(keys[j]) for j in hit], pa.binary())], names=["doc_id", "key"])
 
     return scan
 
 
-#: Keys that are broadcast at most: each holds 1 / HOT_KEYS or more of all repeats, so there can't be more of them.
-HOT_KEYS = 1000
-
-
-def with_keepers(suspects: DataFrame, found: DataFrame) -> DataFrame:
-    """``suspects`` of the keys in ``found`` (key, n, keeper); rows of hot keys stay where they are, all others meet by key."""
-    total = found.agg(F.sum("n")).first()[0] or 0
-    is_hot = F.col("n") * HOT_KEYS >= F.lit(total)
-    hot, cool = found.filter(is_hot).select("key", "keeper"), found.filter(~is_hot).select("key", "keeper")
-    spread = suspects.join(F.broadcast(hot), "key")
-    return spread.unionByName(suspects.join(F.broadcast(hot.select("key")), "key", "left_anti").join(cool, "key"))
-
+def _drop(held, min_chars: int):
+    """Texts without the lines of ``held`` keys (key: keeper) that others keep, and of the keys in ``drop``."""
 
-def _drop(min_chars: int, columns: set[str]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keepers = held.value
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
-            at = batch.schema.get_field_index
-            for t, drop in zip(batch.column(at("_bytes")).to_pylist(), batch.column(at("_drop")).to_pylist(), strict=True):
-                lines = t.split(b"\n")
+            for doc, t, drop in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                lines, gone, kept = t.split(b"\n"), frozenset(drop or ()), []
+                for x in lines:
+                    if (k := line_key(x, min_chars)) is not None:
+                        h = xxhash.xxh3_128_digest(k)
+                        if h in gone or keepers.get(h, doc) != doc:
+                            continue
+                    kept.append(x)
                 n_lines.append(len(lines))
-                if drop:
-                    gone = set(drop)
-                    lines = [x for x in lines if (k := line_key(x, min_chars)) is None or xxhash.xxh3_128_digest(k) not in gone]
-                n_dropped.append(n_lines[-1] - len(lines))
-                texts.append(b"\n".join(lines) if n_dropped[-1] else t)
-            yield with_columns(batch, columns, text=pa.array(texts, pa.binary()).cast(pa.string()), n_lines=pa.array(n_lines, pa.int64()), n_dropped=pa.array(n_dropped, pa.int64()))
+                n_dropped.append(len(lines) - len(kept))
+                texts.append(b"\n".join(kept) if n_dropped[-1] else t)
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=["own", "text", "n_lines", "n_dropped"])
 
     return cut
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, pass_bits: int = PASS_BITS, held_keys: int = HELD_KEYS) -> DataFrame:
     """All columns of ``docs``, text without its repeated lines, n_lines and n_dropped.
 
     Null text counts as empty and comes back empty; rows of one doc_id are one document, a null doc_id the
     smallest; a line twice in one document counts once; an empty table gives an empty result; columns named
-    like an output are replaced. No line but those of confirmed keys is touched.
+    like an output are replaced. No line but those of confirmed keys is touched. ``pass_bits`` and ``held_keys``
+    decide how the work is done, not what comes out.
     """
-    docs = docs.select(rest(docs, "n_lines", "n_dropped", "_bytes", "_drop"))
-    spark = docs.sparkSession
-    filter_, bits = twice_seen(docs, min_chars)
-    shared = spark.sparkContext.broadcast(filter_)
-    kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("key", T.BinaryType())])
-    suspects = docs.select("doc_id", text_bytes().alias("t")).mapInArrow(_suspects(shared, bits, min_chars), schema)
-    suspects = stage(suspects.distinct(), "line_suspects")
-    found = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
-    found = stage(found.filter(F.col("n") >= min_docs), "line_repeats")
-    drops = with_keepers(suspects, found).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    drops = drops.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("key").alias("_drop"))
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_id"]), "left").drop("_id").withColumn("_bytes", text_bytes())
-    gone = {"text", "_bytes", "_drop"}
-    out = joined.drop("text").mapInArrow(_drop(min_chars, gone), extended(joined.schema, gone, text=T.StringType(), n_lines=T.LongType(), n_dropped=T.LongType()))
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    docs = docs.select(rest(docs, "n_lines", "n_dropped"))
+    spark, staged = docs.sparkSession, Staged(docs.sparkSession, "lines")
+    text, kind = F.coalesce(F.col("text").cast("string"), F.lit("")), docs.schema["doc_id"].dataType
+    n = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    bits, turns = filter_bits(n, pass_bits)
+    narrow, schema = docs.select("doc_id", text_bytes().alias("t")), T.StructType([T.StructField("doc_id", kind), T.StructField("key", T.BinaryType())])
+    found = []
+    for turn in range(turns):
+        shared = spark.sparkContext.broadcast(twice_seen(docs, min_chars, bits, turn, turns))
+        found.append(staged.put(narrow.mapInArrow(_suspects(shared, bits, min_chars, turn, turns), schema).distinct(), "suspects"))
+    suspects = reduce(DataFrame.union, found)
+    repeats = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"), F.max("doc_id").alias("keeper")).filter(F.col("_rows") >= min_docs)
+    repeats = staged.put(repeats, "repeats")
+    held = {bytes(r["key"]): r["keeper"] for r in repeats.orderBy(F.col("_rows").desc(), "key").limit(held_keys).collect()}
+    shared = spark.sparkContext.broadcast(held)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("own")
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("string")).alias("_h"), F.col("doc_id").alias("_id"), text_bytes().alias("_bytes"), own)
+    drop = F.lit(None).cast("array<binary>").alias("_drop")
+    if repeats.count() > len(held):
+        known = spark.createDataFrame([(k,) for k in held], "key binary")
+        others = repeats.join(F.broadcast(known), "key", "left_anti")
+        drops = join_spread(suspects, others, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        drops = staged.put(drops.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("key").alias("_drop")).withColumn("_hash", F.xxhash64(F.col("_doc").cast("string"))), "drops")
+        bitmap, size = marks(drops.select("_hash"))
+        bitmap = spark.sparkContext.broadcast(bitmap)
+        # only texts that may hold such lines move
+        met = marked(rows, bitmap, size).join(drops, (F.col("_h") == F.col("_hash")) & F.col("_id").eqNullSafe(F.col("_doc")), "left")
+        rows = marked(rows, bitmap, size, False).select("_id", "_bytes", drop, "own").unionByName(met.select("_id", "_bytes", "_drop", "own"))
+    else:
+        rows = rows.select("_id", "_bytes", drop, "own")
+    outputs = T.StructType.fromDDL("text string, n_lines long, n_dropped long")
+    out = rows.mapInArrow(_drop(shared, min_chars), T.StructType([rows.schema["own"], *outputs]))
+    return out.select(*["text" if c == "text" else F.col(f"own.`{c}`") for c in docs.columns], "n_lines", "n_dropped")
 
 
 SQL = """
