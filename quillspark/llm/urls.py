@@ -2,7 +2,9 @@
 
 A host is written with its labels reversed ("com.example.m."), so that a rule's host and all its subdomains are
 one interval of keys. Urls and rules are dealt by key range, a rule to every range that its interval meets, and
-sorted; one sweep over a range keeps a stack of the rules that are open there, each nested in the one below.
+sorted; one sweep over a range keeps a stack of the rules that are open there, each nested in the one below. Since
+subdomains stand between a host and its paths in that order, intervals are of hosts; each open host has its rules'
+paths at hand by their lengths.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import rest
 
@@ -90,7 +93,7 @@ def judge(stack: list[Open], host: str, path: str) -> tuple[str, str] | None:
     return best and best[1:]
 
 
-def _sweep(default: str, columns: list[str]):
+def _sweep(default: str):
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, stack = None, []
         for batch in batches:
@@ -112,8 +115,7 @@ def _sweep(default: str, columns: list[str]):
                     rules.append(found and found[0])
                     verdicts.append(found[1] if found else default)
             rows = batch.take(pa.array(keep, pa.int64()))
-            out = {"host": rows.column(3), "path": rows.column(4)} | {c: rows.column(rows.schema.get_field_index(c)) for c in columns}
-            yield pa.RecordBatch.from_arrays([*out.values(), pa.array(rules, pa.string()), pa.array(verdicts, pa.string())], names=[*out, "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([rows.column(6), rows.column(3), rows.column(4), pa.array(rules, pa.string()), pa.array(verdicts, pa.string())], names=["own", "host", "path", "rule", "verdict"])
 
     return sweep
 
@@ -124,30 +126,31 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     A rule fits its host and all subdomains, if the url's path starts with the rule's. Without a fitting rule,
     rule is null and the verdict is ``default``; so for a null url or one without ``://``. Of equal rules block
     wins; rules with an empty host or a null part are left out. Equal urls are judged alike; an empty table
-    gives an empty result; columns named like an output are replaced.
+    gives an empty result; columns named like an output are replaced, all others come back whatever their names
+    and types.
     """
     spark = pages.sparkSession
-    columns = rest(pages, "host", "path", "rule", "verdict", "range", "kind", "key", "dealt")
+    columns = rest(pages, "host", "path", "rule", "verdict")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     url = F.col("url").cast("string")
-    rows = pages.withColumns({"host": host_of(url), "path": path_of(url), "_url": F.xxhash64(*[F.col(c) for c in columns if not c.startswith("html")])})
+    own = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("own")
+    rows = pages.select(own, host_of(url).alias("host"), path_of(url).alias("path"), F.xxhash64(url, F.monotonically_increasing_id()).alias("_row"))
     rows = rows.withColumn("key", host_key(F.col("host")))
     # a host with many urls spans several ranges: its rows are told apart by a hash
-    rows = rows.withColumn("dealt", F.concat("key", F.lit("\0"), F.lpad(F.hex("_url"), 16, "0")))
-    some = rows.select("dealt", "_url").orderBy(F.xxhash64("_url")).limit(ranges * BOUND_ROWS).select("dealt").collect()
-    some = sorted(r["dealt"] for r in some)
-    bounds = spark.sparkContext.broadcast(some[BOUND_ROWS::BOUND_ROWS])
-    head = "range int, kind int, key string, host string, path string, verdict string"
-    own = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in columns)
-    urls = rows.select("dealt", F.lit(1).alias("kind"), "key", "host", "path", F.lit(None).cast("string").alias("verdict"), *[F.col(f"`{c}`") for c in columns])
-    urls = urls.mapInArrow(_range_ids(bounds), f"{head}, {own}")
+    rows = rows.withColumn("dealt", F.concat("key", F.lit("\0"), F.lpad(F.hex("_row"), 16, "0")))
+    some = rows.select("dealt", "_row").orderBy("_row").limit(ranges * BOUND_ROWS).select("dealt").collect()
+    bounds = spark.sparkContext.broadcast(sorted(r["dealt"] for r in some)[BOUND_ROWS::BOUND_ROWS])
+    head = T.StructType.fromDDL("range int, kind int, key string, host string, path string, verdict string")
+    kept = rows.schema["own"]
+    urls = rows.select("dealt", F.lit(1).alias("kind"), "key", "host", "path", F.lit(None).cast("string").alias("verdict"), "own")
+    urls = urls.mapInArrow(_range_ids(bounds), T.StructType([*head, kept]))
     named = rules.select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").filter("host <> '' and path is not null and verdict is not null")
     named = named.withColumn("key", host_key(F.col("host"))).select("key", F.lit(0).alias("kind"), F.col("key").alias("_k"), "host", "path", "verdict")
     named = named.mapInArrow(_rule_ranges(bounds), head)
     both = urls.unionByName(named, allowMissingColumns=True)
     dealt = both.repartition(ranges, "range").sortWithinPartitions("range", "key", "kind")
-    out = dealt.mapInArrow(_sweep(default, columns), f"host string, path string, {own}, rule string, verdict string")
-    return out.select(*[F.col(f"`{c}`") for c in columns], "host", "path", "rule", "verdict")
+    out = dealt.mapInArrow(_sweep(default), T.StructType([kept, *T.StructType.fromDDL("host string, path string, rule string, verdict string")]))
+    return out.select(*[F.col(f"own.`{c}`") for c in columns], "host", "path", "rule", "verdict")
 
 
 #: The rules of the registered query.
