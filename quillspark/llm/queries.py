@@ -18,7 +18,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return maskedlm.score_documents(docs, maskedlm.train(docs)).drop("text")
+    return maskedlm.score_documents(docs, maskedlm.train(docs), keep=["doc_id"])
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("all").alias("spans"))
 
