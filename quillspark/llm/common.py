@@ -240,13 +240,17 @@ def marks(numbers: DataFrame) -> tuple[bytes, int]:
     return bytes(out), bits
 
 
+def may_be_marked(numbers: pa.Array, bitmap: bytes, bits: int) -> pa.Array:
+    own, spot = np.frombuffer(bitmap, np.uint8), _spots(numbers, bits)
+    return pa.array(((own[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool))
+
+
 def marked(rows: DataFrame, found, bits: int, want: bool = True) -> DataFrame:
     """Of ``rows`` (whose first column is a long) those whose number may be marked, or (not ``want``) surely isn't. ``found``: the broadcast bitmap."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.frombuffer(found.value, np.uint8)
         for batch in batches:
-            spot = _spots(batch.column(0), bits)
-            yield batch.filter(pa.array(((own[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool) == want))
+            likely = may_be_marked(batch.column(0), found.value, bits)
+            yield batch.filter(likely if want else pc.invert(likely))
 
     return rows.mapInArrow(keep, rows.schema)

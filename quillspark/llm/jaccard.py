@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Staged, hash_words, join_spread, marked, marks, scramble, some_rows, stage, text_bytes
+from .common import BLANKS, Staged, hash_words, join_spread, marks, may_be_marked, scramble, some_rows, stage, text_bytes
 
 SLICES, SKETCH_BITS = 64, 21
 SAMPLE = np.uint64(1 << 54)  # shingles below it (1 of 1,024) measure the list lengths
@@ -363,37 +363,28 @@ def _plausible(percent: int):
     return keep
 
 
-def _owner(fp: np.ndarray, doc_id: pa.Array) -> np.ndarray:
-    """A number for a class and the row that stands for it; rows without an id share one."""
-    ids = doc_id.fill_null(-(1 << 62)).to_numpy(zero_copy_only=False).astype(np.int64)
-    return scramble(fp.astype(np.int64).view(np.uint64) * ODD + scramble(ids.view(np.uint64))).view(np.int64)
+#: Stands for a missing id where ids are marked.
+NO_ID = -(1 << 62)
 
 
-def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_owner(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)))], names=["owner"])
-
-
-def _sets(width: int):
-    """owner, fp and shingles of each text, of equal sets in a task one at a time."""
+def _sets(width: int, bitmap, bits: int):
+    """fp and shingles of the texts whose id is marked, of equal sets in a batch one."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = list(shingle_sets(batch.column(1), width))
-            fp = np.array([_number(_fingerprint(x)) for x in own], np.int64)
-            _, first = np.unique(owner := _owner(fp, batch.column(0)), return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(fp[first]), pa.array([own[i].tobytes() for i in first], pa.binary())], names=["owner", "fp", "shingles"])
+            batch = batch.filter(may_be_marked(batch.column(0), bitmap.value, bits))
+            own = {_number(_fingerprint(x)): x.tobytes() for x in shingle_sets(batch.column(1), width)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.binary())], names=["fp", "shingles"])
 
     return build
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """fp and shingles of the classes in ``wanted`` (fp, class_id), from the row that stands for each. A bitmap keeps most other sets out of the shuffle."""
-    owners = wanted.select("fp", "class_id").mapInArrow(_owners, "owner long")
-    bitmap, bits = marks(owners)
-    sets = docs.select("doc_id", text_bytes().alias("t")).mapInArrow(_sets(width), "owner long, fp long, shingles binary")
-    likely = marked(sets, docs.sparkSession.sparkContext.broadcast(bitmap), bits)
-    return likely.join(wanted.select("fp"), "fp").dropDuplicates(["fp"]).select("fp", "shingles")
+    """fp and shingles of the classes in ``wanted`` (fp, class_id), from the rows whose id names them. A bitmap of the ids keeps most other texts from being read into sets."""
+    bitmap, bits = marks(wanted.select(F.coalesce("class_id", F.lit(NO_ID)).alias("id")))
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), text_bytes().alias("t"))
+    sets = texts.mapInArrow(_sets(width, docs.sparkSession.sparkContext.broadcast(bitmap), bits), "fp long, shingles binary")
+    return sets.join(wanted.select("fp"), "fp").dropDuplicates(["fp"]).select("fp", "shingles")
 
 
 def _verify(percent: int):
