@@ -39,7 +39,7 @@ DISABLED = ("WHITESPACE_RULE", "CONSECUTIVE_SPACES", "SENTENCE_WHITESPACE", "EN_
 IDENTIFIER = r"^[A-Z]{2,}(?:[-_][A-Z0-9]{1,6}){1,4}$"
 IGNORED_TERMS = ("five-whys", "five whys", "5-whys", "fishbone", "ishikawa", "pareto", "kaizen", "gemba", "poka-yoke", "capa")
 SPELLING_VARIANT = r"(?i)\bis (?:British|American) English\b"
-ISSUES = 50
+ISSUES, REPLACEMENTS = 50, 5
 TOLERANCES = {"size": 0.5, "line": 0.05, "before": 3.0, "after": 3.0}
 
 
@@ -113,7 +113,7 @@ def author(m: Model, c: Config) -> DataFrame:
     cols = ["doc_id", "place", "value", "counts"]
     core = m.docs.select("doc_id", F.explode(F.array(F.struct(F.lit("author property").alias("place"), F.col("author").alias("value")), F.struct(F.lit("last modified by").alias("place"), F.col("modified_by").alias("value")))).alias("x")).select("doc_id", "x.*")
     core = core.filter("value <> ''").withColumn("counts", ~is_default(F.col("value"), c))
-    top = structure.flow_positions(m.paragraphs).filter("flow_pos < 25")
+    top = m.flow().filter("flow_pos < 25")
     name = F.trim(F.regexp_extract("text", AUTHOR_LINE, 1))
     lines = top.select("doc_id", F.col("location").alias("place"), name.alias("value"), (name != "").alias("counts"))
     label = m.labelled(AUTHOR_LABEL).select("doc_id", table_name(F.col("table_index")).alias("place"), "value", (~is_default(F.col("value"), c)).alias("counts"))
@@ -214,8 +214,9 @@ def signatures(m: Model, c: Config) -> DataFrame:
 def signature_dates(m: Model, c: Config) -> DataFrame:
     wide = max(1, c.date_window)
     first = F.get(D.parseable(X.date_strings(F.col("text"))), F.lit(0))
+    dates = lambda df, *keys: df.select(*keys, "text").filter(F.col("text").rlike(X.ANY_DATE)).select(*keys, first.alias("day")).filter("day is not null")  # noqa: E731  only texts that may hold a date go through the parser
     skip = m.revision_table().select("doc_id", F.col("table_index").alias("t"), F.lit(True).alias("past"))
-    flow = structure.flow_positions(m.paragraphs.withColumn("day", first).join(skip, ["doc_id", "t"], "left"))
+    flow = m.flow().join(dates(m.paragraphs, "doc_id", "block_index"), ["doc_id", "block_index"], "left").join(skip, ["doc_id", "t"], "left")
     near = F.collect_list(F.when(F.col("day").isNotNull() & F.col("past").isNull(), F.struct(F.col("flow_pos").alias("p"), "day"))).over(structure.in_order().rowsBetween(-wide, wide))
     own = F.col("flow_pos")
     flow = flow.withColumn("near", F.get(F.array_sort(F.transform(F.filter(near, lambda x: x["p"] != own), lambda x: F.struct(F.abs(x["p"] - own), x["p"], x["day"].alias("day")))), F.lit(0))["day"])
@@ -225,7 +226,7 @@ def signature_dates(m: Model, c: Config) -> DataFrame:
     anchors = anchors.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "t", "r").orderBy("block_index"))).filter("_k = 1").drop("_k")
     anchors = anchors.withColumn("location", text_of(table_name(F.col("t")), ", row ", (F.col("r") + 1).cast("string")))
     lines = signature_lines(m).select("doc_id", "block_index").join(flow, ["doc_id", "block_index"]).join(tables, ["doc_id", "t"], "left").filter("signing is null").drop("signing")
-    in_row = m.cells.withColumn("day", first).filter("day is not null").groupBy("doc_id", F.col("table_index").alias("t"), F.col("row").alias("r")).agg(F.min_by("day", "col").alias("beside"))
+    in_row = dates(m.cells, "doc_id", "table_index", "row", "col").groupBy("doc_id", F.col("table_index").alias("t"), F.col("row").alias("r")).agg(F.min_by("day", "col").alias("beside"))
     every = lines.select(*(cols := ["doc_id", "block_index", "location", "day", "near", "t", "r"])).unionByName(anchors.select(*cols)).join(in_row, ["doc_id", "t", "r"], "left")
     every = every.withColumn("date", F.coalesce("day", "beside", "near"))
     found = every.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count("date").alias("dated"), ordered(text_of(F.col("location"), ": ", F.coalesce("date", F.lit("no date"))), F.col("block_index")).alias("seen"), ordered(F.when(F.col("date").isNull(), F.col("location")), F.col("block_index")).alias("bare"), ordered(F.col("location"), F.col("block_index")).alias("at"))
@@ -269,13 +270,13 @@ def formatting(m: Model, c: Config) -> DataFrame:
 
 @rule(9, "Language", "warning")
 def language(m: Model, c: Config) -> DataFrame:
-    """``checker``: Column of texts in, array<struct<message, offset, length, rule_id, matched>> out."""
+    """``checker``: Column of texts in, array<struct<message, offset, length, rule_id, matched, replacements>> out."""
     if c.checker is None:
         return verdict(m, m.docs.select("doc_id"), F.lit(None), F.lit("No language checker is set."))
     rows = m.paragraphs.filter(~F.col("in_table") & F.col("level").isNull() & (X.word_count(F.col("text")) >= c.min_words_for_language))
     terms = [t.lower() for t in (*IGNORED_TERMS, *c.ignore_words) if t.strip()]
     fine = lambda i: ~i["rule_id"].isin(*DISABLED) & ~i["matched"].rlike(IDENTIFIER) & ~i["message"].rlike(SPELLING_VARIANT) & ~reduce(lambda a, b: a | b, [F.lower(i["matched"]).contains(t) for t in terms])
-    rows = rows.withColumn("issues", F.transform(F.filter(c.checker(F.col("text")), lambda i: yes(fine(i))), lambda i: text_of(F.col("location"), ": ", i["message"])))
+    rows = rows.withColumn("issues", F.transform(F.filter(c.checker(F.col("text")), lambda i: yes(fine(i))), lambda i: text_of(F.col("location"), ": ", i["message"], F.when(F.size(i["replacements"]) > 0, text_of(" (", F.array_join(F.slice(i["replacements"], 1, REPLACEMENTS), ", "), ")")).otherwise(""))))
     found = rows.groupBy("doc_id").agg(F.flatten(ordered(F.col("issues"), F.col("block_index"))).alias("all"), ordered(F.when(F.size("issues") > 0, F.col("location")), F.col("block_index")).alias("at"))
     message = F.when(F.col("all").isNull(), "No paragraph is long enough to check.").otherwise(text_of("Language issues: ", F.least(F.size("all"), F.lit(ISSUES)).cast("string")))
     return verdict(m, found, yes(F.size("all") == 0), message, F.slice("all", 1, ISSUES), F.col("at"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import structure
+from quillspark.sources.staging import Staged
 
 from .checks import RULES, verdict
 from .model import Config, Model
@@ -17,21 +19,49 @@ def rule_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, name, severity) for k, (name, severity, _) in sorted(RULES.items())], "rule_id int, rule_name string, severity string")
 
 
+def _finding(found: DataFrame, k: int) -> DataFrame:
+    name, severity, _ = RULES[k]
+    severity = F.when(F.col("passed").isNull(), "info").otherwise(severity)
+    return found.select("doc_id", F.lit(k).alias("rule_id"), F.lit(name).alias("rule_name"), "passed", severity.alias("severity"), "message", "evidence", "locations", "confidence")
+
+
+def _failed(m: Model, k: int, e: Exception) -> DataFrame:
+    return _finding(verdict(m, m.docs.select("doc_id"), F.lit(None), F.lit(f"The rule failed: {type(e).__name__}")), k)
+
+
 def evaluate(m: Model, config: Config | None = None, only: list[int] | None = None) -> DataFrame:
     """Findings of all rules, or of those in ``only`` (KeyError if one is unknown).
 
-    A rule that can't be planned gives verdicts of null; one that nobody can judge has severity info.
+    One rule is planned and left to its reader. Several run here, one after the other, over tables that are read from
+    their source once: the model and what rules share of it are staged as Parquet, and so are the findings. A rule
+    that can't be planned or run gives verdicts of null and leaves the others alone; one that nobody can judge has
+    severity info.
     """
-    frames = []
-    for k in sorted(RULES) if only is None else only:
-        name, severity, apply = RULES[k]
+    rules = sorted(RULES) if only is None else only
+    found = [(k, RULES[k][2]) for k in rules]
+    config = config or Config()
+    if len(found) == 1:
+        k, apply = found[0]
         try:
-            found = apply(m, config or Config())
+            return _finding(apply(m, config), k)
+        except Exception as e:
+            return _failed(m, k, e)
+    staged = Staged(m.docs.sparkSession, "rules")
+    m, out = m.staged(staged), []
+    for k, apply in found:
+        try:
+            out.append(staged.put(_finding(apply(m, config), k), f"rule_{k}"))
         except Exception as e:  # a rule must not take the others down
-            found = verdict(m, m.docs.select("doc_id"), F.lit(None), F.lit(f"The rule failed: {type(e).__name__}"))
-        severity = F.when(F.col("passed").isNull(), "info").otherwise(severity)
-        frames.append(found.select("doc_id", F.lit(k).alias("rule_id"), F.lit(name).alias("rule_name"), "passed", severity.alias("severity"), "message", "evidence", "locations", "confidence"))
-    return reduce(DataFrame.unionByName, frames)
+            logging.getLogger(__name__).exception("rule %s failed", k)
+            out.append(_failed(m, k, e))
+    return reduce(DataFrame.unionByName, out)
+
+
+def with_status(findings: DataFrame, status: str = "all") -> DataFrame:
+    """The findings that are shown for all, failed, passed or na (not evaluated)."""
+    passed = F.col("passed")
+    wanted = {"all": F.lit(True), "passed": F.coalesce(passed, F.lit(False)), "failed": F.coalesce(~passed, F.lit(False)), "na": passed.isNull()}
+    return findings.filter(wanted[status])
 
 
 def summary(findings: DataFrame) -> DataFrame:

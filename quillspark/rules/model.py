@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, field, fields, replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.operators import structure
+from quillspark.sources.staging import Staged
 
 # Names that are nobody's, marking terms, label and header patterns.
 DEFAULT_AUTHORS = (
@@ -55,6 +57,17 @@ class Config:
     footer_require_all: bool = False
     now: datetime | None = None
 
+    @classmethod
+    def from_form(cls, given: dict[str, str] | None) -> Config:
+        """Text fields as a form sends them: lists are comma-separated, numbers and flags written out; blank fields are passed over."""
+        known, out = {f.name: getattr(cls(), f.name) for f in fields(cls) if f.name not in ("checker", "now")}, {}
+        for k, v in (given or {}).items():
+            if k not in known or not v.strip():
+                continue
+            kind = type(known[k])
+            out[k] = tuple(x.strip() for x in v.split(",") if x.strip()) if kind is tuple else v.strip().lower() in ("true", "on", "1", "yes") if kind is bool else kind(v)
+        return replace(cls(), **out)
+
     @classmethod
     def from_dict(cls, given: dict | None) -> Config:
         """Unknown keys and the checker are passed over; lists become tuples."""
@@ -71,6 +84,20 @@ class Model:
     paragraphs: DataFrame
     cells: DataFrame
     footers: DataFrame
+    shared: dict[str, DataFrame] = field(default_factory=dict)
+
+    def staged(self, at: Staged) -> Model:
+        """The same model, with its tables and what rules share of them written out once."""
+        m = Model(*(at.put(df, name) for df, name in ((self.docs, "docs"), (self.paragraphs, "paragraphs"), (self.cells, "cells"), (self.footers, "footers"))))
+        m.shared["tables"] = at.put(m.tables(), "tables")
+        m.shared["revision_heading"] = at.put(m.revision_heading(), "revision_heading")
+        m.shared["revision_table"] = at.put(m.revision_table(), "revision_table")
+        m.shared["flow"] = at.put(m.flow(), "flow")
+        return m
+
+    def flow(self) -> DataFrame:
+        """Paragraphs with flow_pos."""
+        return self.shared["flow"] if "flow" in self.shared else structure.flow_positions(self.paragraphs)
 
     def headings(self) -> DataFrame:
         return self.paragraphs.filter("level is not null and not in_table").filter(X.squeeze(F.col("text")) != "")
@@ -83,6 +110,8 @@ class Model:
 
     def tables(self) -> DataFrame:
         """A row per table from its header cells: kinds, and the first column of each role."""
+        if "tables" in self.shared:
+            return self.shared["tables"]
         key = X.normalize_key(F.col("text"))
         head = F.col("row") == 0
         first = lambda p: F.min(F.when(head & key.rlike(p), F.col("col")))
@@ -99,6 +128,8 @@ class Model:
 
     def revision_heading(self) -> DataFrame:
         """doc_id, at, level: a heading that names the history, else a plain line of at most six words."""
+        if "revision_heading" in self.shared:
+            return self.shared["revision_heading"]
         text, is_head = F.col("text"), F.col("level").isNotNull()
         rows = self.paragraphs.filter(~F.col("in_table") & text.rlike(REVISION_HEADING) & (is_head | (X.word_count(text) <= 6)))
         pick = F.min(F.struct((~is_head).cast("int").alias("p"), F.col("block_index").alias("at"), F.coalesce("level", F.lit(99)).alias("level")))
@@ -106,6 +137,8 @@ class Model:
 
     def revision_table(self) -> DataFrame:
         """The revision table of each document that has one: after the heading if there is one there, else the first."""
+        if "revision_table" in self.shared:
+            return self.shared["revision_table"]
         found = self.tables().filter("revision").join(self.revision_heading().select("doc_id", "at"), "doc_id", "left")
         rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce(F.col("block_index") > F.col("at"), F.lit(False)).cast("int").desc(), "block_index", "table_index"))
         return found.withColumn("_r", rank).filter("_r = 1").drop("_r", "at")

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Elements with their inner markup, tags in either case.
+HEADING = r"(?is)(<h[1-6]\b[^>]*>.*?)</h[1-6]>"
+TITLE = r"(?is)<title\b[^>]*>(.*?)</title>"
+
+
 def text_paragraphs(documents: DataFrame) -> DataFrame:
     """doc_id, block_index, text: a paragraph for each line of a text; a null text has one empty paragraph."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
@@ -22,7 +27,7 @@ def _plain(x):
 
 def page_headings(pages: DataFrame) -> DataFrame:
     """page_id, ord, level, text of all <h1> to <h6>."""
-    tags = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(<h[1-6][^>]*>[^<]*)</h[1-6]>"), F.lit(1))
+    tags = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HEADING), F.lit(1))
     rows = pages.select("page_id", F.posexplode(tags).alias("ord", "tag"))
     return rows.select("page_id", F.col("ord").cast("long").alias("ord"), F.substring("tag", 3, 1).cast("long").alias("level"), _plain(F.col("tag")).alias("text"))
 
@@ -30,7 +35,7 @@ def page_headings(pages: DataFrame) -> DataFrame:
 def page_titles(pages: DataFrame) -> DataFrame:
     """page_id, title, heading (the first h1); empty where a page has none."""
     html = F.coalesce("html", F.lit(""))
-    return pages.select("page_id", "url", _plain(F.regexp_extract(html, "<title>([^<]*)", 1)).alias("title"), _plain(F.regexp_extract(html, "<h1[^>]*>([^<]*)", 1)).alias("heading"))
+    return pages.select("page_id", "url", _plain(F.regexp_extract(html, TITLE, 1)).alias("title"), _plain(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)).alias("heading"))
 
 
 def turns(conversations: DataFrame) -> DataFrame:

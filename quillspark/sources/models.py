@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.rules.model import FOOTERS, PARAGRAPHS, Model
 
-from .corpus import _plain
+from .corpus import TITLE, _plain
 
 RUNS = "array<struct<name string, size double, bold boolean, chars int>>"
 CELLS = "table_index int, block_index int, row int, col int, text string"
@@ -52,5 +52,5 @@ def page_model(pages: DataFrame) -> Model:
     level = F.when(F.col("kind").startswith("h"), F.substring("kind", 2, 1))
     feet = pages.select("doc_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<footer\b[^>]*>(.*?)</footer>"), F.lit(1))).alias("ord", "tag"))
     feet = feet.select("doc_id", "ord", F.lit("footer").alias("kind"), F.lit("default").alias("which"), F.format_string("Footer %d", F.col("ord") + 1).alias("location"), _plain(F.col("tag")).alias("text"), F.array().cast("array<string>").alias("fields"))
-    title = F.nullif(_plain(F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title>", 1)), F.lit(""))
+    title = F.nullif(_plain(F.regexp_extract("html", TITLE, 1)), F.lit(""))
     return Model(_docs(pages, F.col("url"), title), _paragraphs(rows, level, F.col("kind") == "li"), _empty(pages, key, CELLS), feet)

@@ -128,7 +128,7 @@ class Walk:
             "block_index": block, "text": text, "location": place, "level": level, "in_table": at is not None, "from_textbox": box, "is_list": numbered not in (None, "0"), "style": self.styles.name(style) or style,
             "t": at and at[0], "r": at and at[1], "c": at and at[2], "line": _number(line, 240 if rule == "auto" else 20), "before": _number(spacing("before"), 20), "after": _number(spacing("after"), 20),
             "align": ALIGN.get(_first(_val(n, "jc") for n in props) or ""), "fields": fields,
-            "runs": [{"name": r["name"], "size": r["size"], "bold": r["bold"], "chars": len(r["text"])} for r in runs if r["text"].strip()],
+            "runs": [{"name": r["name"], "size": r["size"], "bold": r["bold"], "chars": len(r["text"].strip())} for r in runs if r["text"].strip()],
         })
         for inner in boxes:
             self.container(inner, at, True)
@@ -255,14 +255,24 @@ def package_model(parsed: DataFrame) -> Model:
 
 
 def inherit_parts(parts: DataFrame) -> DataFrame:
-    """Headers and footers that are in force: a linked one shows the previous section's, else its default one."""
-    own = F.when(~F.col("linked"), F.struct("text", "fields"))
-    before = Window.partitionBy("doc_id", "kind", "which").orderBy("section").rowsBetween(Window.unboundedPreceding, 0)
-    rows = parts.withColumn("_own", F.last(own, ignorenulls=True).over(before))
-    usual = F.last(F.when((F.col("which") == "default") & ~F.col("linked"), F.struct("text", "fields")), ignorenulls=True)
-    earlier = Window.partitionBy("doc_id", "kind").orderBy("section").rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_own", F.coalesce("_own", usual.over(earlier))).filter("_own is not null").withColumn("_w", F.array_position(F.array(*map(F.lit, ("default", "first", "even"))), F.col("which")))
-    names = [f.strip().split()[0] for f in FOOTERS.split(",")]
-    rows = rows.withColumns({"ord": (F.col("section") * 3 + F.col("_w") - 1).cast("int"), "text": F.col("_own.text"), "fields": F.col("_own.fields")})
+    """Headers and footers that are in force: a linked one shows what the previous section shows for its kind of page, else that section's default one.
+
+    The sections of a document are few; they are gone through in order within one row per document and kind.
+    """
+    shown = "struct<text:string,fields:array<string>>"
+    names = ("default", "first", "even")
+    rows = parts.groupBy("doc_id", "kind", "section").agg(*[F.max(F.when((F.col("which") == w) & ~F.col("linked"), F.struct("text", "fields"))).alias(w) for w in names])
+    sections = F.array_sort(F.collect_list(F.struct("section", *names)))
+    start = F.struct(*[F.lit(None).cast(shown).alias(w) for w in names], F.array().cast(f"array<struct<section:int,default:{shown},first:{shown},even:{shown}>>").alias("out"))
+
+    def step(before, own):
+        now = [F.coalesce(own[w], before[w], before["default"]).alias(w) for w in names]
+        return F.struct(*now, F.concat(before["out"], F.array(F.struct(own["section"].alias("section"), *now))).alias("out"))
+
+    rows = rows.groupBy("doc_id", "kind").agg(F.aggregate(sections, start, step)["out"].alias("s")).select("doc_id", "kind", F.explode("s").alias("s"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("w"), F.lit(w).alias("which"), F.col(f"s.{w}").alias("own")) for i, w in enumerate(names)]))
+    rows = rows.select("doc_id", "kind", F.col("s.section").alias("section"), each.alias("x")).select("doc_id", "kind", "section", "x.*").filter("own is not null")
+    rows = rows.withColumns({"ord": (F.col("section") * 3 + F.col("w")).cast("int"), "text": F.col("own.text"), "fields": F.col("own.fields")})
     label = F.concat(F.initcap("kind"), F.when(F.col("which") == "default", "").otherwise(F.concat(F.lit(" ("), "which", F.lit(" page)"))), F.lit(", section "), (F.col("section") + 1).cast("string"))
-    return rows.withColumn("location", label).select("doc_id", *names)
+    columns = [f.strip().split()[0] for f in FOOTERS.split(",")]
+    return rows.withColumn("location", label).select("doc_id", *columns)

@@ -7,6 +7,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators import structure
 from quillspark.rules.model import Model
 
 ITEMS = "block_index int, kind string, text string, level int, table_index int, location string"
@@ -29,6 +30,7 @@ def write_extractions(rows: DataFrame, path: str) -> None:
 
 
 def read_extractions(spark: SparkSession, path: str) -> DataFrame:
+    """Extractions of a folder; ``pathGlobFilter`` and order are the reader's to add, as rows are keyed by doc_id."""
     schema = f"doc_id string, filename string, blocks array<struct<{ITEMS}>>, tables array<struct<table_index int, rows array<array<string>>>>"
     return spark.read.schema(schema).json(path)
 
@@ -54,8 +56,10 @@ def quietly(write, *args) -> bool:
 
 
 def write_raw(files: DataFrame, path: str) -> None:
-    """Byte-exact copies of accepted files, newest version per doc_id, as Parquet."""
-    files.filter("code is null").select("doc_id", "filename", "modificationTime", "length", "content").write.mode("append").parquet(path)
+    """Byte-exact copies of accepted files as Parquet, a folder for each doc_id that holds its newest version; other documents' folders stay."""
+    newest = structure.latest(files.filter("code is null").select("doc_id", "path", "modificationTime"), ["doc_id"], F.col("modificationTime").desc(), F.col("path").desc())
+    kept = files.join(newest.select("path"), "path", "left_semi").select(F.col("doc_id").alias("stem"), "doc_id", "filename", "modificationTime", "length", "content")
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stem").parquet(path)
 
 
 def write_findings(findings: DataFrame, path: str) -> None:

@@ -127,4 +127,7 @@ def test_inferred_and_inherited(spark, tmp_path):
     assert [(r.text, r.level) for r in m.headings().orderBy("block_index").collect()] == [("Cleaning", 1), ("Purpose", 2)]
     parts = spark.createDataFrame([("d", s, "footer", w, t is None, t or "", []) for s, w, t in [(0, "default", "A"), (0, "first", None), (1, "default", None), (1, "first", None), (2, "default", "B"), (2, "first", "C")]], "doc_id string, " + packages.PARTS)
     got = [(r.ord, r.text) for r in packages.inherit_parts(parts).orderBy("ord").collect()]
-    assert got == [(0, "A"), (3, "A"), (4, "A"), (6, "B"), (7, "C")]
+    assert got == [(0, "A"), (3, "A"), (4, "A"), (5, "A"), (6, "B"), (7, "C"), (8, "A")]
+    # what a linked part shows is the previous section's, not the last default one
+    parts = spark.createDataFrame([("d", s, "footer", w, t is None, t or "", []) for s, w, t in [(0, "default", "A"), (0, "first", None), (1, "default", "B"), (1, "first", None), (2, "default", None), (2, "first", None)]], "doc_id string, " + packages.PARTS)
+    assert [(r.ord, r.text) for r in packages.inherit_parts(parts).filter("which = 'first'").orderBy("ord").collect()] == [(4, "A"), (7, "A")]
