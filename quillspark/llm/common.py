@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -15,38 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir. Where it is unset, a local session gets one of its own; a cluster has none to offer."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="spark-quill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Staged:
-    """Tables written to the shared folder by one operator; ``drop`` removes those that nothing reads any more."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.root = spark, f"{scratch_dir(spark)}/quill-{name}-{uuid.uuid4().hex}"
-
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it again: cuts lineage, survives lost executors."""
-        path = f"{self.root}/{uuid.uuid4().hex[:8]}-{name}"
-        df.write.parquet(path)
-        nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
-        out = self.spark.read.schema(nullable).parquet(path)
-        out._staged_at = path
-        return out
-
-    def drop(self, *frames: DataFrame | None) -> None:
-        """Of ``frames`` those that were put here; all folders of this operator without ``frames``."""
-        for path in [f._staged_at for f in frames if f is not None] if frames else [self.root]:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+from quillspark.sources.staging import Staged, scratch_dir  # noqa: F401
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
