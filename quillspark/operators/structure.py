@@ -104,3 +104,32 @@ def infer_heading_levels(paragraphs: DataFrame, runs: DataFrame) -> DataFrame:
     rows = rows.filter(~F.col("is_list") & few & ~F.col("text").rlike(r"[.;,!?]\s*$") & (big | ((F.col("_share") <= 0.4) & F.col("bold"))))
     rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.col("size").desc_nulls_last()))
     return rows.select("doc_id", "block_index", F.least(rank, F.lit(9)).alias("inferred"))
+
+
+def digest(m) -> DataFrame:
+    """Counts of what every document of a model holds: an aggregate for each child table."""
+    paragraphs = m.paragraphs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_paragraphs"), F.count_if(F.trim("text") != "").alias("n_filled"), F.count_if(F.col("level").isNotNull() & ~F.col("in_table")).alias("n_headings"), F.sum(F.size("runs")).alias("n_runs"))
+    shapes = table_shapes(m.cells).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tables"), F.max("n_rows").alias("longest_table"))
+    parts = m.footers.groupBy("doc_id").agg(F.count_if(F.col("kind") == "footer").alias("n_footers"), F.count_if(F.col("kind") == "header").alias("n_headers"), F.sum(F.size("fields")).alias("n_fields"))
+    rows = m.docs.select("doc_id")
+    for part in (paragraphs, shapes, parts):
+        rows = rows.join(part, "doc_id", "left")
+    return rows.fillna(0)
+
+
+def table_shapes(cells: DataFrame) -> DataFrame:
+    """doc_id, table_index, n_rows, n_columns and texts of the first row, joined."""
+    first = F.transform(F.array_sort(F.collect_list(F.when(F.col("row") == 0, F.struct("col", F.trim("text").alias("x"))))), lambda s: s["x"])
+    return cells.groupBy("doc_id", "table_index").agg((F.max("row") + 1).cast("long").alias("n_rows"), F.count_if(F.col("row") == 0).alias("n_columns"), F.array_join(first, " | ").alias("first_row"))
+
+
+def first_paragraphs(flow: DataFrame, most: int = 20, width: int = 160) -> DataFrame:
+    """doc_id, block_index, flow_pos, shown: a document's first paragraphs, cut to ``width`` characters."""
+    cut = F.when(F.length("text") > width, F.concat(F.rtrim(F.substring("text", 1, width - 1)), F.lit("…"))).otherwise(F.col("text"))
+    return flow.filter(F.col("flow_pos") < most).select("doc_id", "block_index", "flow_pos", cut.alias("shown"))
+
+
+def with_section_text(blocks: DataFrame) -> DataFrame:
+    """With section_text: the text of the nearest heading at or before."""
+    head = F.when(F.col("level").isNotNull(), F.col("text"))
+    return blocks.withColumn("section_text", F.last(head, ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))

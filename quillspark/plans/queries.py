@@ -14,23 +14,8 @@ from quillspark.rules import engine
 from quillspark.rules.model import Config
 from quillspark.sources import corpus, models
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from . import ledger  # noqa: F401
+from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.text_paragraphs(table(spark, sf_dir, "documents"))
@@ -94,7 +79,7 @@ DIGITS = "list_sort(list_distinct(list_transform(regexp_extract_all({0}, '\\d+')
 
 
 @query(
-    f"""WITH t AS (SELECT page_id, coalesce(url, '') AS url, {PLAIN.format("regexp_extract(coalesce(html, ''), '<title>([^<]*)', 1)")} AS title FROM pages),
+    f"""WITH t AS (SELECT page_id, coalesce(url, '') AS url, {PLAIN.format("regexp_extract(coalesce(html, ''), '(?is)<title\\b[^>]*>(.*?)</title>', 1)")} AS title FROM pages),
 d AS (SELECT *, {DIGITS.format('url')} AS a, {DIGITS.format('title')} AS b FROM t)
 SELECT page_id, title, array_to_string(a, ',') AS url_digits, array_to_string(b, ',') AS title_digits, len(a) > 0 AND len(b) > 0 AND a <> b AS conflict FROM d"""
 )
@@ -106,7 +91,7 @@ def digit_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH h AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(<h[1-6][^>]*>[^<]*)</h[1-6]>', 1) AS t FROM pages),
+    f"""WITH h AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?is)(<h[1-6]\\b[^>]*>.*?)</h[1-6]>', 1) AS t FROM pages),
 r AS (SELECT page_id, unnest(range(len(t)))::BIGINT AS ord, unnest(t) AS tag FROM h)
 SELECT page_id, ord, substr(tag, 3, 1)::BIGINT AS level, {PLAIN.format('tag')} AS text FROM r"""
 )
@@ -196,13 +181,13 @@ def cosine_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS b FROM embeddings ORDER BY vec_id LIMIT 13), s AS (SELECT query_id, vec_id AS id, embedding::DOUBLE[] AS a, b FROM embeddings, q),
+    f"""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS b FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id AS id, embedding::DOUBLE[] AS a, b FROM embeddings, q),
 c AS (SELECT query_id, id, {COSINE} AS score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM c) SELECT query_id, rank, id, round(score, 9) AS score FROM r WHERE rank <= 5"""
 )
 def cosine_top_k_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thirteen questions against the whole store, five answers each."""
+    """Every vector whose id is divisible by 20 against the whole store, five answers each."""
     store = _store(spark, sf_dir)
-    asked = store.orderBy("id").limit(13).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = store.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
     return search.top_k_each(store, asked, 5).withColumn("score", F.round("score", 9))
 
 
@@ -258,7 +243,7 @@ def date_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM documents GROUP BY ROLLUP (source, lang)"""
 )
 def source_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes by source and language, with totals."""
+    """Sizes by source and language, with totals."""
     rows = table(spark, sf_dir, "documents").rollup("source", "lang")
     return rows.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.avg("n_chars").alias("mean_chars"), F.grouping_id("source", "lang").cast("long").alias("level"))
 

@@ -11,6 +11,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -26,10 +27,16 @@ from quillspark.rules.model import FOOTERS, PARAGRAPHS, Model
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-CORE = {"title": "title", "creator": "author", "subject": "subject", "keywords": "keywords", "lastModifiedBy": "modified_by"}
+CORE = {"title": "title", "creator": "author", "subject": "subject", "keywords": "keywords", "lastModifiedBy": "modified_by", "created": "created", "modified": "modified"}
 ALIGN = {"both": "JUSTIFY", "distribute": "JUSTIFY", "start": "LEFT", "left": "LEFT", "end": "RIGHT", "right": "RIGHT", "center": "CENTER"}
 PARTS = "section int, kind string, which string, linked boolean, text string, fields array<string>"
-ROW = f"title string, author string, subject string, keywords string, modified_by string, error string, paragraphs array<struct<{PARAGRAPHS}>>, cells array<struct<table_index int, block_index int, row int, col int, text string>>, parts array<struct<{PARTS}>>"
+#: What rules don't ask for: indents in points, fields with code and result, and runs of one format.
+DETAILS = (
+    "first_line double, left_indent double, right_indent double, outline int, field_details array<struct<kind string, instruction string, result string, simple boolean>>, "
+    "formats array<struct<text string, name string, size double, bold boolean, italic boolean, underline string, color string, theme boolean>>"
+)
+STYLES = "style_id string, name string, type string, based_on string, is_default boolean"
+ROW = f"title string, author string, subject string, keywords string, modified_by string, created string, modified string, error string, styles array<struct<{STYLES}>>, paragraphs array<struct<{PARAGRAPHS}, {DETAILS}>>, cells array<struct<table_index int, block_index int, row int, col int, text string>>, parts array<struct<{PARTS}>>"
 
 
 def _val(node, tag: str, attr: str = "val") -> str | None:
@@ -69,6 +76,9 @@ class Styles:
     def name(self, style: str | None) -> str:
         return _val(self.nodes.get(style), "name") or ""
 
+    def rows(self) -> list[dict]:
+        return [{"style_id": k, "name": self.name(k) or None, "type": s.get(W + "type"), "based_on": _val(s, "basedOn"), "is_default": s.get(W + "default") in ("1", "true")} for k, s in self.nodes.items() if k]
+
     def levels(self, own, style: str | None, tag: str, *more) -> list:
         return [n for n in (own, *more, *self.chain(style or self.default, tag), self.base[tag]) if n is not None]
 
@@ -118,6 +128,7 @@ class Walk:
         runs, fields, boxes = self.runs(node, style)
         text = "".join(r["text"] for r in runs)
         spacing = lambda attr: _first(n.find(W + "spacing").get(W + attr) for n in props if n.find(W + "spacing") is not None)
+        indent = lambda attr: _first(n.find(W + "ind").get(W + attr) for n in props if n.find(W + "ind") is not None)
         rule, line = spacing("lineRule") or "auto", spacing("line")
         named = re.fullmatch(r"(?i)heading\s*([1-9])", self.styles.name(style)) or re.fullmatch(r"(?i)heading\s*([1-9])", style or "")
         outline = _number(_first(_val(n, "outlineLvl") for n in props), 1)
@@ -127,17 +138,22 @@ class Walk:
         self.paragraphs.append({
             "block_index": block, "text": text, "location": place, "level": level, "in_table": at is not None, "from_textbox": box, "is_list": numbered not in (None, "0"), "style": self.styles.name(style) or style,
             "t": at and at[0], "r": at and at[1], "c": at and at[2], "line": _number(line, 240 if rule == "auto" else 20), "before": _number(spacing("before"), 20), "after": _number(spacing("after"), 20),
-            "align": ALIGN.get(_first(_val(n, "jc") for n in props) or ""), "fields": fields,
+            "align": ALIGN.get(_first(_val(n, "jc") for n in props) or ""), "fields": [f["kind"] for f in fields], "field_details": fields, "formats": merged(runs), "outline": None if outline is None else int(outline),
+            "left_indent": _number(indent("left") or indent("start"), 20), "right_indent": _number(indent("right") or indent("end"), 20),
+            "first_line": _number(indent("firstLine"), 20) if indent("hanging") is None else -(_number(indent("hanging"), 20) or 0.0),
             "runs": [{"name": r["name"], "size": r["size"], "bold": r["bold"], "chars": len(r["text"].strip())} for r in runs if r["text"].strip()],
         })
         for inner in boxes:
             self.container(inner, at, True)
         return text
 
-    def runs(self, node, style: str | None) -> tuple[list[dict], list[str], list]:
-        """Texts with fonts, kinds of closed fields, and text boxes of a paragraph."""
+    def runs(self, node, style: str | None) -> tuple[list[dict], list[dict], list]:
+        """Texts with their formats, closed fields in the order in which they close, and text boxes of a paragraph."""
         out, fields, boxes, open_fields = [], [], [], []
-        kind = lambda code: (code.strip().lstrip('"').split() or [""])[0].upper()
+
+        def close(code: str, result: str, simple: bool) -> None:
+            kind = (code.strip().lstrip('"').split() or [""])[0].upper()
+            fields.append({"kind": kind, "instruction": code.strip(), "result": result, "simple": simple})
 
         def walk(parent):
             for child in parent:
@@ -145,8 +161,9 @@ class Walk:
                 if tag in ("hyperlink", "ins", "smartTag", "customXml"):
                     walk(child)
                 elif tag == "fldSimple":
-                    fields.append(kind(child.get(W + "instr", "")))
+                    before = len(out)
                     walk(child)
+                    close(child.get(W + "instr", ""), "".join(r["text"] for r in out[before:]), True)
                 elif tag == "r":
                     run(child)
 
@@ -155,28 +172,47 @@ class Walk:
             props = self.styles.levels(own, style, "rPr", *self.styles.chain(_val(own, "rStyle"), "rPr"))
             text = ""
             for child in node:
-                tag = child.tag.removeprefix(W)
+                tag, more = child.tag.removeprefix(W), ""
                 if tag == "t":
-                    text += child.text or ""
+                    more = child.text or ""
                 elif tag in ("tab", "br", "cr", "noBreakHyphen"):
-                    text += {"tab": "\t", "noBreakHyphen": "-"}.get(tag, "\n")
+                    more = {"tab": "\t", "noBreakHyphen": "-"}.get(tag, "\n")
                 elif tag == "instrText" and open_fields:
-                    open_fields[-1] += child.text or ""
+                    open_fields[-1]["code"] += child.text or ""
                 elif tag == "fldChar":
                     step = child.get(W + "fldCharType")
                     if step == "begin":
-                        open_fields.append("")
-                    elif step == "end" and open_fields:
-                        fields.append(kind(open_fields.pop()))
+                        open_fields.append({"code": "", "result": None})
+                    elif open_fields and step == "separate":
+                        open_fields[-1]["result"] = ""
+                    elif open_fields and step == "end":
+                        last = open_fields.pop()
+                        close(last["code"], last["result"] or "", False)
                 elif tag in ("drawing", "pict", "object"):
                     boxes.extend(child.iter(W + "txbxContent"))
-            size = _number(_first(_val(n, "sz") for n in props), 2)
-            out.append({"text": text, "name": _first(self.styles.face(n) for n in props), "size": size, "bold": _first(_flag(n, "b") for n in props)})
+                text += more
+                shown = [f for f in open_fields if f["result"] is not None]
+                if shown and more:
+                    shown[-1]["result"] += more
+            color = _first(n.find(W + "color") for n in props)
+            themed = None if color is None else color.get(W + "themeColor")
+            shade = None if color is None else f"theme:{themed}" if themed else (color.get(W + "val") or "auto")
+            fonts = _first(n.find(W + "rFonts") for n in props)
+            out.append({
+                "text": text, "name": _first(self.styles.face(n) for n in props), "size": _number(_first(_val(n, "sz") for n in props), 2), "bold": _first(_flag(n, "b") for n in props), "italic": _first(_flag(n, "i") for n in props),
+                "underline": _first(_val(n, "u") for n in props), "color": shade if shade is None or shade == "auto" or themed else shade.upper(), "theme": fonts is not None and (fonts.get(W + "asciiTheme") or fonts.get(W + "hAnsiTheme")) is not None,
+            })
 
         walk(node)
         return out, fields, boxes
 
 
+def merged(runs: list[dict]) -> list[dict]:
+    """Neighbouring runs of one format as one; runs without text are left out."""
+    form = lambda r: {k: v for k, v in r.items() if k != "text"}
+    return [{"text": "".join(r["text"] for r in own)} | k for k, own in ((k, list(g)) for k, g in groupby((r for r in runs if r["text"]), key=form))]
+
+
 def parse_package(content: bytes) -> dict:
     """Paragraphs, cells and header parts of one package; ``error`` if it can't be read."""
     try:
@@ -202,9 +238,9 @@ def parse_package(content: bytes) -> dict:
                             inner.container(root)
                         lines = sorted(inner.paragraphs, key=lambda p: p["in_table"])
                         parts.append({"section": i, "kind": kind, "which": which, "linked": root is None, "text": "\n".join(p["text"] for p in lines), "fields": [f for p in lines for f in p["fields"]]})
-        return row | {"paragraphs": walk.paragraphs, "cells": walk.cells, "parts": parts, "error": None}
+        return row | {"styles": styles.rows(), "paragraphs": walk.paragraphs, "cells": walk.cells, "parts": parts, "error": None}
     except Exception as e:  # whatever is wrong with a file is reported with its row
-        return {"error": f"{type(e).__name__}: {e}"[:500], "paragraphs": [], "cells": [], "parts": []}
+        return {"error": f"{type(e).__name__}: {e}"[:500], "styles": [], "paragraphs": [], "cells": [], "parts": []}
 
 
 def _parse(schema: pa.Schema):
@@ -241,6 +277,16 @@ def parse(files: DataFrame) -> DataFrame:
     return taken.mapInArrow(_parse(to_arrow_schema(schema)), schema)
 
 
+def package_styles(parsed: DataFrame) -> DataFrame:
+    """The styles of every package: doc_id, style_id, name, type, based_on, is_default."""
+    return parsed.filter("error is null").select("doc_id", F.explode("styles").alias("s")).select("doc_id", "s.*")
+
+
+def core_dates(parsed: DataFrame) -> DataFrame:
+    """doc_id, created, modified of the core properties; null where a package has none or no date."""
+    return parsed.filter("error is null").select("doc_id", *[F.try_to_timestamp(c).alias(c) for c in ("created", "modified")])
+
+
 def package_model(parsed: DataFrame) -> Model:
     """The model of parsed packages; levels of documents that declare none are inferred, linked parts inherited."""
     good = parsed.filter("error is null")

@@ -131,3 +131,45 @@ def test_inferred_and_inherited(spark, tmp_path):
     # what a linked part shows is the previous section's, not the last default one
     parts = spark.createDataFrame([("d", s, "footer", w, t is None, t or "", []) for s, w, t in [(0, "default", "A"), (0, "first", None), (1, "default", "B"), (1, "first", None), (2, "default", None), (2, "first", None)]], "doc_id string, " + packages.PARTS)
     assert [(r.ord, r.text) for r in packages.inherit_parts(parts).filter("which = 'first'").orderBy("ord").collect()] == [(4, "A"), (7, "A")]
+
+
+def test_formats_fields_styles_and_dates(spark, tmp_path):
+    run = lambda text, props="": f'<w:r><w:rPr>{props}</w:rPr><w:t xml:space="preserve">{text}</w:t></w:r>'
+    body = '<w:p><w:pPr><w:ind w:left="720" w:hanging="360"/></w:pPr>' + run("one ", "<w:i/>") + run("two", "<w:i/>") + run("") + run("red", '<w:color w:val="ff0000"/><w:u w:val="single"/>') + PAGE + '<w:fldSimple w:instr=" NUMPAGES \\* MERGEFORMAT">' + run("9") + "</w:fldSimple></w:p>"
+    (tmp_path / "f.docx").write_bytes(package(body))
+    parsed = packages.parse(packages.scan(spark, str(tmp_path))).cache()
+    row = parsed.first().paragraphs[0]
+    assert [(f.text, f.italic, f.color, f.underline) for f in row.formats] == [("one two", True, None, None), ("red", None, "FF0000", "single"), ("19", None, None, None)]
+    assert [(f.kind, f.instruction, f.result, f.simple) for f in row.field_details] == [("PAGE", "PAGE", "1", False), ("NUMPAGES", "NUMPAGES \\* MERGEFORMAT", "9", True)]
+    assert (row.left_indent, row.first_line, row.right_indent) == (36.0, -18.0, None)
+    assert {(s.style_id, s.name, s.based_on, s.is_default) for s in packages.package_styles(parsed).collect()} == {("N", "Normal", None, True), ("H1", "heading 1", "N", False)}
+    assert packages.core_dates(parsed).first()[:] == ("f", None, None)
+
+
+def test_a_rule_that_fails_leaves_the_others_alone(parsed, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillspark.rules import checks
+
+    name, severity, apply = checks.RULES[8]
+    monkeypatch.setitem(checks.RULES, 8, (name, severity, lambda m, c: apply(m, c).withColumn("message", F.raise_error(F.lit("broken row")).cast("string"))))
+    monkeypatch.setitem(checks.RULES, 10, (name, severity, lambda m, c: 1 / 0))
+    rows = engine.evaluate(packages.package_model(parsed), NOW, [5, 8, 10]).collect()
+    assert {(r.rule_id, r.passed is None, r.severity) for r in rows if r.rule_id != 5} == {(8, True, "info"), (10, True, "info")}
+    assert any(r.passed for r in rows if r.rule_id == 5) and len(rows) == 3 * len(CASES)
+    assert engine.with_status(engine.evaluate(packages.package_model(parsed), NOW, [5]), "failed").count() == sum(5 in want for _, want in CASES.values())
+
+
+def test_checker_and_form(spark, parsed):
+    from quillspark.rules.checker import word_checker
+
+    check = word_checker({"teh": ["the"], "recrod": ["record", "records"]})
+    rows = spark.createDataFrame([("a Teh é recrod.",), (None,)], "x string")
+    from pyspark.sql import functions as F
+
+    got = [[(i.offset, i.length, i.matched, i.replacements) for i in r[0]] for r in rows.select(check(F.col("x"))).collect()]
+    assert got == [[(2, 3, "Teh", ["the"]), (8, 6, "recrod", ["record", "records"])], []]
+    config = Config.from_form({"required_sections": "Purpose, Scope ,", "fog_max": " 12 ", "footer_require_all": "on", "doc_id_pattern": "", "other": "x"})
+    assert (config.required_sections, config.fog_max, config.footer_require_all, config.doc_id_pattern) == (("Purpose", "Scope"), 12.0, True, Config().doc_id_pattern)
+    found = {r.doc_id: r for r in engine.evaluate(packages.package_model(parsed), Config(checker=word_checker({"procedure": ["process"]})), [9]).collect()}
+    assert found["future"].passed is False and found["future"].evidence[0].endswith("Possible misspelling: procedure (process)") and found["future"].severity == "warning"
