@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.rules.engine import rule_table
+from quillspark.rules.engine import answers, rule_table
+from quillspark.rules.engine import evaluate as evaluate_rules
+from quillspark.rules.model import Config, Model
 
 DIMENSION = 384
 TOP = 5
@@ -84,27 +86,78 @@ def parse_reply(reply: Column) -> Column:
     return F.when(good, F.struct((flag == "true").alias("passed"), evidence.alias("evidence"), raw.alias("locations")))
 
 
-def retrieve(chunks: DataFrame, asked: DataFrame, k: int = TOP) -> DataFrame:
+#: Questions that are asked of every chunk at once; they are collected and go to every task.
+MOST_QUESTIONS = 1000
+
+
+def _scores(matrix: np.ndarray):
+    norms = np.sqrt((matrix**2).sum(1))
+
+    @F.pandas_udf("array<double>")
+    def scores(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        x = np.stack(vectors.to_numpy())
+        return pd.Series(list((x @ matrix.T) / np.outer(np.sqrt((x**2).sum(1)), norms)))
+
+    return scores
+
+
+def retrieve(chunks: DataFrame, asked: DataFrame, k: int = TOP, where: Column | None = None) -> DataFrame:
     """The k nearest chunks of every document to each question (chunks: doc_id, embedding and what context needs).
 
-    ``asked`` has a row per rule. Ranking stays inside a document, so no task holds more than one document's chunks.
+    ``asked`` has rule_id and embedding, MOST_QUESTIONS rows at most; a question without a vector is an error.
+    ``where`` filters chunks by their metadata (``same_source``, ``same_section``). A batch of chunks is scored
+    against all questions by one product; ranking stays inside a document.
     """
-    both = chunks.filter("embedding is not null").join(F.broadcast(asked.withColumnRenamed("embedding", "_q")), F.lit(True))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = both.withColumn("score", dot("embedding", "_q") / F.sqrt(dot("embedding", "embedding") * dot("_q", "_q"))).drop("_q", "embedding")
+    rows = asked.select("rule_id", "embedding").orderBy("rule_id").limit(MOST_QUESTIONS + 1).collect()
+    if len(rows) > MOST_QUESTIONS or any(r["embedding"] is None for r in rows):
+        raise ValueError(f"{MOST_QUESTIONS} questions at most, none of them blank")
+    if not rows:
+        return chunks.drop("embedding").withColumns({"rule_id": F.lit(0), "score": F.lit(0.0), "rank": F.lit(0)}).limit(0)
+    scores, numbers = _scores(np.array([r["embedding"] for r in rows], np.float64)), F.array(*[F.lit(r["rule_id"]) for r in rows])
+    kept = chunks.filter("embedding is not null") if where is None else chunks.filter("embedding is not null").filter(where)
+    kept = kept.withColumn("_scores", scores("embedding")).drop("embedding")
+    scored = kept.select("*", F.posexplode("_scores").alias("_at", "score")).withColumn("rule_id", F.get(numbers, F.col("_at"))).drop("_scores", "_at")
     w = Window.partitionBy("doc_id", "rule_id").orderBy(F.col("score").desc(), "seq")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def judge_rules(chunks: DataFrame, judge: Callable[[Column], Column], embed: Callable[[Column], Column] = hashed_embedding, k: int = TOP) -> DataFrame:
-    """doc_id, rule_id, rule_name, severity, passed, evidence, locations, method: a judge's answer for each document and rule.
+def same_source(source: str) -> Column:
+    return F.col("source") == source
+
 
-    A reply that can't be read leaves passed null.
+def same_section(path: list[str]) -> Column:
+    """Chunks of exactly this section path."""
+    return F.col("section_path") == F.array(*map(F.lit, path)).cast("array<string>")
+
+
+def judge_rules(chunks: DataFrame, judge: Callable[[Column], Column], embed: Callable[[Column], Column] = hashed_embedding, k: int = TOP, where: Column | None = None) -> DataFrame:
+    """doc_id, rule_id, rule_name, severity, passed, evidence, locations, method, code: a judge's answer for each document and rule.
+
+    A reply that can't be read leaves passed null and has code 503; code is 200 else. Documents without chunks have
+    no rows here: ``unreadable`` gives them code 422.
     """
     spark = chunks.sparkSession
     asked = questions(spark)
-    hits = retrieve(chunks.withColumn("embedding", embed(F.col("text"))), asked.withColumn("embedding", embed(F.col("question"))).drop("question"), k)
+    hits = retrieve(chunks.withColumn("embedding", embed(F.col("text"))), asked.withColumn("embedding", embed(F.col("question"))).drop("question"), k, where)
     every = chunks.select("doc_id").distinct().join(F.broadcast(asked), F.lit(True)).join(context(hits, ["doc_id", "rule_id"]), ["doc_id", "rule_id"], "left")
     answered = every.withColumn("a", parse_reply(judge(prompt(F.col("question"), F.col("context")))))
     named = answered.join(F.broadcast(rule_table(spark)), "rule_id", "left")
-    return named.select("doc_id", "rule_id", "rule_name", F.coalesce("severity", F.lit("warning")).alias("severity"), "a.passed", "a.evidence", "a.locations", F.lit("retrieval").alias("method"))
+    code = F.when(F.col("a.passed").isNull(), 503).otherwise(200)
+    return named.select("doc_id", "rule_id", "rule_name", F.coalesce("severity", F.lit("warning")).alias("severity"), "a.passed", "a.evidence", "a.locations", F.lit("retrieval").alias("method"), code.alias("code"))
+
+
+def unreadable(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """doc_id, code, detail of documents that have no chunk to be judged by."""
+    return docs.select("doc_id").join(chunks.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(422).alias("code"), F.lit("the document has no text").alias("detail"))
+
+
+def evaluate(mode: str, m: Model, chunks: DataFrame | None = None, judge: Callable[[Column], Column] | None = None, config: Config | None = None) -> DataFrame:
+    """Answers (doc_id, rule_id, rule_name, passed, evidence, locations, method) by "rules" or by "retrieval"."""
+    columns = ["doc_id", "rule_id", "rule_name", "passed", "evidence", "locations", "method"]
+    if mode == "rules":
+        return answers(evaluate_rules(m, config)).select(*columns)
+    if mode != "retrieval" or chunks is None or judge is None:
+        raise ValueError("the mode is rules, or retrieval with chunks and a judge")
+    return judge_rules(chunks, judge).select(*columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,10 @@ from .checks import RULES, verdict
 from .model import Config, Model
 
 
+#: Rules that are planned and run at the same time.
+AT_ONCE = 5
+
+
 def rule_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, name, severity) for k, (name, severity, _) in sorted(RULES.items())], "rule_id int, rule_name string, severity string")
 
@@ -32,8 +37,8 @@ def _failed(m: Model, k: int, e: Exception) -> DataFrame:
 def evaluate(m: Model, config: Config | None = None, only: list[int] | None = None) -> DataFrame:
     """Findings of all rules, or of those in ``only`` (KeyError if one is unknown).
 
-    One rule is planned and left to its reader. Several run here, one after the other, over tables that are read from
-    their source once: the model and what rules share of it are staged as Parquet, and so are the findings. A rule
+    One rule is planned and left to its reader. Several run here, a few at once, over tables that are read from their
+    source once: the model and what rules share of it are staged as Parquet, and so are the findings. A rule
     that can't be planned or run gives verdicts of null and leaves the others alone; one that nobody can judge has
     severity info.
     """
@@ -47,14 +52,18 @@ def evaluate(m: Model, config: Config | None = None, only: list[int] | None = No
         except Exception as e:
             return _failed(m, k, e)
     staged = Staged(m.docs.sparkSession, "rules")
-    m, out = m.staged(staged), []
-    for k, apply in found:
+    m = m.staged(staged)
+
+    def run(rule: tuple) -> DataFrame:
+        k, apply = rule
         try:
-            out.append(staged.put(_finding(apply(m, config), k), f"rule_{k}"))
+            return staged.put(_finding(apply(m, config), k), f"rule_{k}")
         except Exception as e:  # a rule must not take the others down
             logging.getLogger(__name__).exception("rule %s failed", k)
-            out.append(_failed(m, k, e))
-    return reduce(DataFrame.unionByName, out)
+            return _failed(m, k, e)
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return reduce(DataFrame.unionByName, pool.map(run, found))
 
 
 def with_status(findings: DataFrame, status: str = "all") -> DataFrame:

@@ -64,3 +64,20 @@ def test_drop_folder(spark, tmp_path):
     assert found.count() == 13 and found.filter("rule_id = 5").first().passed
     assert [r.code for r in spark.read.parquet(str(tmp_path / "out/rejected")).collect()] == [415]
     assert engine.answers(found).filter("passed is null").count() == 0
+
+
+def test_filters_modes_and_codes(spark, extracted):
+    rows = chunks.chunk_records(store.records(extracted)).withColumn("source", F.col("doc_id")).withColumn("embedding", retrieval.hashed_embedding(F.col("text")))
+    asked = spark.createDataFrame([(1, "purpose of the procedure"), (2, "revision history")], "rule_id int, question string").withColumn("embedding", retrieval.hashed_embedding(F.col("question")))
+    got = retrieval.retrieve(rows, asked, 2, retrieval.same_source("two") & retrieval.same_section(["Purpose"])).collect()
+    assert {r.doc_id for r in got} == {"two"} and {tuple(r.section_path) for r in got} == {("Purpose",)} and {r.rule_id for r in got} == {1, 2}
+    every = retrieval.retrieve(rows, asked, 100).collect()
+    plain = {(r.id, q.rule_id): sum(a * b for a, b in zip(r.embedding, q.embedding)) for r in rows.collect() if r.embedding for q in asked.collect()}
+    assert {(r.id, r.rule_id): round(r.score, 9) for r in every} == {k: round(v, 9) for k, v in plain.items()}
+    with pytest.raises(ValueError):
+        retrieval.retrieve(rows, spark.createDataFrame([(1, " ")], "rule_id int, question string").withColumn("embedding", retrieval.hashed_embedding(F.col("question"))))
+    bad = retrieval.judge_rules(rows.drop("embedding"), lambda x: F.lit("no idea"))
+    assert {(r.passed, r.code) for r in bad.collect()} == {(None, 503)}
+    assert [r[:2] for r in retrieval.unreadable(spark.createDataFrame([("one",), ("blank",)], "doc_id string"), rows).collect()] == [("blank", 422)]
+    with pytest.raises(ValueError):
+        retrieval.evaluate("retrieval", None)
