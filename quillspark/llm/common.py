@@ -46,6 +46,21 @@ def join_spread(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(few), key).unionByName(cool)
 
 
+def most_frequent(rows: DataFrame, by: str, most: int) -> list:
+    """The rows with the largest counts ``by``, in no order, as many whole classes of counts (eighths of a power of two) as give ``most`` at most.
+
+    The driver receives a count for each class, and then no other rows than these.
+    """
+    kind = F.floor(F.log2(by) * 8)
+    sizes = {r["kind"]: r["n"] for r in rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, total = None, 0
+    for k in sorted(sizes, reverse=True):
+        if (total := total + sizes[k]) > most:
+            break
+        least = k
+    return rows.filter(kind >= least).collect() if least is not None else []
+
+
 def rest(df: DataFrame, *outputs: str) -> list[str]:
     """Columns of ``df`` that are kept beside ``outputs``; a clashing column gives way to the operator's own."""
     taken = {x.lower() for x in outputs}

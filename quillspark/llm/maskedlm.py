@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LETTERS, Lookup, Staged, extended, hash_words, rest, scramble, some_rows, text_bytes, with_columns
+from .common import LETTERS, Lookup, Staged, extended, hash_words, most_frequent, rest, scramble, some_rows, text_bytes, with_columns
 
 #: Groups x tokens in a group; the last RARE tokens are shared by all rarer words. Token 0 stands beyond the ends.
 GROUPS, SIZE, RARE = 32, 64, 512
@@ -35,7 +35,7 @@ ROUNDS, STEP, RATE = 2, 4096, 0.08
 #: Tokens in a shard; most in one row of a shard (a shard of equal rows can have more).
 SHARD, ROW = 1 << 22, 1 << 23
 SLICES, CHUNK = 16, 1 << 14
-#: Words whose shares every worker holds (the most frequent ones, 16 bytes each); those of all others are joined.
+#: Most words whose shares every worker holds (the most frequent ones, 24 bytes each); those of all others are joined.
 HELD = 1 << 16
 #: Weights are averaged in units of 2**-FINE, shares added up in units of 1e-9.
 FINE = 20
@@ -80,7 +80,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Vocabulary:
     """``counts`` (word: its hash, bucket, n) has all words of the documents, ``total`` their number.
 
-    ``hashes``, ``tokens`` and ``shares``: the HELD most frequent words, sorted by hash, with their tokens and the
+    ``hashes``, ``tokens`` and ``shares``: the most frequent words (HELD at most), sorted by hash, with their tokens and the
     logarithms of their shares in them; ``sums`` and ``kinds``: words and different words of each shared token.
     """
 
@@ -107,7 +107,7 @@ def vocabulary(docs: DataFrame, staged: Staged) -> Vocabulary:
     """The driver receives HELD words and RARE sums at most."""
     found = docs.select(text_bytes().alias("t")).mapInArrow(_counts, "word long, bucket int, n long")
     counts = staged.put(found.groupBy("word").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n")), "word_counts")
-    frequent = counts.orderBy(F.col("n").desc(), "word").limit(HELD).collect()
+    frequent = sorted(most_frequent(counts, "n", HELD), key=lambda r: (-r["n"], r["word"]))
     buckets = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
     return Vocabulary(counts, frequent, buckets, sum(b["n"] for b in buckets))
 
