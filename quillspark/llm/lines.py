@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Staged, join_spread, marked, marks, rest, scramble, text_bytes
+from .common import Staged, join_spread, marked, marks, most_frequent, rest, scramble, text_bytes
 
 SLICES = 64
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Bits of a filter for each line, and the most bits in one pass (2**29 bits: 64 MB).
 BITS_PER_LINE, PASS_BITS = 8, 1 << 29
-#: Repeated keys that every worker holds with their keeper (24 bytes each), the most frequent ones; all others are joined.
+#: Most repeated keys that every worker holds with their keeper (24 bytes each), the most frequent ones; all others are joined.
 HELD_KEYS = 50_000
 
 
@@ -188,7 +188,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     suspects = reduce(DataFrame.union, found)
     repeats = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"), F.max("doc_id").alias("keeper")).filter(F.col("_rows") >= min_docs)
     repeats = staged.put(repeats, "repeats")
-    held = {bytes(r["key"]): r["keeper"] for r in repeats.orderBy(F.col("_rows").desc(), "key").limit(held_keys).collect()}
+    held = {bytes(r["key"]): r["keeper"] for r in most_frequent(repeats, "_rows", held_keys)}
     shared = spark.sparkContext.broadcast(held)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("own")
     rows = docs.select(F.xxhash64(F.col("doc_id").cast("string")).alias("_h"), F.col("doc_id").alias("_id"), text_bytes().alias("_bytes"), own)
