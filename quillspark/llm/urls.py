@@ -138,7 +138,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     rows = rows.withColumn("key", host_key(F.col("host")))
     # a host with many urls spans several ranges: its rows are told apart by a hash
     rows = rows.withColumn("dealt", F.concat("key", F.lit("\0"), F.lpad(F.hex("_row"), 16, "0")))
-    some = rows.select("dealt", "_row").orderBy("_row").limit(ranges * BOUND_ROWS).select("dealt").collect()
+    some = rows.select("dealt", "_row").orderBy(F.xxhash64("_row")).limit(ranges * BOUND_ROWS).select("dealt").collect()
     bounds = spark.sparkContext.broadcast(sorted(r["dealt"] for r in some)[BOUND_ROWS::BOUND_ROWS])
     head = T.StructType.fromDDL("range int, kind int, key string, host string, path string, verdict string")
     kept = rows.schema["own"]
