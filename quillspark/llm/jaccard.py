@@ -455,6 +455,16 @@ def components(links: DataFrame, staged: Staged | None = None) -> DataFrame:
     return roots if roots is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
 
 
+def joined(roots: DataFrame, more: DataFrame, staged: Staged) -> DataFrame:
+    """``roots`` as ``components`` gives them, with further links: only the components that these bring together are contracted."""
+    x, y = roots.toDF("a", "_ra"), roots.toDF("b", "_rb")
+    tops = more.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("_ra", "a").alias("a"), F.coalesce("_rb", "b").alias("b"))
+    top = components(staged.put(tops.distinct(), "tops"), staged).toDF("_top", "_root")
+    new = more.select("a").union(more.select("b")).distinct().toDF("node").join(roots, "node", "left_anti")
+    every = roots.unionByName(new.select("node", F.col("node").alias("root")))
+    return staged.put(every.join(top, every["root"] == top["_top"], "left").select("node", F.coalesce("_root", "root").alias("root")), "roots")
+
+
 def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with an equal set) and component_id of every document.
 
@@ -488,8 +498,7 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     x, y = ids.toDF("a", "_ba", "_na"), ids.toDF("b", "_bb", "_nb")
     stars = swept.filter("kind = 0").select("a", "b").distinct().join(x, "a").join(y, "b")
     tried = put(stars.select("a", "b", "_ba", "_bb", "_na", "_nb").mapInArrow(_plausible(percent), "a long, b long"), "tried")
-    links = verified(tried, docs, classes, width, percent, staged)
-    roots = components(links, staged)
+    roots = components(verified(tried, docs, classes, width, percent, staged), staged)
     entries = put(swept.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("class_id"), "n", "place").distinct(), "entries")
     staged.drop(swept)
     for sweep in (_some_pairs(percent, 1), _some_pairs(percent, 2), None):
@@ -510,8 +519,7 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
         left = put(left.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"), "left")
         if not left.isEmpty():
             more = verified(left, docs, classes, width, percent, staged)
-            tried, links = put(tried.union(left), "tried"), put(links.union(more), "all_links")
-            roots = components(links, staged)
+            tried, roots = put(tried.union(left), "tried"), joined(roots, more, staged)
     z = roots.toDF("fp", "_root")
     named = put(classes.select("print", "fp", "class_id", "_rows").join(z, "fp", "left").withColumn("root", F.coalesce("_root", "fp")), "rooted")
     names = put(named.groupBy("root").agg(F.min("class_id").alias("component_id"), F.count(F.lit(1)).alias("_rows")), "names")

@@ -291,6 +291,20 @@ def test_jaccard_long_lists_in_cells(spark, monkeypatch):
     assert got == {i: i - i % 3 for i in range(36)}
 
 
+@pytest.mark.parametrize("first, later", [(40, 40), (0, 30), (30, 0)])
+def test_components_with_further_links(spark, first, later):
+    rng = random.Random(first)
+    links = [(rng.randrange(100), rng.randrange(100)) for _ in range(first + later)]
+    frame = lambda x: spark.createDataFrame(x, "a long, b long")
+    roots = jaccard.components(frame(links[:first]))
+    got = {r["node"]: r["root"] for r in jaccard.joined(roots, frame(links[first:]), jaccard.Staged(spark, "test")).collect()}
+    want = {x: x for pair in links for x in pair}
+    for _ in links:
+        for x, y in links:
+            want[x] = want[y] = min(want[x], want[y])
+    assert {x: got.get(x, x) for x in want} == want
+
+
 def test_jaccard_rows_of_one_id_keep_their_own_links(spark):
     one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
     rows = [(7, one, "a"), (7, two, "a"), (8, f"{one} x", "a"), (9, f"{two} x", "a"), (None, f"{two} y", "a"), (None, "quite alone here it stands", "a")]
