@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, jaccard, lines, maskedlm, mixing, secrets, toxicity, urls, warc
-from .common import table
+from . import ann, decontam, jaccard, lines, maskedlm, mixing, secrets, tokens, toxicity, urls, warc
+from .common import scratch_dir, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +66,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{scratch_dir(spark)}/quill-{uuid.uuid4().hex}/ids"
+    tokens.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokens.read_documents(spark, path)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_masked_lm, op3_jaccard_join, op4_mix_sources, op5_secret_scan, op6_line_dedup, op7_url_filter, op8_nearest, op9_decontamination, op10_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_masked_lm, op3_jaccard_join, op4_mix_sources, op5_secret_scan, op6_line_dedup, op7_url_filter, op8_nearest, op9_decontamination, op10_warc, op11_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
