@@ -81,8 +81,10 @@ def _run(x: np.ndarray, place: np.ndarray, words: np.ndarray, n: int, table: Tab
         y[:] = table.share[ids] * (y >> np.uint64(SCALE)) + slot - table.first[ids]
         short = y < LOW
         if short.any():
-            next_ = place[:, None] + np.cumsum(short, 1) - 1
-            y[short] = (y[short] << HALF) | words[next_[short]]
+            next_ = (place[:, None] + np.cumsum(short, 1) - 1)[short]
+            if not next_.max() < len(words):
+                raise ValueError("a block ends too early: it was coded with another table")
+            y[short] = (y[short] << HALF) | words[next_]
             place = place + short.sum(1)
     return out
 
@@ -90,7 +92,7 @@ def _run(x: np.ndarray, place: np.ndarray, words: np.ndarray, n: int, table: Tab
 def decode(block: bytes, table: Table, start: int = 0, stop: int | None = None) -> np.ndarray:
     """Ids ``start`` to ``stop`` of a block; only the segments that hold them are decoded. ValueError if a checksum fails."""
     mark, n, n_words, n_kept, crc = struct.unpack_from(HEAD, block)
-    body = memoryview(block)[HEAD_BYTES :]
+    body = memoryview(block)[HEAD_BYTES:]
     if mark != MARK or len(body) != n_kept * (8 + 8 * LANES) + 4 * n_words or zlib.crc32(body) != crc:
         raise ValueError("damaged block")
     stop = n if stop is None else min(stop, n)
