@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, divergence, jaccard, lines, maskedlm, mixing, secrets, tokens, toxicity, urls, warc
+from . import ann, decontam, divergence, jaccard, lines, maskedlm, mixing, secrets, tokens, toxicity, urls, variants, warc
 from .common import scratch_dir, table
 
 
@@ -78,9 +78,13 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_masked_lm, op3_jaccard_join, op4_mix_sources, op5_secret_scan, op6_line_dedup, op7_url_filter, op8_nearest, op9_decontamination, op10_warc, op11_token_ids, op12_source_divergence)}
+    return {f.__name__: f for f in (op1_toxicity, op2_masked_lm, op3_jaccard_join, op4_mix_sources, op5_secret_scan, op6_line_dedup, op7_url_filter, op8_nearest, op9_decontamination, op10_warc, op11_token_ids, op12_source_divergence, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.SQL, "op6_line_dedup": lines.SQL, "op7_url_filter": urls.SQL, "op9_decontamination": decontam.SQL, "op12_source_divergence": divergence.SQL, "op10_warc": warc.SQL.replace("AS refers_to", "AS refers_to, true AS verified")}
+    return {"op4_mix_sources": mixing.SQL, "op6_line_dedup": lines.SQL, "op7_url_filter": urls.SQL, "op9_decontamination": decontam.SQL, "op12_source_divergence": divergence.SQL, "op13_spelling_variants": variants.SQL, "op10_warc": warc.SQL.replace("AS refers_to", "AS refers_to, true AS verified")}
