@@ -1,9 +1,9 @@
 """How far the sources of a language lie apart in their words: a single-pass index in memory, spilled runs, merged shards.
 
-Every task counts terms by language and source in memory, as postings (source, count, documents). When these are as many as it
-may hold it spills a run, cut by hashes of terms into shards and, within a shard, sorted by term. Shards are merged by a
-heap that opens a run's next chunk only when the merge comes to its first term; what leaves the heap are the
-frequencies of one term after the other. Distances between sources are then summed in one stream over terms: a
+Every task gathers postings in memory: term, source, count, documents. When these are as many as it may hold it spills
+a run, cut by hashes of terms into shards and, within a shard, sorted by term. Shards are merged by a heap of the
+runs' chunks, which opens a chunk only when the merge comes to its first term and takes off whole stretches of terms
+at a time. Distances between sources are then summed in one stream over terms: a
 source's terms are few of all, so the sum starts from the distance of two sources without any words, and every
 posting corrects it.
 """
@@ -13,7 +13,8 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -23,15 +24,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Staged, text_bytes
+from .common import Staged, some_rows, text_bytes
 
 #: The bytes of [^\x00-\x40\x5B-\x60\x7B-\x7F]+ in UTF-8, and one that parts terms.
 TERM, GAP = re.compile(rb"[A-Za-z\x80-\xff]+"), re.compile(rb"[^A-Za-z\x80-\xff]")
 MIN_DOCS, ADDED, SCALE, TOP = 30, 5, 1_000_000_000, 50
-#: A run is spilled at so many postings, or after so many bytes of text, which its terms can't exceed.
-RUN_POSTINGS, RUN_BYTES = 500_000, 1 << 28
-#: Postings of a chunk; bytes of a text that are looked at together; sources of a tile; terms that are compared at once.
-CHUNK, SLICE, TILE, TERMS = 4096, 1 << 22, 256, 1024
+#: Every byte as letters of terms have it, all others blanks.
+FOLD = np.array([b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)], np.uint8)
+#: A run is spilled at so many postings or bytes of postings.
+RUN_POSTINGS, RUN_BYTES = 500_000, 1 << 27
+#: Postings of a chunk, and those merged at once; bytes of texts that are looked at together; sources of a tile; terms that are compared at once.
+CHUNK, WINDOW, SLICE, TILE, TERMS = 4096, 1 << 17, 1 << 22, 256, 1024
 
 
 def slices(text: bytes, size: int) -> Iterator[bytes]:
@@ -46,102 +49,157 @@ def slices(text: bytes, size: int) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
-RUN = "shard int, lang string, first_term string, first_source string, terms array<string>, sources array<string>, counts array<long>, docs array<long>"
+RUN = "shard int, lang string, first string, terms array<string>, sources array<string>, counts array<long>, docs array<long>"
+POSTINGS = pa.schema([("group", pa.int64()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+
+
+def postings_of(texts: pa.Array, group: np.ndarray) -> pa.Table:
+    """Counts and documents of every term in each group, from a binary column of texts."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    if ends[-1] == ends[0]:
+        return POSTINGS.empty_table()
+    letters = FOLD[np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]]
+    folded = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(ends - ends[0]), pa.py_buffer(letters)])
+    lists = pc.split_pattern(folded, " ")
+    words = lists.flatten().dictionary_encode()
+    terms, code = words.dictionary, words.indices.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    some = code != pc.index(terms, "").as_py()
+    each, counts = np.unique(row[some] * len(terms) + code[some], return_counts=True)  # a term in a document
+    key = group[each // len(terms)] * len(terms) + each % len(terms)
+    order = np.argsort(key, kind="stable")
+    key, counts = key[order], counts[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    n = np.add.reduceat(counts, starts) if len(key) else counts
+    return pa.table([pa.array(key[starts] // len(terms)), terms.take(pa.array(key[starts] % len(terms))), pa.array(n), pa.array(np.diff(np.append(starts, len(key))))], schema=POSTINGS)
+
+
+def _postings_of_one(text: bytes, group: int) -> pa.Table:
+    """The same for one long text, slice by slice."""
+    own = Counter()
+    for part in slices(text, SLICE):
+        own.update(TERM.findall(part.lower()))  # bytes know ASCII letters only
+    return pa.table([pa.array([group] * len(own), pa.int64()), pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(list(own.values()), pa.int64()), pa.array([1] * len(own), pa.int64())], schema=POSTINGS)
+
+
+def _compact(parts: list[pa.Table]) -> pa.Table:
+    out = pa.concat_tables(parts).group_by(["group", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+    return out.rename_columns({"n_sum": "n", "docs_sum": "docs"}).select(POSTINGS.names).cast(POSTINGS)
+
+
+def _spilled(postings: pa.Table, groups: list[tuple[str, str]], shards: int) -> Iterator[pa.RecordBatch]:
+    """A run: the postings by shard, language, term and source, in chunks."""
+    if not postings.num_rows:
+        return
+    coded = postings["term"].combine_chunks().dictionary_encode()
+    terms, code = coded.dictionary, coded.indices.to_numpy()
+    rank = np.empty(len(terms), np.int64)
+    rank[pc.sort_indices(terms).to_numpy()] = np.arange(len(terms))
+    shard = np.array([zlib.crc32(t) % shards for t in terms.cast(pa.binary()).to_pylist()], np.int32)[code]
+    names = {x: i for i, x in enumerate(sorted({g[0] for g in groups}))}
+    group = postings["group"].to_numpy()
+    lang = np.array([names[g[0]] for g in groups])[group]
+    place = np.empty(len(groups), np.int64)
+    place[sorted(range(len(groups)), key=groups.__getitem__)] = np.arange(len(groups))
+    order = np.lexsort((place[group], rank[code], lang, shard))
+    shard, lang = shard[order], lang[order]
+    new = np.append(True, (shard[1:] != shard[:-1]) | (lang[1:] != lang[:-1]))
+    first = np.flatnonzero(new)
+    within = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    starts = np.flatnonzero(within % CHUNK == 0)
+    ends = pa.array(np.append(starts, len(order)), pa.int32())
+    take = pa.array(order)
+    columns = [terms.take(pa.array(code[order])), pa.array([g[1] for g in groups], pa.string()).take(pa.array(group[order])), postings["n"].combine_chunks().take(take), postings["docs"].combine_chunks().take(take)]
+    out = [pa.array(shard[starts]), pa.array(list(names), pa.string()).take(pa.array(lang[starts])), columns[0].take(pa.array(starts)), *(pa.ListArray.from_arrays(ends, c) for c in columns)]
+    whole = pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in RUN.split(", ")])
+    for at in range(0, whole.num_rows, 64):
+        yield whole.slice(at, 64)
 
 
 def _runs(shards: int, most: int, most_bytes: int):
-    """Postings of each block of rows as sorted chunks."""
-
-    def spilled(counts: dict, docs: dict) -> Iterator[pa.RecordBatch]:
-        dealt = defaultdict(list)
-        for (lang, source), own in counts.items():
-            seen = docs[lang, source]
-            for term, n in own.items():
-                dealt[zlib.crc32(term) % shards, lang].append((term.decode(), source, n, seen[term]))
-        rows = []
-        for (shard, lang), postings in sorted(dealt.items()):
-            postings.sort()
-            for at in range(0, len(postings), CHUNK):
-                own = postings[at : at + CHUNK]
-                rows.append((shard, lang, own[0][0], own[0][1], *map(list, zip(*own, strict=True))))
-        kinds = [pa.int32(), *[pa.string()] * 3, *[pa.list_(pa.string())] * 2, *[pa.list_(pa.int64())] * 2]
-        for at in range(0, len(rows), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 64], strict=True), kinds, strict=True)], names=[x.split()[0] for x in RUN.split(", ")])
+    """Postings of each block of rows, spilled when they are too many or too large."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, docs, scanned, held = defaultdict(Counter), defaultdict(Counter), 0, 0
+        groups, parts, rows = {}, [], 0
         for batch in batches:
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own, seen = counts[lang, source], set()
-                before = len(own)
-                for part in slices(text, SLICE):
-                    terms = TERM.findall(part.lower())  # bytes know ASCII letters only
-                    own.update(terms)
-                    seen.update(terms)
-                docs[lang, source].update(seen)
-                held, scanned = held + len(own) - before, scanned + len(text)
-                if held > most or scanned > most_bytes:
-                    yield from spilled(counts, docs)
-                    counts, docs, scanned, held = defaultdict(Counter), defaultdict(Counter), 0, 0
-        yield from spilled(counts, docs)
+            texts = batch.column(2)
+            for at, to in some_rows(texts, SLICE):
+                own = np.array([groups.setdefault(g, len(groups)) for g in zip(*(batch.column(i)[at:to].to_pylist() for i in (0, 1)), strict=True)], np.int64)
+                if to == at + 1 and len(text := texts[at].as_py()) > SLICE:
+                    parts.append(_postings_of_one(text, int(own[0])))
+                else:
+                    parts.append(postings_of(texts[at:to], own))
+                rows += parts[-1].num_rows
+                if rows > 2 * most or sum(x.nbytes for x in parts) > most_bytes:
+                    parts = [_compact(parts)]
+                    rows = parts[0].num_rows
+                    if rows > most or parts[0].nbytes > most_bytes // 2:
+                        yield from _spilled(parts[0], list(groups), shards)
+                        groups, parts, rows = {}, [], 0
+        if parts:
+            yield from _spilled(_compact(parts), list(groups), shards)
 
     return build
 
 
-def heap_merged(chunks: Iterator[tuple[tuple, Iterator[tuple]]]) -> Iterator[tuple]:
-    """All entries in order, from sorted chunks that come with, and in order of, their first keys (first two fields); a chunk is opened when its first key is reached."""
-    heap = []
-    for serial, (first, chunk) in enumerate(chunks):
-        while heap and heap[0][0][:2] < first:
-            entry, k, rest = heap[0]
-            yield entry
-            if (following := next(rest, None)) is None:
-                heapq.heappop(heap)
-            else:
-                heapq.heapreplace(heap, (following, k, rest))
-        if (entry := next(chunk, None)) is not None:
-            heapq.heappush(heap, (entry, serial, chunk))
-    while heap:
-        entry, k, rest = heap[0]
-        yield entry
-        if (following := next(rest, None)) is None:
-            heapq.heappop(heap)
-        else:
-            heapq.heapreplace(heap, (following, k, rest))
+def heap_merged(chunks: Iterator[tuple], window: int) -> Iterator[list[tuple]]:
+    """Sorted chunks (tuples of columns, terms first) come in order of their first terms. Gives parts of them so that no term is in two lists of parts.
+
+    A heap holds what is left of the open chunks by its first term. When that is ``window`` rows or more, all below the
+    next chunk's first term is taken off.
+    """
+    heap, held = [], 0
+
+    def below(bound: str | None) -> list[tuple]:
+        parts = []
+        while heap and (bound is None or heap[0][0] < bound):
+            _, serial, own = heapq.heappop(heap)
+            cut = len(own[0]) if bound is None else bisect_left(range(len(own[0])), bound, key=lambda i: own[0][i].as_py())
+            parts.append(tuple(c[:cut] for c in own))
+            if cut < len(own[0]):
+                heapq.heappush(heap, (own[0][cut].as_py(), serial, tuple(c[cut:] for c in own)))
+        return parts
+
+    for serial, own in enumerate(chunks):
+        first = own[0][0].as_py()
+        if held >= window and heap[0][0] < first:
+            parts = below(first)
+            held -= sum(len(p[0]) for p in parts)
+            yield parts
+        heapq.heappush(heap, (first, serial, own))
+        held += len(own[0])
+    if heap:
+        yield below(None)
 
 
 KEPT = "lang string, term string, source string, n long, total long, lead boolean"
 
 
 def _frequencies(min_docs: int):
-    """Runs come sorted by shard, language and first posting: counts of every term in enough documents of its language, by source."""
+    """Runs come sorted by shard, language and first term: counts of every term in enough documents of its language, by source."""
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield tuple(c[i].as_py() for c in batch.columns)
+                yield (batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), tuple(batch.column(k)[i].values for k in range(3, 7))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        names, kinds = [x.split()[0] for x in KEPT.split(", ")], [*[pa.string()] * 3, pa.int64(), pa.int64(), pa.bool_()]
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-        for (_, lang), rows in groupby(rows_of(batches), key=lambda r: r[:2]):
-            chunks = ((r[2:4], zip(*r[4:], strict=True)) for r in rows)
-            for term, postings in groupby(heap_merged(chunks), key=lambda e: e[0]):
-                found, total, documents = [], 0, 0
-                for _, source, n, docs in postings:
-                    total, documents = total + n, documents + docs
-                    if found and found[-1][0] == source:
-                        found[-1][1] += n
-                    else:
-                        found.append([source, n])
-                if documents >= min_docs:
-                    out += [(lang, term, source, n, total, i == 0) for i, (source, n) in enumerate(found)]
-                if len(out) >= 10_000:
-                    yield batch()
-                    out = []
-        if out:
-            yield batch()
+        for (_, lang), rows in groupby(rows_of(batches), key=lambda r: r[0]):
+            for parts in heap_merged((r[1] for r in rows), WINDOW):
+                met = pa.table([pa.chunked_array(c) for c in zip(*parts, strict=True)], names=["term", "source", "n", "docs"])
+                met = met.group_by(["term", "source"]).aggregate([("n", "sum"), ("docs", "sum")])
+                coded = met["term"].combine_chunks().dictionary_encode()
+                code = coded.indices.to_numpy()
+                total, docs = np.zeros(len(coded.dictionary), np.int64), np.zeros(len(coded.dictionary), np.int64)
+                np.add.at(total, code, met["n_sum"].to_numpy())
+                np.add.at(docs, code, met["docs_sum"].to_numpy())
+                kept = docs[code] >= min_docs
+                if kept.any():
+                    lead = np.zeros(len(code), bool)
+                    lead[np.unique(code, return_index=True)[1]] = True
+                    met = met.filter(pa.array(kept)).combine_chunks()
+                    out = [pa.array([lang] * met.num_rows, pa.string()), *(met[c].combine_chunks() for c in ("term", "source", "n_sum")), pa.array(total[code[kept]]), pa.array(lead[kept])]
+                    yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in KEPT.split(", ")])
 
     return merge
 
@@ -253,7 +311,7 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP,
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = docs.select(named("lang"), named("source"), text_bytes().alias("t")).mapInArrow(_runs(4 * tasks, run_postings, run_bytes), RUN)
-    order = ["shard", "lang", "first_term", "first_source"]
+    order = ["shard", "lang", "first"]
     kept = staged.put(runs.repartition("shard").sortWithinPartitions(*order).mapInArrow(_frequencies(min_docs), KEPT), "kept")
 
     groups = docs.select(named("lang"), named("source")).distinct()

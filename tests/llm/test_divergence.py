@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from quillspark.llm import divergence
@@ -55,7 +56,7 @@ def test_equals_brute_force(spark):
 
 
 def test_tiles_and_long_texts_in_slices(spark, monkeypatch):
-    for name, value in {"TILE": 4, "TERMS": 5, "CHUNK": 3, "SLICE": 64}.items():
+    for name, value in {"TILE": 4, "TERMS": 5, "CHUNK": 3, "SLICE": 64, "WINDOW": 7}.items():
         monkeypatch.setattr(divergence, name, value)
     rows = made(2, 500, [f"s{i}" for i in range(19)])
     assert got(spark, rows, min_docs=2, top=3, run_bytes=2000) == plain(rows, 2, 3)
@@ -68,19 +69,21 @@ def test_no_rows(spark):
 @pytest.mark.parametrize("runs", [0, 1, 7])
 def test_heap_opens_chunks_as_they_are_reached(runs):
     rng = random.Random(runs)
-    entries = [sorted((f"{rng.randrange(50):02}", "s", rng.randrange(9)) for _ in range(40)) for _ in range(runs)]
-    chunks, opened = sorted((run[at][:2], run[at : at + 4]) for run in entries for at in range(0, 40, 4)), []
+    entries = [sorted((f"{rng.randrange(50):02}", rng.randrange(9)) for _ in range(40)) for _ in range(runs)]
+    chunks, opened = sorted(run[at : at + 4] for run in entries for at in range(0, 40, 4)), []
 
     def lazily():
-        for first, own in chunks:
-            opened.append(first)
-            yield first, iter(own)
-
-    out = []
-    for x in divergence.heap_merged(lazily()):
-        out.append(x)
-        assert len(opened) == len(chunks) or opened[-1] >= x[:2]
-    assert sorted(out) == sorted(x for run in entries for x in run) and [x[:2] for x in out] == sorted(x[:2] for x in out)
+        for own in chunks:
+            opened.append(own[0][0])
+            yield pa.array([x for x, _ in own]), pa.array([x for _, x in own])
+
+    out, seen = [], set()
+    for parts in divergence.heap_merged(lazily(), 20):
+        own = [(x, y) for p in parts for x, y in zip(p[0].to_pylist(), p[1].to_pylist(), strict=True)]
+        assert not seen & {x for x, _ in own} and (len(opened) == len(chunks) or len(opened) - len(out) // 4 < 30)
+        seen |= {x for x, _ in own}
+        out += own
+    assert sorted(out) == sorted(x for run in entries for x in run)
 
 
 def test_slices_end_between_terms():
