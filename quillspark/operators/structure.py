@@ -86,7 +86,7 @@ def infer_heading_levels(paragraphs: DataFrame, runs: DataFrame) -> DataFrame:
     """doc_id, block_index, inferred: levels of unstyled documents from the sizes and weights of their lines.
 
     ``paragraphs``: doc_id, block_index, text, in_table, from_textbox, is_list, declared (any level);
-    ``runs``: doc_id, block_index, size, bold, chars (without white space at the ends), ord. Documents that declare
+    ``runs``: doc_id, block_index, size, bold, chars, bare (chars without white space at the ends), ord. Sizes weigh by chars, weights by bare. Documents that declare
     a level are left out; runs without a size count for no size.
     """
     bare = paragraphs.groupBy("doc_id").agg(F.count_if(F.col("declared").isNotNull()).alias("_n")).filter("_n = 0").select("doc_id")
@@ -96,7 +96,7 @@ def infer_heading_levels(paragraphs: DataFrame, runs: DataFrame) -> DataFrame:
     sized = own.filter("size is not null")
     size = weighted_mode(sized.withColumn("_o", F.col("ord")), ["doc_id", "block_index"], "size", "chars", "_o").select("doc_id", "block_index", "size")
     usual = weighted_mode(sized.withColumn("_o", F.col("block_index") * 100_000 + F.col("ord")), ["doc_id"], "size", "chars", "_o").select("doc_id", F.col("size").alias("usual"))
-    bold = own.groupBy("doc_id", "block_index").agg((F.sum(F.when(F.col("bold"), F.col("chars")).otherwise(0)) > F.sum(F.when(F.coalesce("bold", F.lit(False)), 0).otherwise(F.col("chars")))).alias("bold"))
+    bold = own.groupBy("doc_id", "block_index").agg((F.sum(F.when(F.col("bold"), F.col("bare")).otherwise(0)) > F.sum(F.when(F.coalesce("bold", F.lit(False)), 0).otherwise(F.col("bare")))).alias("bold"))
     rows = body.join(size, ["doc_id", "block_index"], "left").join(bold, ["doc_id", "block_index"], "left").join(usual, "doc_id", "left").fillna(False, ["bold"])
     rows = rows.withColumn("_share", F.avg(F.col("bold").cast("int")).over(Window.partitionBy("doc_id")))
     few = F.size(F.split(F.trim("text"), r"\s+")) <= 12

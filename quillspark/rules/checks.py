@@ -1,24 +1,25 @@
-"""The thirteen rules. Each takes (Model, Config) and returns a row per document with its verdict.
+"""The thirteen rules. Each takes (documents, Config) and returns the documents, with columns of its own, and its verdict.
 
-A rule summarises the children of a document by doc_id and joins what it found to ``docs``; a document without
-such rows gets the verdict for nothing found.
+A document is one row of ``facts.gather``; a rule is a set of expressions over it, so all rules are judged in one pass. Built-in
+expressions give null where a value can't be had, so that no row stops the others.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions import dates as D
 from quillspark.functions import readability as R
 from quillspark.functions import similarity as S
 from quillspark.functions import text as X
-from quillspark.operators import structure
 
-from .model import APPROVER_HEADER, PERSON_HEADER, VERSION_LABEL, Config, Model, ordered, table_name
+from .facts import first, section_of, under
+from .model import APPROVER_HEADER, VERSION_LABEL, Config, table_name, yes
 
+#: number: (name, severity, function, the children that it reads: p, t, f)
 RULES: dict[int, tuple] = {}
 
 # Labels and patterns of the rules.
@@ -30,8 +31,6 @@ APPROVER_LABEL = r"(?i)^(?:approver|approved\s+by|authori[sz]ed\s+by|prepared\s+
 APPROVER_SECTION = r"(?i)^approver(?:s)?(?:\s*\(s\))?\s*$"
 ROLE_LABEL = r"(?i)^(?:role|designation|position|job\s+title)$"
 ROLE = r"(?i)\b(?:author|owner|manager|engineer|officer|lead|head|director|coordinator|specialist|analyst|administrator|role|designation|title)\b"
-SIGNATURE_LINE = r"(?i)^\s*(?:prepared|reviewed|approved|authori[sz]ed|checked|issued|verified|released)\s+by\b|^\s*signature\b|^\s*sign(?:ed)?\s*&?\s*date\b"
-SIGNATURE_WORDS = 8
 SIGNED_BY = r"(?i)^\s*(?:prepared|reviewed|approved|authori[sz]ed|checked|issued|verified|released)\s+by\s*[:\-]?"
 PAGE_TEXT = r"(?i)\bpage\s+\d+\b"
 BARE_NUMBER = r"(?m)^[^\S\n]*[-–]?[^\S\n]*\d{1,4}[^\S\n]*[-–]?[^\S\n]*$"
@@ -43,31 +42,31 @@ ISSUES, REPLACEMENTS = 50, 5
 TOLERANCES = {"size": 0.5, "line": 0.05, "before": 3.0, "after": 3.0}
 
 
+ALIGNMENT = {"LEFT": "left-aligned", "RIGHT": "right-aligned", "CENTER": "centred", "JUSTIFY": "justified"}
+
+
+class Verdict(NamedTuple):
+    passed: Column
+    message: Column
+    evidence: Column | None = None
+    locations: Column | None = None
+    confidence: str = "heuristic"
+
+
 def none() -> Column:
     return F.array().cast("array<string>")
 
 
-
-def rule(number: int, name: str, severity: str):
+def rule(number: int, name: str, severity: str, parts: str = "ptf"):
     """Registers a rule; further ones are added likewise."""
 
     def add(f):
-        RULES[number] = (name, severity, f)
+        RULES[number] = (name, severity, f, parts)
         return f
 
     return add
 
 
-def verdict(m: Model, found: DataFrame, passed: Column, message: Column, evidence: Column | None = None, locations: Column | None = None, confidence: str = "heuristic") -> DataFrame:
-    rows = m.docs.join(found, "doc_id", "left")
-    lists = [(none() if x is None else F.coalesce(x.cast("array<string>"), none())).alias(n) for x, n in ((evidence, "evidence"), (locations, "locations"))]
-    return rows.select("doc_id", passed.cast("boolean").alias("passed"), message.alias("message"), *lists, F.lit(confidence).alias("confidence"))
-
-
-def yes(x: Column) -> Column:
-    return F.coalesce(x, F.lit(False))
-
-
 def text_of(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
@@ -77,269 +76,332 @@ def is_default(name: Column, c: Config) -> Column:
     return key.isin(*[" ".join(a.replace("-", " ").replace("/", " ").lower().split()) for a in c.default_authors]) | key.endswith(" user")
 
 
-def cells_under(m: Model, tables: DataFrame, column: str) -> DataFrame:
-    """Cells below the header of the column that ``column`` of ``tables`` names: doc_id, table_index, row, value."""
-    want = tables.select("doc_id", "table_index", F.col(column).alias("col")).filter("col is not null")
-    return m.cells.filter("row > 0").join(want, ["doc_id", "table_index", "col"]).select("doc_id", "table_index", "row", F.trim("text").alias("value"))
-
-
-@rule(1, "Title / filename match", "warning")
-def title(m: Model, c: Config) -> DataFrame:
-    first = m.paragraphs.filter(~F.col("in_table") & (X.squeeze(F.col("text")) != ""))
-    h1 = F.min(F.when(F.col("level") == 1, F.struct("block_index", "text", "location")))
-    cover = F.min(F.when(F.col("level").isNull(), F.struct("block_index", "text")))
-    found = first.groupBy("doc_id").agg(h1.alias("h1"), cover.alias("cover"))
-    rows = m.labelled(TITLE_LABEL).filter(~F.col("value").contains("/")).groupBy("doc_id").agg(F.min(F.struct("table_index", "row", "value")).alias("cell"))
-    both = m.docs.select("doc_id", "filename", "title").join(found, "doc_id", "left").join(rows, "doc_id", "left")
-    near = F.when(F.col("h1").isNull() | (F.col("cover.block_index") < F.col("h1.block_index")), F.col("cover.text"))
-    own = F.when(~X.normalize_title(F.col("h1.text")).isin(*GENERIC_HEADINGS), F.col("h1.text"))
-    both = both.withColumn("file", X.normalize_filename(F.col("filename")))
-    values = {"title": F.nullif("title", F.lit("")), "heading": own, "first line": near, "title row": F.col("cell.value")}
-    for i, v in enumerate(values.values()):
-        both = both.withColumn(f"v{i}", v).withColumn(f"k{i}", X.normalize_title(v))
-        both = both.withColumn(f"s{i}", F.when(F.col(f"v{i}").isNotNull(), F.when(X.digits_conflict(F.col(f"k{i}"), F.col("file")), 0.0).otherwise(S.similarity(f"k{i}", "file"))))
-    best = F.greatest(*[F.col(f"s{i}") for i in range(4)])
-    exact = reduce(lambda a, b: a | b, [yes((F.col(f"k{i}") == F.col("file")) & F.col(f"v{i}").isNotNull()) for i in range(4)])
-    evidence = F.array_compact(F.array(text_of("file name: ", F.col("filename")), *[text_of(f"{n}: ", F.col(f"v{i}")) for i, n in enumerate(values)]))
-    found = both.select("doc_id", "file", best.alias("best"), exact.alias("exact"), evidence.alias("seen"), F.array_compact(F.array(F.col("h1.location"), table_name(F.col("cell.table_index")))).alias("at"))
-    named = yes(F.col("file") != "")
-    passed = named & (F.col("exact") | yes(F.col("best") >= c.title_match_threshold))
-    message = F.when(~named, "There is no file name to compare with.").when(F.col("best").isNull(), "The document gives no title.").otherwise(text_of("Best similarity of title and file name: ", F.format_number(F.col("best"), 2)))
-    return verdict(m, found, passed, message, F.col("seen"), F.col("at"))
-
-
-@rule(2, "Author name and role", "error")
-def author(m: Model, c: Config) -> DataFrame:
-    cols = ["doc_id", "place", "value", "counts"]
-    core = m.docs.select("doc_id", F.explode(F.array(F.struct(F.lit("author property").alias("place"), F.col("author").alias("value")), F.struct(F.lit("last modified by").alias("place"), F.col("modified_by").alias("value")))).alias("x")).select("doc_id", "x.*")
-    core = core.filter("value <> ''").withColumn("counts", ~is_default(F.col("value"), c))
-    top = m.flow().filter("flow_pos < 25")
-    name = F.trim(F.regexp_extract("text", AUTHOR_LINE, 1))
-    lines = top.select("doc_id", F.col("location").alias("place"), name.alias("value"), (name != "").alias("counts"))
-    label = m.labelled(AUTHOR_LABEL).select("doc_id", table_name(F.col("table_index")).alias("place"), "value", (~is_default(F.col("value"), c)).alias("counts"))
-    tables = m.tables()
-    person = X.person_name(F.col("value"))
-    good = (person != "") & ~is_default(person, c)
-    approver = m.labelled(APPROVER_LABEL).select("doc_id", table_name(F.col("table_index")).alias("place"), person.alias("value"), good.alias("counts"))
-    after = m.paragraphs.filter(F.trim("text").rlike(APPROVER_SECTION)).groupBy("doc_id").agg(F.min("block_index").alias("at"))
-    signing = tables.join(after, "doc_id", "left").filter(F.col("joined").rlike(APPROVER_HEADER) | yes(F.col("at") < F.col("block_index"))).select("doc_id", "table_index")
-    heads = m.cells.filter((F.col("row") == 0) & X.normalize_key(F.col("text")).rlike(PERSON_HEADER)).select("doc_id", "table_index", "col")
-    under = m.cells.filter("row > 0").join(heads, ["doc_id", "table_index", "col"]).join(signing, ["doc_id", "table_index"], "left_semi").withColumn("value", F.trim("text"))
-    under = under.select("doc_id", table_name(F.col("table_index")).alias("place"), person.alias("value"), (good & ~person.rlike(APPROVER_LABEL)).alias("counts"))
-    past = cells_under(m, m.revision_table(), "author_col").select("doc_id", table_name(F.col("table_index")).alias("place"), person.alias("value"), good.alias("counts"))
-    every = reduce(DataFrame.unionByName, [x.select(*cols) for x in (core, lines, label, approver, under, past)]).filter("value <> ''")
-    roles = reduce(DataFrame.union, [top.filter(F.col("text").rlike(ROLE)).select("doc_id"), m.labelled(ROLE_LABEL).select("doc_id"), approver.select("doc_id"), signing.join(heads, ["doc_id", "table_index"], "left_semi").select("doc_id")])
-    roles = roles.distinct().withColumn("role", F.lit(True))
-    found = every.groupBy("doc_id").agg(F.bool_or("counts").alias("ok"), F.sort_array(F.collect_set(text_of(F.col("place"), ": ", F.col("value")))).alias("seen"), F.sort_array(F.collect_set(F.when(F.col("counts"), F.col("place")))).alias("at"))
-    found = found.join(roles, "doc_id", "left")
-    message = F.when(~yes(F.col("ok")), "Nobody is named as author.").when(yes(F.col("role")), "An author is named.").otherwise("An author is named, without a role.")
-    return verdict(m, found, yes(F.col("ok")), message, F.col("seen"), F.col("at"))
-
-
-@rule(3, "Revision dates", "error")
-def revision_dates(m: Model, c: Config) -> DataFrame:
+def labelled(pattern: str) -> Column:
+    """t, row, value of rows whose first cell is a short label that matches, in order."""
+    return F.flatten(F.transform("ts", lambda t: F.transform(F.filter(t["pairs"], lambda x: x["label"].rlike(pattern)), lambda x: F.struct(t["table_index"].alias("t"), x["row"].alias("row"), x["value"].alias("value")))))
+
+
+def describe(p: Column, note: Column | None = None) -> Column:
+    """Where a paragraph stands, what it says and what is the matter with it."""
+    return F.concat_ws(" — ", p["place"], X.snippet(p["text"]), *([] if note is None else [note]))
+
+
+def in_table(index: Column, block: Column) -> Column:
+    """A table's name with its section."""
+    return X.locator(table_name(index), section_of(F.col("heads"), block))
+
+
+@rule(1, "Title / filename match", "warning", "pt")
+def title(d: DataFrame, c: Config) -> tuple[DataFrame, Verdict]:
+    filled = F.filter("ps", lambda p: ~p["in_table"] & p["filled"])
+    d = d.withColumns({
+        "r1_name": F.lit(c.filename) if c.filename else F.col("filename"), "r1_h1": first(F.filter(filled, lambda p: p["level"] == 1)), "r1_cover": first(F.filter(filled, lambda p: p["level"].isNull())),
+        "r1_row": first(F.filter(labelled(TITLE_LABEL), lambda x: ~x["value"].contains("/"))),
+    })
+    d = d.withColumn("r1_file", X.normalize_filename(F.col("r1_name")))
+    h1, cover = F.col("r1_h1"), F.col("r1_cover")
+    own = F.when(~X.normalize_title(h1["text"]).isin(*GENERIC_HEADINGS), h1["text"])
+    near = F.when(h1.isNull() | (cover["block_index"] < h1["block_index"]), cover["text"])
+    values = {"title": F.nullif("title", F.lit("")), "heading": own, "first line": near, "title row": F.col("r1_row.value")}
+    d = d.withColumns({f"r1_v{i}": v for i, v in enumerate(values.values())})
+    d = d.withColumns({f"r1_k{i}": F.when(F.col(f"r1_v{i}").isNotNull(), X.normalize_title(F.col(f"r1_v{i}"))) for i in range(4)})
+    d = d.withColumns({f"r1_s{i}": F.when(F.col(f"r1_k{i}").isNotNull(), F.when(X.digits_conflict(F.col(f"r1_k{i}"), F.col("r1_file")), 0.0).otherwise(S.similarity(f"r1_k{i}", "r1_file"))) for i in range(4)})
+    scored = F.array(*[F.when(F.col(f"r1_s{i}").isNotNull(), F.struct(F.col(f"r1_s{i}").alias("score"), F.lit(-i).alias("o"), F.lit(n).alias("name"))) for i, n in enumerate(values)])
+    exact = F.array_compact(F.array(*[F.when(F.col(f"r1_k{i}") == F.col("r1_file"), F.lit(n)) for i, n in enumerate(values)]))
+    d = d.withColumns({"r1_best": F.array_max(F.array_compact(scored)), "r1_exact": exact})
+    best, name = F.col("r1_best.score"), F.col("r1_best.name")
+    named = yes(F.col("r1_file") != "")
+    passed = named & ((F.size("r1_exact") > 0) | yes(best >= c.title_match_threshold))
+    rated = F.when((F.size("r1_exact") == 0) & best.isNotNull(), text_of("best similarity: ", F.format_number(best, 2), " (", name, F.lit(f") against {c.title_match_threshold:.2f}")))
+    evidence = F.array_compact(F.array(text_of("file name: ", F.col("r1_name")), *[text_of(f"{n}: ", F.col(f"r1_v{i}")) for i, n in enumerate(values)], rated))
+    message = (
+        F.when(~named, "There is no file name to compare with.").when(best.isNull(), "The document gives no title.").when(F.size("r1_exact") > 0, text_of("The file name is the document's ", F.array_join("r1_exact", ", "), "."))
+        .otherwise(text_of("Best similarity of title and file name: ", F.format_number(best, 2), " (", name, ")"))
+    )
+    return d, Verdict(passed, message, evidence, F.array_compact(F.array(h1["location"], table_name(F.col("r1_row.t")))))
+
+
+@rule(2, "Author name and role", "error", "pt")
+def author(d: DataFrame, c: Config) -> tuple[DataFrame, Verdict]:
+    row = lambda place, value, counts: F.struct(place.alias("place"), value.alias("value"), yes(counts).alias("counts"))
+    core = F.array(*[row(F.lit(n), F.coalesce(v, F.lit("")), ~is_default(F.col(v), c)) for n, v in (("author property", "author"), ("last modified by", "modified_by"))])
+    top = F.filter("ps", lambda p: p["flow_pos"] < 25)
+    name = lambda p: F.trim(F.regexp_extract(p["text"], AUTHOR_LINE, 1))
+    lines = F.transform(top, lambda p: row(p["place"], name(p), name(p) != ""))
+    label = F.transform(labelled(AUTHOR_LABEL), lambda x: row(table_name(x["t"]), x["value"], ~is_default(x["value"], c)))
+    good = lambda v: (X.person_name(v) != "") & ~is_default(X.person_name(v), c)
+    approver = F.transform(labelled(APPROVER_LABEL), lambda x: row(table_name(x["t"]), X.person_name(x["value"]), good(x["value"])))
+    after = F.array_min(F.transform(F.filter("ps", lambda p: F.trim(p["text"]).rlike(APPROVER_SECTION)), lambda p: p["block_index"]))
+    d = d.withColumn("r2_after", after)
+    signing = F.filter("ts", lambda t: t["joined"].rlike(APPROVER_HEADER) | yes(F.col("r2_after") < t["block_index"]))
+    people = lambda t: F.flatten(F.transform(F.filter(t["rows"], lambda r: r["row"] > 0), lambda r: F.transform(F.filter(r["xs"], lambda x: F.array_contains(t["person_cols"], x["col"])), lambda x: row(table_name(t["table_index"]), X.person_name(F.trim(x["text"])), good(F.trim(x["text"])) & ~X.person_name(F.trim(x["text"])).rlike(APPROVER_LABEL)))))
+    beneath = F.flatten(F.transform(signing, people))
+    past = F.coalesce(F.transform(under(F.col("past"), "author_col"), lambda x: row(table_name(F.col("past.table_index")), X.person_name(x["value"]), good(x["value"]))), F.array())
+    every = F.filter(F.concat(core, lines, label, approver, beneath, past), lambda x: x["value"] != "")
+    role = F.exists(top, lambda p: p["text"].rlike(ROLE)) | (F.size(labelled(ROLE_LABEL)) > 0) | (F.size(labelled(APPROVER_LABEL)) > 0) | F.exists(signing, lambda t: F.size(t["person_cols"]) > 0)
+    d = d.withColumns({"r2_named": every, "r2_role": role})
+    d = d.withColumn("r2_ok", F.exists("r2_named", lambda x: x["counts"]))
+    message = F.when(~F.col("r2_ok"), "Nobody is named as author.").when(F.col("r2_role"), "An author is named.").otherwise("An author is named, without a role.")
+    seen = F.array_distinct(F.transform("r2_named", lambda x: text_of(x["place"], ": ", x["value"], F.when(x["counts"], "").otherwise(" (nobody's name)"))))
+    return d, Verdict(F.col("r2_ok"), message, seen, F.array_distinct(F.transform(F.filter("r2_named", lambda x: x["counts"]), lambda x: x["place"])))
+
+
+@rule(3, "Revision dates", "error", "pt")
+def revision_dates(d: DataFrame, c: Config) -> tuple[DataFrame, Verdict]:
     # a revision table has a column of dates by its definition
-    rows = cells_under(m, m.revision_table(), "date_col").filter("value <> ''").withColumn("day", D.parse_date("value"))
-    ordered_rows = structure.out_of_order(rows, ["doc_id"], "row", "day").select("doc_id", "row", "earlier")
+    rows = F.filter(F.arrays_zip(under(F.col("past"), "date_col").alias("x"), F.col("past.days").alias("day")), lambda z: z["x"]["value"] != "")
+    d = d.withColumn("r3_rows", rows)
+    d = d.withColumn("r3_days", F.array_compact(F.transform("r3_rows", lambda z: z["day"])))
     limit = (F.lit(c.now) if c.now else F.current_timestamp()).cast("timestamp") + F.make_interval(days=F.lit(c.future_grace_days))
-    rows = rows.join(ordered_rows, ["doc_id", "row"], "left")
-    problem = F.when(F.col("day").isNull(), text_of("not a date: ", F.col("value"))).when(F.col("day") > limit, text_of("in the future: ", F.col("value"))).when(F.col("earlier"), text_of("out of order: ", F.col("value")))
-    rows = rows.withColumn("problem", problem)
-    found = rows.groupBy("doc_id").agg(F.count("problem").alias("bad"), ordered(F.coalesce("problem", F.col("value")), F.col("row")).alias("seen"), F.array(table_name(F.min("table_index"))).alias("at"))
-    message = F.when(F.col("bad").isNull(), "No revision dates are recorded.").when(F.col("bad") > 0, text_of(F.col("bad").cast("string"), " revision dates have problems.")).otherwise("Revision dates are in order.")
-    return verdict(m, found, yes(F.col("bad") == 0), message, F.col("seen"), F.col("at"), "certain")
+
+    def step(seen: Column, z: Column) -> Column:
+        value, day = z["x"]["value"], z["day"]
+        problem = F.when(day.isNull(), text_of("not a date: ", value)).when(day > limit, text_of("in the future: ", value)).when(day < seen["last"], text_of("out of order: ", value))
+        return F.struct(F.coalesce(day, seen["last"]).alias("last"), (seen["bad"] + problem.isNotNull().cast("int")).alias("bad"), F.concat(seen["out"], F.array(F.coalesce(problem, value))).alias("out"))
+
+    start = F.struct(F.lit(None).cast("timestamp").alias("last"), F.lit(0).alias("bad"), none().alias("out"))
+    d = d.withColumn("r3", F.when(F.size("r3_rows") > 0, F.aggregate("r3_rows", start, step)))
+    bad = F.col("r3.bad")
+    message = F.when(bad.isNull(), "No revision dates are recorded.").when(bad > 0, text_of(bad.cast("string"), " revision dates have problems.")).otherwise("Revision dates are in order.")
+    return d, Verdict(yes(bad == 0), message, F.col("r3.out"), F.when(bad.isNotNull(), F.array(in_table(F.col("past.table_index"), F.col("past.block_index")))), "certain")
 
 
 @rule(4, "Version number present", "warning")
-def version(m: Model, c: Config) -> DataFrame:
-    table = m.revision_table()
-    own = table.select("doc_id", F.col("table_index").alias("t"), F.lit(True).alias("past"))
-    body = m.paragraphs.select("doc_id", "t", F.col("location").alias("place"), F.explode(X.find_versions(F.col("text"))).alias("v"), F.col("block_index").alias("o")).join(own, ["doc_id", "t"], "left")
-    margin = m.footers.select("doc_id", F.col("location").alias("place"), F.explode(X.find_versions(F.col("text"))).alias("v"), (F.col("ord") + 1_000_000_000).alias("o"), F.lit(False).alias("past"))
-    rows = m.labelled(VERSION_LABEL).withColumnRenamed("table_index", "t").join(own, ["doc_id", "t"], "left").select("doc_id", table_name(F.col("t")).alias("place"), X.version_cell(F.col("value")).alias("v"), (F.col("t") + 1_100_000_000).alias("o"), "past")
-    past = cells_under(m, table, "version_col").select("doc_id", table_name(F.col("table_index")).alias("place"), X.version_cell(F.col("value")).alias("v"), (F.col("row") + 1_200_000_000).alias("o"), F.lit(True).alias("past"))
-    meta = m.docs.select("doc_id", F.lit("properties").alias("place"), F.explode(F.concat(X.find_versions(F.col("subject")), X.find_versions(F.col("keywords")))).alias("v"), F.lit(1_300_000_000).alias("o"), F.lit(False).alias("past"))
-    every = reduce(DataFrame.unionByName, [x.select("doc_id", "place", "v", "o", yes(F.col("past")).alias("past")) for x in (body, margin, rows, past, meta)]).filter("v is not null")
-    seen = ordered(text_of("Version ", F.col("v"), " — ", F.col("place"), F.when(F.col("past"), " (history)").otherwise("")), F.col("past"), F.col("o"))
-    found = every.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("past"), F.col("v"))).alias("stated"), F.max_by("v", F.when(F.col("past"), X.version_key(F.col("v")))).alias("last"), F.array_distinct(seen).alias("seen"), F.array_distinct(ordered(F.col("place"), F.col("past"), F.col("o"))).alias("at"))
-    named = X.find_versions(F.col("filename"))
-    absent = (F.size(named) > 0) & ~yes(F.arrays_overlap(named, "stated"))
-    listed = F.transform(F.array_sort(F.transform("stated", lambda v: F.struct(X.version_key(v).alias("k"), v.alias("v")))), lambda s: s["v"])
-    message = F.when(absent, text_of("The document doesn't state the file name's version ", F.get(named, F.lit(0)))).when(F.col("seen").isNull(), "No version is stated.").when(F.size("stated") > 0, text_of("Stated: ", F.array_join(listed, ", "))).otherwise(text_of("Only the history has a version: ", F.col("last")))
-    return verdict(m, found, ~absent & F.col("seen").isNotNull(), message, F.col("seen"), F.col("at"))
-
-
-@rule(5, "Revision history section", "error")
-def revision_section(m: Model, c: Config) -> DataFrame:
-    heads = m.revision_heading()
-    after = m.headings().select("doc_id", F.col("block_index").alias("b"), F.col("level").alias("l")).join(heads, "doc_id").filter("b > at and l <= level").groupBy("doc_id").agg(F.min("b").alias("until"))
-    tables = m.tables().join(heads, "doc_id", "left").join(after, "doc_id", "left")
-    beneath = F.col("at").isNotNull() & (F.col("block_index") > F.col("at")) & (F.col("until").isNull() | (F.col("block_index") < F.col("until")))
-    inside = tables.groupBy("doc_id").agg(yes(F.bool_or(beneath & F.col("populated"))).alias("beneath"), F.min(F.when(beneath & F.col("populated"), F.col("table_index"))).alias("t"))
-    plain = m.revision_table().filter("populated").select("doc_id", F.col("table_index").alias("other"))
-    found = m.docs.select("doc_id").join(heads, "doc_id", "left").join(inside, "doc_id", "left").join(plain, "doc_id", "left")
-    passed = F.when(F.col("at").isNotNull(), yes(F.col("beneath"))).otherwise(F.col("other").isNotNull())
-    message = F.when(passed, "The revision history has entries.").when(F.col("at").isNotNull(), "The revision heading has no filled table beneath it.").otherwise("There is no revision history.")
-    return verdict(m, found, passed, message, None, F.array_compact(F.array(table_name(F.coalesce("t", "other")))))
-
-
-def signature_lines(m: Model) -> DataFrame:
-    text = F.trim("text")
-    return m.paragraphs.filter(~yes(F.col("r") == 0) & F.col("level").isNull() & X.word_count(text).between(1, SIGNATURE_WORDS) & text.rlike(SIGNATURE_LINE))
-
-
-def signed(text: Column) -> Column:
-    """A text says more than a label and dates."""
+def version(d: DataFrame, c: Config) -> tuple[DataFrame, Verdict]:
+    past = F.col("past.table_index")
+    row = lambda place, v, history: F.struct(place.alias("place"), v.alias("v"), history.alias("past"))
+    body = F.flatten(F.transform("ps", lambda p: F.transform(X.find_versions(p["text"]), lambda v: row(p["place"], v, yes(p["t"] == past)))))
+    margin = F.flatten(F.transform("fs", lambda f: F.transform(X.find_versions(f["text"]), lambda v: row(f["location"], v, F.lit(False)))))
+    rows = F.transform(labelled(VERSION_LABEL), lambda x: row(table_name(x["t"]), X.version_cell(x["value"]), yes(x["t"] == past)))
+    history = F.coalesce(F.transform(under(F.col("past"), "version_col"), lambda x: row(table_name(past), X.version_cell(x["value"]), F.lit(True))), F.array())
+    meta = F.transform(F.concat(X.find_versions(F.col("subject")), X.find_versions(F.col("keywords"))), lambda v: row(F.lit("properties"), v, F.lit(False)))
+    d = d.withColumn("r4_all", F.filter(F.concat(body, margin, rows, history, meta), lambda x: x["v"].isNotNull()))
+    d = d.withColumns({
+        "r4_seen": F.concat(F.filter("r4_all", lambda x: ~x["past"]), F.filter("r4_all", lambda x: x["past"])), "r4_file": X.find_versions(F.coalesce(F.lit(c.filename), F.col("filename"))),
+        "r4_stated": F.array_distinct(F.transform(F.filter("r4_all", lambda x: ~x["past"]), lambda x: x["v"])),
+        "r4_last": F.array_max(F.transform(F.filter("r4_all", lambda x: x["past"]), lambda x: F.struct(X.version_key(x["v"]).alias("k"), x["v"].alias("v"))))["v"],
+    })
+    absent = (F.size("r4_file") > 0) & ~yes(F.arrays_overlap("r4_file", "r4_stated"))
+    listed = F.transform(F.array_sort(F.transform("r4_stated", lambda v: F.struct(X.version_key(v).alias("k"), v.alias("v")))), lambda s: s["v"])
+    message = F.when(absent, text_of("The document doesn't state the file name's version ", first(F.col("r4_file")))).when(F.size("r4_seen") == 0, "No version is stated.").when(F.size("r4_stated") > 0, text_of("Stated: ", F.array_join(listed, ", "))).otherwise(text_of("Only the history has a version: ", F.col("r4_last")))
+    seen = F.array_distinct(F.transform("r4_seen", lambda x: text_of("Version ", x["v"], " — ", x["place"], F.when(x["past"], " (history)").otherwise(""))))
+    return d, Verdict(~absent & (F.size("r4_seen") > 0), message, seen, F.array_distinct(F.transform("r4_seen", lambda x: x["place"])))
+
+
+@rule(5, "Revision history section", "error", "pt")
+def revision_section(d: DataFrame, c: Config) -> tuple[DataFrame, Verdict]:
+    at = F.col("history.at")
+    d = d.withColumn("r5_until", F.array_min(F.transform(F.filter("heads", lambda h: (h["block_index"] > at) & (h["level"] <= F.col("history.level"))), lambda h: h["block_index"])))
+    beneath = F.filter("ts", lambda t: (t["block_index"] > at) & (F.col("r5_until").isNull() | (t["block_index"] < F.col("r5_until"))) & t["populated"])
+    d = d.withColumns({"r5_in": F.array_min(F.transform(beneath, lambda t: t["table_index"])), "r5_other": F.when(F.col("past.populated"), F.col("past.table_index"))})
+    passed = F.when(at.isNotNull(), F.col("r5_in").isNotNull()).otherwise(F.col("r5_other").isNotNull())
+    message = F.when(passed, "The revision history has entries.").when(at.isNotNull(), "The revision heading has no filled table beneath it.").otherwise("There is no revision history.")
+    return d, Verdict(passed, message, None, F.array_compact(F.array(table_name(F.coalesce("r5_in", "r5_other")))))
+
+
+def signed(text: Column, dates: Column) -> Column:
+    """A text says more than a label and its ``dates``."""
     bare = F.regexp_replace(F.regexp_replace(text, SIGNED_BY, ""), r"(?i)^\s*signature\s*[:\-]?", "")
-    bare = F.aggregate(D.parseable(X.date_strings(text)), bare, lambda s, d: F.replace(s, d, F.lit("")))
+    bare = F.aggregate(F.coalesce(dates, none()), bare, lambda s, x: F.replace(s, x, F.lit("")))
     return F.regexp_replace(bare, r"[\s:;,.\-_]+", "") != ""
 
 
-def signature_rows(m: Model) -> DataFrame:
-    """doc_id, table_index, row, value: filled name cells of signature tables."""
-    return cells_under(m, m.tables().filter("signing"), "name_col").filter(signed(F.col("value")))
-
-
-@rule(6, "Signature blocks", "error")
-def signatures(m: Model, c: Config) -> DataFrame:
-    lines = signature_lines(m).filter(signed(F.col("text"))).select("doc_id", F.col("block_index").alias("o"), "location", X.snippet(F.col("text")).alias("s"))
-    rows = signature_rows(m).select("doc_id", (F.col("table_index") * 100_000 + F.col("row") + 1_000_000_000).cast("long").alias("o"), text_of(table_name(F.col("table_index")), ", row ", (F.col("row") + 1).cast("string")).alias("location"), "value")
-    every = lines.unionByName(rows.withColumnRenamed("value", "s"))
-    found = every.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), ordered(text_of(F.col("location"), ": ", F.col("s")), F.col("o")).alias("seen"), ordered(F.col("location"), F.col("o")).alias("at"))
-    message = F.when(F.col("n") > 0, text_of("Signature blocks: ", F.col("n").cast("string"))).otherwise("There is no signature block.")
-    return verdict(m, found, yes(F.col("n") > 0), message, F.col("seen"), F.col("at"))
-
-
-@rule(7, "Signature dates", "warning")
-def signature_dates(m: Model, c: Config) -> DataFrame:
-    wide = max(1, c.date_window)
-    first = F.get(D.parseable(X.date_strings(F.col("text"))), F.lit(0))
-    dates = lambda df, *keys: df.select(*keys, "text").filter(F.col("text").rlike(X.ANY_DATE)).select(*keys, first.alias("day")).filter("day is not null")  # noqa: E731  only texts that may hold a date go through the parser
-    skip = m.revision_table().select("doc_id", F.col("table_index").alias("t"), F.lit(True).alias("past"))
-    flow = m.flow().join(dates(m.paragraphs, "doc_id", "block_index"), ["doc_id", "block_index"], "left").join(skip, ["doc_id", "t"], "left")
-    near = F.collect_list(F.when(F.col("day").isNotNull() & F.col("past").isNull(), F.struct(F.col("flow_pos").alias("p"), "day"))).over(structure.in_order().rowsBetween(-wide, wide))
-    own = F.col("flow_pos")
-    flow = flow.withColumn("near", F.get(F.array_sort(F.transform(F.filter(near, lambda x: x["p"] != own), lambda x: F.struct(F.abs(x["p"] - own), x["p"], x["day"].alias("day")))), F.lit(0))["day"])
-    tables = m.tables().filter("signing").select("doc_id", F.col("table_index").alias("t"), F.lit(True).alias("signing"))
-    rows = signature_rows(m).select("doc_id", F.col("table_index").alias("t"), F.col("row").alias("r"))
-    anchors = flow.filter("t is not null and c = 0").join(rows, ["doc_id", "t", "r"], "left_semi")
-    anchors = anchors.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "t", "r").orderBy("block_index"))).filter("_k = 1").drop("_k")
-    anchors = anchors.withColumn("location", text_of(table_name(F.col("t")), ", row ", (F.col("r") + 1).cast("string")))
-    lines = signature_lines(m).select("doc_id", "block_index").join(flow, ["doc_id", "block_index"]).join(tables, ["doc_id", "t"], "left").filter("signing is null").drop("signing")
-    in_row = dates(m.cells, "doc_id", "table_index", "row", "col").groupBy("doc_id", F.col("table_index").alias("t"), F.col("row").alias("r")).agg(F.min_by("day", "col").alias("beside"))
-    every = lines.select(*(cols := ["doc_id", "block_index", "location", "day", "near", "t", "r"])).unionByName(anchors.select(*cols)).join(in_row, ["doc_id", "t", "r"], "left")
-    every = every.withColumn("date", F.coalesce("day", "beside", "near"))
-    found = every.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count("date").alias("dated"), ordered(text_of(F.col("location"), ": ", F.coalesce("date", F.lit("no date"))), F.col("block_index")).alias("seen"), ordered(F.when(F.col("date").isNull(), F.col("location")), F.col("block_index")).alias("bare"), ordered(F.col("location"), F.col("block_index")).alias("at"))
-    passed = yes(F.col("n") == F.col("dated"))
-    message = F.when(F.col("n").isNull(), "There is no signature block to be dated.").otherwise(text_of(F.col("dated").cast("string"), " of ", F.col("n").cast("string"), " signature blocks have a date near them."))
-    return verdict(m, found, passed, message, F.col("seen"), F.when(passed, F.col("at")).otherwise(F.col("bare")))
-
-
-@rule(8, "Formatting consistency", "warning")
-def formatting(m: Model, c: Config) -> DataFrame:
-    start = m.headings().groupBy("doc_id").agg(F.min("block_index").alias("start"))
-    plain = ~F.col("in_table") & ~F.col("from_textbox") & F.col("level").isNull() & ~F.col("is_list") & ~yes(F.lower("style").contains("caption")) & (X.word_count(F.col("text")) >= 3)
-    body = m.paragraphs.filter(plain).join(start, "doc_id", "left").filter("start is null or block_index >= start")
-    body = body.withColumns({"chars": F.length("text"), "align": F.coalesce("align", F.lit("LEFT"))} | {k: F.round(k, 2) for k in ("line", "before", "after")})
-    runs = body.select("doc_id", "block_index", F.posexplode("runs").alias("k", "run")).select("doc_id", "block_index", (F.col("block_index").cast("long") * 100_000 + F.col("k")).alias("o"), "run.*")
-    usual, own = m.docs.select("doc_id"), body
-    for name in ("name", "size"):
-        known = runs.filter(F.col(name).isNotNull())
-        usual = usual.join(structure.weighted_mode(known, ["doc_id"], name, "chars", "o").select("doc_id", F.col(name).alias(f"u_{name}")), "doc_id", "left")
-        own = own.join(structure.weighted_mode(known, ["doc_id", "block_index"], name, "chars", "o").select("doc_id", "block_index", name), ["doc_id", "block_index"], "left")
-    for name in ("line", "before", "after", "align"):
-        usual = usual.join(structure.weighted_mode(body, ["doc_id"], name, "chars", "block_index").select("doc_id", F.col(name).alias(f"u_{name}")), "doc_id", "left")
-    rows = own.join(usual, "doc_id")
-    odd = []
-    for name in ("name", "size", "line", "before", "after", "align"):
-        a, b = F.col(name), F.col(f"u_{name}")
-        far = (F.abs(a - b) > TOLERANCES[name]) if name in TOLERANCES else (a != b)
-        differs = ~a.eqNullSafe(b) & (a.isNull() | b.isNull() | far)
-        if name in ("name", "size"):
-            differs = differs & a.isNotNull() & b.isNotNull()
-        if name == "line":
-            differs = differs & b.isNotNull()
-        odd.append(F.when(differs, text_of(f"{name} ", F.coalesce(a.cast("string"), F.lit("inherited")), " for ", F.coalesce(b.cast("string"), F.lit("inherited")))))
-    rows = rows.withColumn("odd", F.concat_ws(", ", *odd))
-    bad = F.when(F.col("odd") != "", F.col("location"))
-    found = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count(bad).alias("bad"), ordered(F.when(bad.isNotNull(), text_of(F.col("location"), ": ", F.col("odd"))), F.col("block_index")).alias("seen"), ordered(bad, F.col("block_index")).alias("at"))
-    few = F.coalesce("n", F.lit(0)) < 3
-    message = F.when(few, "There is too little body text to compare.").otherwise(text_of(F.col("bad").cast("string"), " of ", F.col("n").cast("string"), " paragraphs differ from the usual style."))
-    return verdict(m, found, ~few & (F.col("bad") == 0), message, F.col("seen"), F.col("at"))
-
-
-@rule(9, "Language", "warning")
-def language(m: Model, c: Config) -> DataFrame:
+def signature_rows() -> Column:
+    """t, row, value of filled name cells of signature tables, in order."""
+    cells = lambda t: F.arrays_zip(under(t, "name_col").alias("x"), t["name_dates"].alias("dates"))
+    full = lambda t: F.filter(cells(t), lambda z: signed(z["x"]["value"], z["dates"]))
+    return F.flatten(F.transform(F.filter("ts", lambda t: t["signing"]), lambda t: F.transform(full(t), lambda z: F.struct(t["table_index"].alias("t"), z["x"]["row"].alias("row"), z["x"]["value"].alias("value")))))
+
+
+def row_name(t: Column, r: Column) -> Column:
+    return text_of(table_name(t), ", row ", (r + 1).cast("string"))
+
+
+@rule(6, "Signature blocks", "error", "pt")
+def signatures(d: DataFrame, c: Config) -> tuple[DataFrame, Verdict]:
+    lines = F.transform(F.filter("ps", lambda p: p["signature"] & signed(p["text"], p["dates"])), lambda p: F.struct(p["location"].alias("at"), describe(p).alias("s")))
+    rows = F.transform(signature_rows(), lambda x: F.struct(row_name(x["t"], x["row"]).alias("at"), text_of(row_name(x["t"], x["row"]), ": ", x["value"]).alias("s")))
+    d = d.withColumn("r6", F.concat(lines, rows))
+    n = F.size("r6")
+    message = F.when(n > 0, text_of("Signature blocks: ", n.cast("string"))).otherwise("There is no signature block.")
+    return d, Verdict(n > 0, message, F.transform("r6", lambda x: x["s"]), F.transform("r6", lambda x: x["at"]))
+
+
+@rule(7, "Signature dates", "warning", "pt")
+def signature_dates(d: DataFrame, c: Config) -> tuple[DataFrame, Verdict]:
+    past = F.col("past.table_index")
+    d = d.withColumns({"r7_rows": F.transform(signature_rows(), lambda x: F.struct(x["t"].alias("t"), x["row"].alias("r"))), "r7_signing": F.transform(F.filter("ts", lambda t: t["signing"]), lambda t: t["table_index"])})
+    d = d.withColumn("r7_days", F.flatten(F.transform("ts", lambda t: F.filter(F.transform(F.arrays_zip(t["rows"].alias("row"), t["row_dates"].alias("dates")), lambda z: F.struct(t["table_index"].alias("t"), z["row"]["row"].alias("r"), first(z["dates"]).alias("day"))), lambda x: x["day"].isNotNull()))))
+    beside = lambda p: first(F.filter("r7_days", lambda x: (x["t"] == p["t"]) & (x["r"] == p["r"])))["day"]
+
+    def near(p: Column) -> Column:
+        others = F.filter(p["near"], lambda x: (x["pos"] != p["flow_pos"]) & ~yes(x["t"] == past))
+        return F.array_min(F.transform(others, lambda x: F.struct(F.abs(x["pos"] - p["flow_pos"]).alias("far"), x["pos"].alias("pos"), x["day"].alias("day"))))["day"]
+
+    block = lambda p, at, text: F.struct(p["block_index"].alias("b"), at.alias("at"), text.alias("text"), F.coalesce(first(p["dates"]), F.when(p["t"].isNotNull(), beside(p)), near(p)).alias("day"))
+    lines = F.transform(F.filter("ps", lambda p: p["signature"] & ~yes(F.array_contains("r7_signing", p["t"]))), lambda p: block(p, p["location"], F.concat_ws(" — ", p["place"], X.snippet(p["text"]))))
+    anchors = F.filter("ps", lambda p: yes(p["c"] == 0) & F.exists("r7_rows", lambda x: (x["t"] == p["t"]) & (x["r"] == p["r"])))
+    # of a cell's paragraphs the first
+    once = F.aggregate(anchors, F.array().cast(anchors_type(d)), lambda out, p: F.when(yes((F.try_element_at(out, F.lit(-1))["t"] == p["t"]) & (F.try_element_at(out, F.lit(-1))["r"] == p["r"])), out).otherwise(F.concat(out, F.array(p))))
+    rows = F.transform(once, lambda p: block(p, row_name(p["t"], p["r"]), row_name(p["t"], p["r"])))
+    d = d.withColumn("r7", F.array_sort(F.concat(lines, rows)))
+    d = d.withColumns({"r7_n": F.size("r7"), "r7_dated": F.size(F.filter("r7", lambda x: x["day"].isNotNull()))})
+    n, dated = F.col("r7_n"), F.col("r7_dated")
+    message = F.when(n == 0, "There is no signature block to be dated.").otherwise(text_of(dated.cast("string"), " of ", n.cast("string"), " signature blocks have a date near them."))
+    seen = F.transform("r7", lambda x: text_of(x["text"], " — ", F.coalesce(text_of("date ", x["day"]), F.lit("no date"))))
+    at = F.transform(F.when(n == dated, F.col("r7")).otherwise(F.filter("r7", lambda x: x["day"].isNull())), lambda x: x["at"])
+    return d, Verdict((n > 0) & (n == dated), message, seen, at)
+
+
+def anchors_type(d: DataFrame):
+    return d.schema["ps"].dataType
+
+
+def mode(items: Column) -> Column:
+    """Of structs (v, w, o) the v with the largest sum of w, of equal ones the first by o; null is a value."""
+    sums = F.transform(F.array_distinct(F.transform(items, lambda x: x["v"])), lambda v: F.struct(
+        F.aggregate(F.filter(items, lambda x: x["v"].eqNullSafe(v)), F.lit(0).cast("long"), lambda s, x: s + x["w"]).alias("w"), (-F.array_min(F.transform(F.filter(items, lambda x: x["v"].eqNullSafe(v)), lambda x: x["o"]))).alias("o"), v.alias("v")))
+    return F.array_max(sums)["v"]
+
+
+def bare_number(x: Column) -> Column:
+    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+
+
+def points(x: Column) -> Column:
+    return F.coalesce(text_of(bare_number(x), "pt"), F.lit("inherited"))
+
+
+def aligned(x: Column) -> Column:
+    return F.coalesce(*[F.when(x == k, F.lit(v)) for k, v in ALIGNMENT.items()], F.lower(x))
+
+
+@rule(8, "Formatting consistency", "warning", "p")
+def formatting(d: DataFrame, c: Config) -> tuple[DataFrame, Verdict]:
+    start = first(F.col("heads"))["block_index"]
+    plain = lambda p: ~p["in_table"] & ~p["from_textbox"] & p["level"].isNull() & ~p["is_list"] & ~yes(F.lower(p["style"]).contains("caption")) & (p["words"] >= 3) & (start.isNull() | (p["block_index"] >= start))
+    known = lambda p, name: F.filter(F.transform(p["runs"], lambda r, k: F.struct(r[name].alias("v"), r["chars"].cast("long").alias("w"), (p["block_index"].cast("long") * 100_000 + k).alias("o"))), lambda x: x["v"].isNotNull())
+    fields = lambda p: F.struct(
+        p["block_index"].alias("b"), p["location"].alias("at"), describe(p).alias("s"), F.length(p["text"]).cast("long").alias("chars"), known(p, "name").alias("names"), known(p, "size").alias("sizes"),
+        *[F.round(p[k], 2).alias(k) for k in ("line", "before", "after")], F.coalesce(p["align"], F.lit("LEFT")).alias("align"),
+    )
+    d = d.withColumn("r8_body", F.transform(F.filter("ps", plain), fields))
+    of_runs = lambda k: F.flatten(F.transform("r8_body", lambda p: p[f"{k}s"]))
+    of_paragraphs = lambda k: F.transform("r8_body", lambda p: F.struct(p[k].alias("v"), p["chars"].alias("w"), p["b"].cast("long").alias("o")))
+    usual = {k: of_runs(k) for k in ("name", "size")} | {k: of_paragraphs(k) for k in ("line", "before", "after", "align")}
+    d = d.withColumns({f"r8_i_{k}": v for k, v in usual.items()})
+    d = d.withColumns({f"r8_{k}": mode(F.col(f"r8_i_{k}")) for k in usual})
+    words = {"name": ("font", lambda x: x), "size": ("size", points), "line": ("line spacing", lambda x: F.coalesce(bare_number(x), F.lit("inherited"))), "before": ("space before", points), "after": ("space after", points), "align": ("alignment", aligned)}
+
+    def odd(p: Column) -> Column:
+        out = []
+        for k, (word, show) in words.items():
+            a, b = mode(p[f"{k}s"]) if k in ("name", "size") else p[k], F.col(f"r8_{k}")
+            far = (F.abs(a - b) > TOLERANCES[k]) if k in TOLERANCES else (a != b)
+            differs = ~a.eqNullSafe(b) & (a.isNull() | b.isNull() | far)
+            if k in ("name", "size"):
+                differs = differs & a.isNotNull() & b.isNotNull()
+            if k == "line":
+                differs = differs & b.isNotNull()
+            out.append(F.when(differs, text_of(f"{word} ", show(a), " instead of ", show(b))))
+        return F.concat_ws("; ", *out)
+
+    d = d.withColumn("r8_odd", F.filter(F.transform("r8_body", lambda p: F.struct(p["at"].alias("at"), p["s"].alias("s"), odd(p).alias("odd"))), lambda x: x["odd"] != ""))
+    n, bad = F.size("r8_body"), F.size("r8_odd")
+    few = n < 3
+    base = F.concat_ws(", ", F.coalesce("r8_name", F.lit("unnamed font")), points(F.col("r8_size")), text_of("line spacing ", words["line"][1](F.col("r8_line"))), text_of("space before ", points(F.col("r8_before"))), text_of("space after ", points(F.col("r8_after"))), aligned(F.col("r8_align")))
+    header = F.array(text_of("The usual style: ", base, "."), text_of("Compared: ", n.cast("string"), " paragraphs outside headings, lists, captions, text boxes, tables and what stands before the first heading."))
+    message = F.when(few, "There is too little body text to compare.").otherwise(text_of(bad.cast("string"), " of ", n.cast("string"), " paragraphs differ from the usual style."))
+    evidence = F.when(~few, F.concat(header, F.transform("r8_odd", lambda x: text_of(x["s"], " — ", x["odd"]))))
+    return d, Verdict(~few & (bad == 0), message, evidence, F.when(~few, F.transform("r8_odd", lambda x: x["at"])))
+
+
+@rule(9, "Language", "warning", "p")
+def language(d: DataFrame, c: Config) -> tuple[DataFrame, Verdict]:
     """``checker``: Column of texts in, array<struct<message, offset, length, rule_id, matched, replacements>> out."""
     if c.checker is None:
-        return verdict(m, m.docs.select("doc_id"), F.lit(None), F.lit("No language checker is set."))
-    rows = m.paragraphs.filter(~F.col("in_table") & F.col("level").isNull() & (X.word_count(F.col("text")) >= c.min_words_for_language))
+        return d, Verdict(F.lit(None), F.lit("No language checker is set."))
     terms = [t.lower() for t in (*IGNORED_TERMS, *c.ignore_words) if t.strip()]
     fine = lambda i: ~i["rule_id"].isin(*DISABLED) & ~i["matched"].rlike(IDENTIFIER) & ~i["message"].rlike(SPELLING_VARIANT) & ~reduce(lambda a, b: a | b, [F.lower(i["matched"]).contains(t) for t in terms])
-    rows = rows.withColumn("issues", F.transform(F.filter(c.checker(F.col("text")), lambda i: yes(fine(i))), lambda i: text_of(F.col("location"), ": ", i["message"], F.when(F.size(i["replacements"]) > 0, text_of(" (", F.array_join(F.slice(i["replacements"], 1, REPLACEMENTS), ", "), ")")).otherwise(""))))
-    found = rows.groupBy("doc_id").agg(F.flatten(ordered(F.col("issues"), F.col("block_index"))).alias("all"), ordered(F.when(F.size("issues") > 0, F.col("location")), F.col("block_index")).alias("at"))
-    message = F.when(F.col("all").isNull(), "No paragraph is long enough to check.").otherwise(text_of("Language issues: ", F.least(F.size("all"), F.lit(ISSUES)).cast("string")))
-    return verdict(m, found, yes(F.size("all") == 0), message, F.slice("all", 1, ISSUES), F.col("at"))
-
-
-@rule(10, "Required sections", "error")
-def sections(m: Model, c: Config) -> DataFrame:
-    heads = m.headings().withColumn("key", X.normalize_key(X.strip_leading_number(F.col("text"))))
-    found = heads.groupBy("doc_id").agg(ordered(F.struct("key", "location"), F.col("block_index")).alias("h"), ordered(F.col("text"), F.col("block_index")).alias("seen"))
+    known = F.filter("ps", lambda p: ~p["in_table"] & p["level"].isNull() & (p["words"] >= c.min_words_for_language))
+    issue = lambda p, i: text_of(p["place"], ": ", i["message"], F.when(F.size(i["replacements"]) > 0, text_of(" (", F.array_join(F.slice(i["replacements"], 1, REPLACEMENTS), ", "), ")")).otherwise(""))
+    lines = F.transform(known, lambda p: F.struct(p["location"].alias("at"), p["issues"].isNull().alias("broken"), F.transform(F.filter(p["issues"], lambda i: yes(fine(i))), lambda i: issue(p, i)).alias("s")))
+    d = d.withColumn("r9_lines", lines)
+    d = d.withColumn("r9_all", F.flatten(F.transform("r9_lines", lambda x: F.coalesce(x["s"], none()))))
+    broken, short = F.exists("r9_lines", lambda x: x["broken"]), F.size("r9_lines") == 0
+    message = F.when(broken, "The checker failed.").when(short, "No paragraph is long enough to check.").otherwise(text_of("Language issues: ", F.least(F.size("r9_all"), F.lit(ISSUES)).cast("string")))
+    at = F.transform(F.filter("r9_lines", lambda x: F.size(x["s"]) > 0), lambda x: x["at"])
+    return d, Verdict(F.when(~broken, ~short & (F.size("r9_all") == 0)), message, F.slice("r9_all", 1, ISSUES), at)
+
+
+@rule(10, "Required sections", "error", "p")
+def sections(d: DataFrame, c: Config) -> tuple[DataFrame, Verdict]:
+    d = d.withColumn("r10", F.transform("heads", lambda h: F.struct(X.normalize_key(X.strip_leading_number(h["text"])).alias("key"), h["location"].alias("at"), h["text"].alias("text"))))
     required = [r for r in c.required_sections if r.strip()]
-    hs = F.coalesce("h", F.array().cast("array<struct<key:string,location:string>>"))
+    seen = F.transform("r10", lambda h: h["text"])
     if not required:
-        return verdict(m, found, F.col("h").isNotNull(), text_of("Sections: ", F.size(hs).cast("string")), F.col("seen"), F.transform("h", lambda x: x["location"]))
+        return d, Verdict(F.size("r10") > 0, text_of("Sections: ", F.size("r10").cast("string")), seen, F.transform("r10", lambda h: h["at"]))
 
     def place(name: str) -> Column:
         key = X.normalize_key(F.lit(name))
-        exact, starts = F.filter(hs, lambda x: x["key"] == key), F.filter(hs, lambda x: x["key"].startswith(key))
-        return F.coalesce(F.try_element_at(exact, F.lit(-1)), F.get(starts, F.lit(0)))["location"]
+        return F.coalesce(F.try_element_at(F.filter("r10", lambda h: h["key"] == key), F.lit(-1)), first(F.filter("r10", lambda h: h["key"].startswith(key))))["at"]
 
-    places = [place(name) for name in required]
+    d = d.withColumns({f"r10_{i}": place(name) for i, name in enumerate(required)})
+    places = [F.col(f"r10_{i}") for i in range(len(required))]
     missing = F.array_compact(F.array(*[F.when(p.isNull(), F.lit(n)) for n, p in zip(required, places, strict=True)]))
     message = F.when(F.size(missing) > 0, text_of("Missing sections: ", F.array_join(missing, ", "))).otherwise("All required sections are there.")
-    return verdict(m, found, F.size(missing) == 0, message, F.col("seen"), F.array_compact(F.array(*places)))
+    return d, Verdict(F.size(missing) == 0, message, seen, F.array_compact(F.array(*places)))
+
+
+def footers() -> Column:
+    return F.filter("fs", lambda f: f["kind"] == "footer")
 
 
-def page_field() -> Column:
-    return yes(F.array_contains("fields", "PAGE"))
+def page_field(f: Column) -> Column:
+    return yes(F.array_contains(f["fields"], "PAGE"))
 
 
-def hardcoded() -> Column:
-    return ~page_field() & (F.col("text").rlike(PAGE_TEXT) | F.col("text").rlike(BARE_NUMBER))
+def hardcoded(f: Column) -> Column:
+    return ~page_field(f) & (f["text"].rlike(PAGE_TEXT) | f["text"].rlike(BARE_NUMBER))
 
 
-@rule(11, "Page numbers", "warning")
-def page_numbers(m: Model, c: Config) -> DataFrame:
-    rows = m.footers.filter("kind = 'footer'")
-    found = rows.groupBy("doc_id").agg(F.bool_or(page_field()).alias("page"), F.bool_or(hardcoded()).alias("typed"), ordered(F.when(hardcoded(), F.col("location")), F.col("ord")).alias("bad"), ordered(F.when(page_field(), F.col("location")), F.col("ord")).alias("at"))
-    message = F.when(F.col("page").isNull(), "There are no footers.").when(F.col("typed"), "A page number is typed in.").when(F.col("page"), "Footers number the pages; rendered numbers aren't checked.").otherwise("No footer has a page field.")
-    return verdict(m, found, yes(F.col("page") & ~F.col("typed")), message, None, F.when(F.col("typed"), F.col("bad")).otherwise(F.col("at")))
+@rule(11, "Page numbers", "warning", "f")
+def page_numbers(d: DataFrame, c: Config) -> tuple[DataFrame, Verdict]:
+    d = d.withColumn("r11", footers())
+    typed, page = F.exists("r11", hardcoded), F.exists("r11", page_field)
+    message = F.when(F.size("r11") == 0, "There are no footers.").when(typed, "A page number is typed in.").when(page, "Footers number the pages; rendered numbers aren't checked.").otherwise("No footer has a page field.")
+    place = lambda kind: F.transform(F.filter("r11", kind), lambda f: f["location"])
+    seen = F.transform("r11", lambda f: text_of(f["location"], ": ", F.when(page_field(f), "page field").when(hardcoded(f), text_of("typed number in ", X.snippet(f["text"]))).otherwise("no page number")))
+    return d, Verdict(yes(page) & ~yes(typed), message, seen, F.when(typed, place(hardcoded)).otherwise(place(page_field)))
 
 
-@rule(12, "Readability", "warning")
-def readability(m: Model, c: Config) -> DataFrame:
-    rows = m.paragraphs.filter(~F.col("in_table") & F.col("level").isNull() & (X.word_count(F.col("text")) >= 3))
-    rows = rows.withColumn("w", F.transform(R.words(F.col("text")), R.syllables))
-    found = rows.groupBy("doc_id").agg(F.sum(F.size("w")).alias("n"), F.sum(R.sentences(F.col("text"))).alias("s"), F.sum(F.aggregate("w", F.lit(0).cast("long"), lambda a, b: a + b)).alias("y"), F.sum(F.size(F.filter("w", lambda k: k >= 3))).alias("hard"))
-    enough = F.coalesce("n", F.lit(0)) >= c.readability_min_words
-    flesch, fog = R.flesch(F.col("n"), F.col("s"), F.col("y")), R.fog(F.col("n"), F.col("s"), F.col("hard"))
-    message = F.when(~enough, "There is too little text to be rated.").otherwise(text_of("Flesch ", F.format_number(flesch, 1), ", fog ", F.format_number(fog, 1)))
-    return verdict(m, found, enough & (F.round(flesch, 1) >= c.flesch_min) & (F.round(fog, 1) <= c.fog_max), message)
+@rule(12, "Readability", "warning", "p")
+def readability(d: DataFrame, c: Config) -> tuple[DataFrame, Verdict]:
+    body = F.filter("ps", lambda p: ~p["in_table"] & p["level"].isNull() & (p["words"] >= 3))
+    d = d.withColumn("r12", F.transform(body, lambda p: F.struct(R.sentences(p["text"]).cast("long").alias("s"), F.transform(R.words(p["text"]), R.syllables).alias("w"))))
+    total = lambda f: F.aggregate("r12", F.lit(0).cast("long"), lambda a, x: a + f(x).cast("long"))
+    d = d.withColumns({"r12_n": total(lambda x: F.size(x["w"])), "r12_s": total(lambda x: x["s"]), "r12_y": total(lambda x: F.aggregate(x["w"], F.lit(0).cast("long"), lambda a, b: a + b)), "r12_hard": total(lambda x: F.size(F.filter(x["w"], lambda k: k >= 3)))})
+    enough = F.col("r12_n") >= c.readability_min_words
+    rated = {"r12_flesch": R.flesch(F.col("r12_n"), F.col("r12_s"), F.col("r12_y")), "r12_fog": R.fog(F.col("r12_n"), F.col("r12_s"), F.col("r12_hard"))}
+    d = d.withColumns({k: F.when(enough, v) for k, v in rated.items()})
+    message = F.when(~enough, "There is too little text to be rated.").otherwise(text_of("Flesch ", F.format_number("r12_flesch", 1), ", fog ", F.format_number("r12_fog", 1)))
+    seen = F.array(text_of(F.col("r12_n").cast("string"), " words in ", F.col("r12_s").cast("string"), " sentences"))
+    return d, Verdict(yes(enough & (F.round("r12_flesch", 1) >= c.flesch_min) & (F.round("r12_fog", 1) <= c.fog_max)), message, seen)
 
 
-@rule(13, "Footer details", "warning")
-def footer_details(m: Model, c: Config) -> DataFrame:
-    rows = m.footers.filter("kind = 'footer'")
-    number = F.nullif(F.regexp_extract("text", c.doc_id_pattern, 0), F.lit(""))
-    mark = F.coalesce(*[F.when(F.lower("text").contains(t.lower()), F.lit(t.lower())) for t in c.confidentiality_terms], F.lit(None).cast("string"))
-    page = F.when(page_field(), F.lit("page field")).when(hardcoded(), F.lit("typed number"))
+@rule(13, "Footer details", "warning", "f")
+def footer_details(d: DataFrame, c: Config) -> tuple[DataFrame, Verdict]:
+    number = lambda f: F.nullif(F.regexp_extract(f["text"], c.doc_id_pattern, 0), F.lit(""))
+    mark = lambda f: F.coalesce(*[F.when(F.lower(f["text"]).contains(t.lower()), F.lit(t.lower())) for t in c.confidentiality_terms], F.lit(None).cast("string"))
+    page = lambda f: F.when(page_field(f), F.lit("page field")).when(hardcoded(f), F.lit("typed number"))
+    d = d.withColumn("r13", footers())
     parts = {"id": number, "mark": mark, "page": page}
-    found = rows.groupBy("doc_id").agg(*[F.min(F.when(v.isNotNull(), F.struct("ord", v.alias("v"), "location"))).alias(k) for k, v in parts.items()], ordered(text_of(F.col("location"), ": ", F.trim("text")), F.col("ord")).alias("seen"), F.sort_array(F.collect_set("location")).alias("every"))
-    have = [F.col(k).isNotNull() for k in parts]
+    found = lambda v: first(F.filter(F.transform("r13", lambda f: F.struct(v(f).alias("v"), f["location"].alias("at"))), lambda x: x["v"].isNotNull()))
+    d = d.withColumns({f"r13_{k}": found(v) for k, v in parts.items()})
+    have = [F.col(f"r13_{k}").isNotNull() for k in parts]
     passed = reduce((lambda a, b: a & b) if c.footer_require_all else (lambda a, b: a | b), have)
-    listed = F.concat_ws("; ", *[F.col(f"{k}.v") for k in parts])
-    at = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.col(f"{k}.location") for k in parts]))))
-    message = F.when(F.col("seen").isNull(), "There are no footers.").when(listed == "", "Footers have none of the details.").otherwise(text_of("Footers have: ", listed))
-    return verdict(m, found, yes(passed), message, F.col("seen"), F.when(F.size(at) > 0, at).otherwise(F.col("every")))
+    listed = F.concat_ws("; ", *[F.col(f"r13_{k}.v") for k in parts])
+    at = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.col(f"r13_{k}.at") for k in parts]))))
+    every = F.array_sort(F.array_distinct(F.transform("r13", lambda f: f["location"])))
+    message = F.when(F.size("r13") == 0, "There are no footers.").when(listed == "", "Footers have none of the details.").otherwise(text_of("Footers have: ", listed))
+    return d, Verdict(passed, message, F.transform("r13", lambda f: text_of(f["location"], ": ", F.trim(f["text"]))), F.when(F.size(at) > 0, at).otherwise(every))

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import dataclass, fields, replace
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.operators import structure
-from quillspark.sources.staging import Staged
 
 # Names that are nobody's, marking terms, label and header patterns.
 DEFAULT_AUTHORS = (
@@ -28,18 +27,20 @@ APPROVER_HEADER = r"(?i)\b(?:approv(?:er|ed|al)|authorized|authorised)\b"
 PERSON_HEADER = r"(?i)\b(?:name|author|approver|approved\s+by|person|employee)\b"
 VERSION_LABEL = r"(?i)^(?:version|revision|rev)\.?(?:\s*(?:no|number|#))?\.?$"
 NAME_HEADER = r"(?i)\bname\b"
+SIGNATURE_LINE = r"(?i)^\s*(?:prepared|reviewed|approved|authori[sz]ed|checked|issued|verified|released)\s+by\b|^\s*signature\b|^\s*sign(?:ed)?\s*&?\s*date\b"
+SIGNATURE_WORDS = 8
 SIGNING_HEADER = r"(?i)\b(?:signature|designation|title|role|date)\b"
 
 PARAGRAPHS = (
     "block_index int, text string, location string, level int, in_table boolean, from_textbox boolean, is_list boolean, style string, t int, r int, c int, "
-    "line double, before double, after double, align string, runs array<struct<name string, size double, bold boolean, chars int>>"
+    "line double, before double, after double, align string, runs array<struct<name string, size double, bold boolean, chars int, bare int>>"
 )
 FOOTERS = "ord int, kind string, which string, location string, text string, fields array<string>"
 
 
 @dataclass(frozen=True)
 class Config:
-    """Thresholds and lists; ``now`` is the clock for future dates (null: the session's)."""
+    """Thresholds and lists; ``now`` is the clock for future dates (null: the session's), ``filename`` the name that titles are held against (null: each document's own)."""
 
     default_authors: tuple[str, ...] = DEFAULT_AUTHORS
     required_sections: tuple[str, ...] = ()
@@ -56,6 +57,7 @@ class Config:
     future_grace_days: int = 1
     footer_require_all: bool = False
     now: datetime | None = None
+    filename: str | None = None
 
     @classmethod
     def from_form(cls, given: dict[str, str] | None) -> Config:
@@ -65,7 +67,7 @@ class Config:
             if k not in known or not v.strip():
                 continue
             kind = type(known[k])
-            out[k] = tuple(x.strip() for x in v.split(",") if x.strip()) if kind is tuple else v.strip().lower() in ("true", "on", "1", "yes") if kind is bool else kind(v)
+            out[k] = tuple(x.strip() for x in v.split(",") if x.strip()) if kind is tuple else v.strip().lower() in ("true", "on", "1", "yes") if kind is bool else v.strip() if kind is type(None) else kind(v)
         return replace(cls(), **out)
 
     @classmethod
@@ -84,71 +86,18 @@ class Model:
     paragraphs: DataFrame
     cells: DataFrame
     footers: DataFrame
-    shared: dict[str, DataFrame] = field(default_factory=dict)
-
-    def staged(self, at: Staged) -> Model:
-        """The same model, with its tables and what rules share of them written out once."""
-        m = Model(*(at.put(df, name) for df, name in ((self.docs, "docs"), (self.paragraphs, "paragraphs"), (self.cells, "cells"), (self.footers, "footers"))))
-        m.shared["tables"] = at.put(m.tables(), "tables")
-        m.shared["revision_heading"] = at.put(m.revision_heading(), "revision_heading")
-        m.shared["revision_table"] = at.put(m.revision_table(), "revision_table")
-        m.shared["flow"] = at.put(m.flow(), "flow")
-        return m
 
     def flow(self) -> DataFrame:
         """Paragraphs with flow_pos."""
-        return self.shared["flow"] if "flow" in self.shared else structure.flow_positions(self.paragraphs)
+        return structure.flow_positions(self.paragraphs)
 
     def headings(self) -> DataFrame:
         return self.paragraphs.filter("level is not null and not in_table").filter(X.squeeze(F.col("text")) != "")
 
-    def labelled(self, pattern: str) -> DataFrame:
-        """doc_id, table_index, row, value: rows whose first cell is a short label that matches, with the second cell."""
-        pair = self.cells.filter("col < 2").groupBy("doc_id", "table_index", "row").agg(
-            F.max(F.when(F.col("col") == 0, X.squeeze(F.col("text")))).alias("label"), F.max(F.when(F.col("col") == 1, F.trim("text"))).alias("value"))
-        return pair.filter((X.word_count(F.col("label")).between(1, 4)) & F.col("label").rlike(pattern) & (F.col("value") != "")).select("doc_id", "table_index", "row", "value")
-
-    def tables(self) -> DataFrame:
-        """A row per table from its header cells: kinds, and the first column of each role."""
-        if "tables" in self.shared:
-            return self.shared["tables"]
-        key = X.normalize_key(F.col("text"))
-        head = F.col("row") == 0
-        first = lambda p: F.min(F.when(head & key.rlike(p), F.col("col")))
-        names = F.transform(F.array_sort(F.collect_list(F.when(head, F.struct("col", key.alias("k"), F.trim("text").alias("x"))))), lambda s: F.struct(s["k"].alias("k"), s["x"].alias("x")))
-        out = self.cells.groupBy("doc_id", "table_index").agg(
-            F.min("block_index").alias("block_index"), names.alias("_h"), (F.max("row") + 1).alias("n_rows"),
-            F.coalesce(F.bool_or((F.col("row") > 0) & (F.trim("text") != "")), F.lit(False)).alias("populated"),
-            first(DATE_HEADER).alias("date_col"), first(AUTHOR_HEADER).alias("author_col"), first(VERSION_LABEL).alias("version_col"), first(NAME_HEADER).alias("name_col"),
-        )
-        joined = F.array_join(F.transform("_h", lambda s: s["k"]), " ")
-        out = out.withColumns({"joined": joined, "columns": F.array_join(F.transform("_h", lambda s: s["x"]), " | ")})
-        out = out.withColumn("revision", F.col("joined").rlike(DATE_HEADER) & F.col("joined").rlike(REVISION_HEADER))
-        return out.withColumn("signing", ~F.col("revision") & F.col("joined").rlike(NAME_HEADER) & F.col("joined").rlike(SIGNING_HEADER)).drop("_h")
-
-    def revision_heading(self) -> DataFrame:
-        """doc_id, at, level: a heading that names the history, else a plain line of at most six words."""
-        if "revision_heading" in self.shared:
-            return self.shared["revision_heading"]
-        text, is_head = F.col("text"), F.col("level").isNotNull()
-        rows = self.paragraphs.filter(~F.col("in_table") & text.rlike(REVISION_HEADING) & (is_head | (X.word_count(text) <= 6)))
-        pick = F.min(F.struct((~is_head).cast("int").alias("p"), F.col("block_index").alias("at"), F.coalesce("level", F.lit(99)).alias("level")))
-        return rows.groupBy("doc_id").agg(pick.alias("h")).select("doc_id", "h.at", "h.level")
-
-    def revision_table(self) -> DataFrame:
-        """The revision table of each document that has one: after the heading if there is one there, else the first."""
-        if "revision_table" in self.shared:
-            return self.shared["revision_table"]
-        found = self.tables().filter("revision").join(self.revision_heading().select("doc_id", "at"), "doc_id", "left")
-        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce(F.col("block_index") > F.col("at"), F.lit(False)).cast("int").desc(), "block_index", "table_index"))
-        return found.withColumn("_r", rank).filter("_r = 1").drop("_r", "at")
-
 
 def table_name(index: Column) -> Column:
     return F.concat(F.lit("Table "), (index + 1).cast("string"))
 
 
-def ordered(value: Column, *order: Column) -> Column:
-    """Aggregate: the non-null values by ``order``."""
-    key = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], value.alias("v"))
-    return F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), key))), lambda s: s["v"])
+def yes(x: Column) -> Column:
+    return F.coalesce(x, F.lit(False))

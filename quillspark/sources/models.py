@@ -9,7 +9,7 @@ from quillspark.rules.model import FOOTERS, PARAGRAPHS, Model
 
 from .corpus import TITLE, _plain
 
-RUNS = "array<struct<name string, size double, bold boolean, chars int>>"
+RUNS = "array<struct<name string, size double, bold boolean, chars int, bare int>>"
 CELLS = "table_index int, block_index int, row int, col int, text string"
 
 
@@ -86,7 +86,7 @@ def event_model(events: DataFrame) -> Model:
     every = flow.unionByName(inside).withColumn("text", F.coalesce("text", F.lit("")))
     nulls = {f.split()[0]: F.lit(None).cast(f.split(maxsplit=1)[1]) for f in ("style string", "line double", "before double", "after double", "align string")}
     place = F.when(F.col("t").isNull(), F.format_string("Paragraph %d", "block_index")).otherwise(F.format_string("Table %d, row %d, cell %d", F.col("t") + 1, F.col("r") + 1, F.col("c") + 1))
-    run = F.struct(F.lit("Serif").alias("name"), "size", F.lit(False).alias("bold"), F.length("text").alias("chars"))
+    run = F.struct(F.lit("Serif").alias("name"), "size", F.lit(False).alias("bold"), F.length("text").alias("chars"), F.length(F.trim("text")).alias("bare"))
     known = {"location": place, "in_table": F.col("t").isNotNull(), "from_textbox": F.lit(False), "is_list": F.lit(False), "runs": F.array(run)}
     columns = [f.strip().split()[0] for f in PARAGRAPHS.split(" runs ")[0].rstrip(",").split(",")] + ["runs"]
     paragraphs = every.withColumns(known | nulls).select("doc_id", *columns)

@@ -141,7 +141,7 @@ class Walk:
             "align": ALIGN.get(_first(_val(n, "jc") for n in props) or ""), "fields": [f["kind"] for f in fields], "field_details": fields, "formats": merged(runs), "outline": None if outline is None else int(outline),
             "left_indent": _number(indent("left") or indent("start"), 20), "right_indent": _number(indent("right") or indent("end"), 20),
             "first_line": _number(indent("firstLine"), 20) if indent("hanging") is None else -(_number(indent("hanging"), 20) or 0.0),
-            "runs": [{"name": r["name"], "size": r["size"], "bold": r["bold"], "chars": len(r["text"].strip())} for r in runs if r["text"].strip()],
+            "runs": [{"name": r["name"], "size": r["size"], "bold": r["bold"], "chars": len(r["text"]), "bare": len(r["text"].strip())} for r in merged(runs) if r["text"].strip()],
         })
         for inner in boxes:
             self.container(inner, at, True)
@@ -292,7 +292,7 @@ def package_model(parsed: DataFrame) -> Model:
     good = parsed.filter("error is null")
     docs = good.select("doc_id", "filename", "title", "author", "subject", "keywords", "modified_by")
     paragraphs = good.select("doc_id", F.explode("paragraphs").alias("p")).select("doc_id", "p.*")
-    runs = paragraphs.select("doc_id", "block_index", F.posexplode("runs").alias("ord", "run")).select("doc_id", "block_index", "ord", "run.size", "run.bold", "run.chars")
+    runs = paragraphs.select("doc_id", "block_index", F.posexplode("runs").alias("ord", "run")).select("doc_id", "block_index", "ord", "run.size", "run.bold", "run.chars", "run.bare")
     guessed = structure.infer_heading_levels(paragraphs.withColumn("declared", F.col("level")), runs)
     paragraphs = paragraphs.join(guessed, ["doc_id", "block_index"], "left").withColumn("level", F.coalesce("level", "inferred")).drop("inferred")
     cells = good.select("doc_id", F.explode("cells").alias("c")).select("doc_id", "c.*")

@@ -40,3 +40,14 @@ class Staged:
         for path in [f._staged_at for f in frames if f is not None] if frames else [self.root]:
             at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    @classmethod
+    def release(cls, *frames: DataFrame) -> None:
+        """Remove staged tables, with their operator's folder if nothing else is in it, when their readers are done."""
+        for frame in frames:
+            if (path := getattr(frame, "_staged_at", None)) is not None:
+                at = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                fs = at.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration())
+                fs.delete(at, True)
+                if fs.exists(at.getParent()) and not fs.listStatus(at.getParent()):
+                    fs.delete(at.getParent(), False)

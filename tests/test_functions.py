@@ -96,14 +96,14 @@ def test_heading_inference(spark):
     body = [(1, i, f"word {i} and some more text here.", False, False, False, None) for i in range(6)]
     heads = [(1, 10, "Purpose", False, False, False, None), (1, 11, "Scope of it", False, False, False, None)]
     paragraphs = spark.createDataFrame(body + heads, "doc_id long, block_index int, text string, in_table boolean, from_textbox boolean, is_list boolean, declared int")
-    runs = spark.createDataFrame([(1, i, 11.0, False, 30, 0) for i in range(6)] + [(1, 10, 18.0, True, 7, 0), (1, 11, 14.0, True, 11, 0)], "doc_id long, block_index int, size double, bold boolean, chars int, ord int")
+    runs = spark.createDataFrame([(1, i, 11.0, False, 30, 30, 0) for i in range(6)] + [(1, 10, 18.0, True, 7, 7, 0), (1, 11, 14.0, True, 11, 11, 0)], "doc_id long, block_index int, size double, bold boolean, chars int, bare int, ord int")
     got = {r["block_index"]: r["inferred"] for r in structure.infer_heading_levels(paragraphs, runs).collect()}
     assert got == {10: 1, 11: 2}
 
 
 def test_heading_inference_passes_over_runs_without_size(spark):
     paragraphs = spark.createDataFrame([(1, i, f"word {i} and some more text here.", False, False, False, None) for i in range(6)] + [(1, 10, "Purpose", False, False, False, None)], "doc_id long, block_index int, text string, in_table boolean, from_textbox boolean, is_list boolean, declared int")
-    runs = spark.createDataFrame([(1, i, 11.0 if i == 0 else None, False, 30, 0) for i in range(6)] + [(1, 10, 18.0, False, 7, 0)], "doc_id long, block_index int, size double, bold boolean, chars int, ord int")
+    runs = spark.createDataFrame([(1, i, 11.0 if i == 0 else None, False, 30, 30, 0) for i in range(6)] + [(1, 10, 18.0, False, 7, 7, 0)], "doc_id long, block_index int, size double, bold boolean, chars int, bare int, ord int")
     assert [(r["block_index"], r["inferred"]) for r in structure.infer_heading_levels(paragraphs, runs).collect()] == [(10, 1)]
 
 

@@ -151,9 +151,9 @@ def test_a_rule_that_fails_leaves_the_others_alone(parsed, monkeypatch):
 
     from quillspark.rules import checks
 
-    name, severity, apply = checks.RULES[8]
-    monkeypatch.setitem(checks.RULES, 8, (name, severity, lambda m, c: apply(m, c).withColumn("message", F.raise_error(F.lit("broken row")).cast("string"))))
-    monkeypatch.setitem(checks.RULES, 10, (name, severity, lambda m, c: 1 / 0))
+    name, severity, apply, parts = checks.RULES[8]
+    monkeypatch.setitem(checks.RULES, 8, (name, severity, lambda d, c: (lambda d, v: (d, v._replace(message=F.raise_error(F.lit("broken row")).cast("string"))))(*apply(d, c)), parts))
+    monkeypatch.setitem(checks.RULES, 10, (name, severity, lambda d, c: 1 / 0, parts))
     rows = engine.evaluate(packages.package_model(parsed), NOW, [5, 8, 10]).collect()
     assert {(r.rule_id, r.passed is None, r.severity) for r in rows if r.rule_id != 5} == {(8, True, "info"), (10, True, "info")}
     assert any(r.passed for r in rows if r.rule_id == 5) and len(rows) == 3 * len(CASES)
