@@ -1,8 +1,9 @@
 """Mixing sources to target weights by hash-threshold histograms (DataFrame functions only).
 
-Every source has a word target. A document's position is a 40-bit hash of its id; the words of a source are
-summed by source and hash bucket, the bucket in which the budget ends is found, only that bucket is refined
-(twice), and the documents are then filtered by ``hash < threshold``. Nothing is sorted but small histograms.
+Every source has a word target. A document's position is a 40-bit hash of its id, and 23 bits more that part rows with
+one id; the words of a source are summed by source and hash bucket, the bucket in which the budget ends is found,
+only that bucket is refined (twice), and the documents are then filtered by ``hash < threshold``. Nothing is sorted but
+small histograms.
 Thresholds nest: a mix with a smaller budget holds a subset of the documents of a larger one.
 """
 
@@ -14,8 +15,7 @@ from pyspark.sql import functions as F
 from .common import rest, stage
 
 WORDS = r"[^\x20\x09-\x0D]+"
-HASH_BITS, BUCKET_BITS = 40, 12
-SPACE = 1 << HASH_BITS
+HASH_BITS, TEXT_BITS, ROW_BITS, BUCKET_BITS = 40, 12, 11, 12
 
 
 def word_count(text: Column) -> Column:
@@ -23,9 +23,12 @@ def word_count(text: Column) -> Column:
 
 
 def position(doc_id: Column, text: Column) -> Column:
-    """40 bits of the id's MD5; a document without an id is placed by its text."""
+    """40 bits of the id's MD5 (a document without an id is placed by its text), then bits of the text and, for rows that have both in common, of the row."""
     key = F.coalesce(doc_id.cast("string"), text.cast("string"), F.lit(""))
-    return F.conv(F.substring(F.md5(key), 1, 10), 16, 10).cast("long")
+    place = F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("long")
+    for value, bits in ((text.cast("string"), TEXT_BITS), (F.monotonically_increasing_id(), ROW_BITS)):
+        place = F.shiftleft(place, bits) + F.pmod(F.xxhash64(value), F.lit(1 << bits))
+    return place
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -65,9 +68,9 @@ def mixing_plan(narrow: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budge
     """Per source: source_size, target, _base (whole repeats) and _below (one more for hashes under it).
 
     ``narrow``: source, size, _u; it is read several times. The threshold lies where the source's words come
-    nearest to the target; rows with equal ids share a hash and are taken alike.
+    nearest to the target. Of rows with one id and text as many are taken as that needs, in 2**11 parts of them.
     """
-    low = HASH_BITS - BUCKET_BITS
+    low = HASH_BITS + TEXT_BITS + ROW_BITS - BUCKET_BITS
     hist = narrow.groupBy("source", F.shiftright("_u", low).alias("_b1")).agg(F.sum("size").alias("_words"))
     hist = stage(hist, "mixing_histogram")
     plan = targets(hist.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, budget, cap)
@@ -115,7 +118,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget:
 
     Null or empty texts have size 0 and take 0; a null source is a source of its own, last in order; without
     words at all every target is 0; an empty table gives an empty result; columns of ``docs`` named like an
-    output are replaced. A document is taken 0, 1 or 2 times as a whole.
+    output are replaced. A document is taken 0, 1 or 2 times as a whole. Rows of one id are documents of their own; which of
+    rows equal in id and text are taken depends on where they lie.
     """
     docs = docs.select(rest(docs, "size", "_u"))
     narrow = stage(sized(docs).select("source", "size", "_u"), "mixing_sizes")

@@ -15,10 +15,12 @@ import zlib
 
 import numpy as np
 
-LANES, SEGMENT = 512, 512 * 128
+LANES, SEGMENT = 2048, 2048 * 128
 #: Frequencies add up to 2**SCALE; states lie from 2**31 to 2**63 and give up 32 bits at a time.
-SCALE = 20
+SCALE = 18
 LOW, MASK, HALF = np.uint64(1 << 31), np.uint64((1 << SCALE) - 1), np.uint64(32)
+#: Bits of a number below 2**SCALE, or just that, in the tables' entries.
+FIELD, FIELD_MASK = SCALE + 1, np.uint64((1 << SCALE + 1) - 1)
 HEAD, HEAD_BYTES = "<4sIIII", 20
 MARK = b"QRA1"
 
@@ -37,14 +39,15 @@ def frequencies(counts: dict[int, int]) -> dict[int, int]:
 
 
 class Table:
-    """The frequency table as arrays: each id's share and first slot, and each slot's id."""
+    """The frequency table as arrays. ``code``: each id's share and first slot; ``slots``: each slot's id, its share and the place in it."""
 
     def __init__(self, shares: dict[int, int]) -> None:
         ids = np.array(sorted(shares), np.int64)
         own = np.array([shares[i] for i in ids.tolist()], np.int64)
-        self.share, self.first = (np.zeros(int(ids[-1]) + 1 if len(ids) else 0, np.uint64) for _ in range(2))
-        self.share[ids], self.first[ids] = own, np.cumsum(own) - own
-        self.id_at = np.repeat(ids.astype(np.uint32), own)
+        first = np.cumsum(own) - own
+        self.code = np.zeros(int(ids[-1]) + 1 if len(ids) else 0, np.uint64)
+        self.code[ids] = own << FIELD | first
+        self.slots = (np.repeat(ids << 2 * FIELD | own << FIELD, own) + np.arange(own.sum()) - np.repeat(first, own)).astype(np.uint64)
 
 
 def encode(ids: np.ndarray, table: Table) -> bytes:
@@ -53,14 +56,15 @@ def encode(ids: np.ndarray, table: Table) -> bytes:
     state, words, emitted, kept = np.full(LANES, LOW, np.uint64), [], 0, []
     for at in range((n - 1) // LANES * LANES, -1, -LANES):  # backwards, as the decoder undoes the last step first
         own = ids[at : at + LANES]
-        x, share = state[: len(own)], table.share[own]
+        x, code = state[: len(own)], table.code[own]
+        share = code >> np.uint64(FIELD)
         over = x >= share << np.uint64(63 - SCALE)
         if over.any():
             words.append(x[over].astype(np.uint32))
             emitted += len(words[-1])
             x[over] >>= HALF
         q = x // share
-        x[:] = (q << np.uint64(SCALE)) + (x - q * share) + table.first[own]
+        x[:] = (q << np.uint64(SCALE)) + (x - q * share) + (code & FIELD_MASK)
         if at % SEGMENT == 0:
             kept.append((emitted, state.copy()))
     kept.reverse()
@@ -75,10 +79,9 @@ def _run(x: np.ndarray, place: np.ndarray, words: np.ndarray, n: int, table: Tab
     out = np.empty((len(x), n), np.uint32)
     for at in range(0, n, LANES):
         y = x[:, : min(LANES, n - at)]
-        slot = y & MASK
-        ids = table.id_at[slot]
-        out[:, at : at + LANES] = ids
-        y[:] = table.share[ids] * (y >> np.uint64(SCALE)) + slot - table.first[ids]
+        slot = table.slots[y & MASK]
+        out[:, at : at + LANES] = slot >> np.uint64(2 * FIELD)
+        y[:] = (slot >> np.uint64(FIELD) & FIELD_MASK) * (y >> np.uint64(SCALE)) + (slot & FIELD_MASK)
         short = y < LOW
         if short.any():
             next_ = (place[:, None] + np.cumsum(short, 1) - 1)[short]

@@ -9,22 +9,27 @@ among all ids.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import Staged, text_bytes
+from .common import Staged, some_rows, text_bytes
 
 #: Ids of a block and, about, of a run of blocks (one task's share of the ordered ids).
 BLOCK, PART = 4 * rans.SEGMENT, 1 << 23
-#: Pieces of text that a worker remembers the ids of, and the longest.
-HELD_PIECES, LONGEST_PIECE = 400_000, 40
+#: Pieces of text that a worker remembers the ids of, the longest, and bits of a filter of those that came once.
+HELD_PIECES, LONGEST_PIECE, FILTER = 200_000, 40, 1 << 24
+#: A run of letters (of any script's that are letters for sure) and what follows it, from another ASCII character on.
+HEAD = re.compile("( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-@[-`{-~\n].*)", re.DOTALL)
 #: White space and what might be taken for it; a blank next to one of these is no place to cut.
 SPACES = frozenset(map(chr, (*range(0x21), *range(0x7F, 0xA1), 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
 
@@ -33,8 +38,8 @@ class Encoder:
     """Ids of texts by a file of the ``tokenizers`` library, as little-endian unsigned numbers of ``width`` bytes.
 
     A byte-level file without a normalizer parts words before a blank that stands between two other characters than
-    white space, so what lies between two such places is encoded by itself, once, and remembered. With any other file
-    texts are encoded whole.
+    white space, and after a run of letters before ASCII's other characters. So what lies between two such places is encoded
+    by itself, and remembered. With any other file texts are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,12 +50,17 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        about = json.loads(self.library.to_str())
-        words = about["pre_tokenizer"] or {}
-        self.parts = about["normalizer"] is None and words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space")
-        self.type = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        about, words = json.loads(self.library.to_str()), self.library.get_vocab()
+        split = about["pre_tokenizer"] or {}
+        self.parts = about["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        self.type = "<u2" if max(words.values()) < 1 << 16 else "<u4"
         self.width = int(self.type[2])
+        self.blank = np.zeros(max(words.values()) + 1, bool)
+        self.blank[[i for w, i in words.items() if w[0] == "\u0120"]] = True  # a blank's letter in such files
+        #: Ids of pieces that follow a blank, and of other parts under a blank and the part.
         self.held: dict[str, bytes] = {}
+        #: Bits of the pieces that came once.
+        self.seen = bytearray(FILTER // 8)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -66,46 +76,98 @@ class Encoder:
         """Every text by the library."""
         return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
+    def _after_blanks(self, parts: list[str]) -> list[bytes]:
+        """Every part as it is coded after a blank, many at a time: a part begins where a token begins with a blank."""
+        out = []
+        for at in range(0, len(parts), 256):
+            ids = np.array(self.library.encode(" " + " ".join(parts[at : at + 256]), add_special_tokens=False).ids, self.type)
+            data, starts = ids.tobytes(), (np.flatnonzero(self.blank[ids]) * self.width).tolist()
+            out += [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
+        return out
+
+    def _learn(self, fresh: list[str]) -> list[bytes]:
+        """Ids of pieces that nothing remembers, from those of their letters and of what follows."""
+        halves = [(m[1], f" {m[2]}") if (m := HEAD.fullmatch(k)) else (k, None) for k in fresh]
+        want = {x for own in halves for x in own if x is not None and x not in self.held}
+        spaced, bare = [k for k in want if k[0] != " "], [k for k in want if k[0] == " "]
+        new = dict(zip(spaced, self._after_blanks(spaced), strict=True))
+        for at in range(0, len(bare), 256):
+            new.update(zip(bare[at : at + 256], self.whole([k[1:] for k in bare[at : at + 256]]), strict=True))
+        of = lambda x: new[x] if x in new else self.held[x]
+        out = [of(x) if y is None else of(x) + of(y) for x, y in halves]
+        if len(self.held) > HELD_PIECES:  # what came first is what is frequent
+            self.held = dict(islice(self.held.items(), HELD_PIECES // 2))
+        for keys, ids in ((new, new.values()), (fresh, out)):
+            for k, x in zip(keys, ids, strict=True):
+                # of the pieces that come for the first time most never come again
+                h = hash(k) & (FILTER - 1)
+                if self.seen[h >> 3] >> (h & 7) & 1:
+                    if len(k) <= LONGEST_PIECE:
+                        self.held[k] = x
+                else:
+                    self.seen[h >> 3] |= 1 << (h & 7)
+        return out
+
+    def _known(self, keys: list[str]) -> list[bytes]:
+        out = list(map(self.held.get, keys))
+        missed = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(missed, self._learn([keys[i] for i in missed]), strict=True):
+            out[i] = x
+        return out
+
+    def __call__(self, texts: pa.Array, end: bytes = b"") -> tuple[pa.Array, np.ndarray]:
+        """Ids of every text, and ``end`` after each, as bytes; and the number of ids."""
         if not self.parts:
-            return self.whole([text])[0]
-        if len(self.held) > HELD_PIECES:
-            self.held.clear()
-        first, *pieces = text.split(" ")
-        found = list(map(self.held.get, pieces))
-        fresh = {p for p, x in zip(pieces, found, strict=True) if x is None}
-        plain = [p for p in fresh if p and p[0] not in SPACES and p[-1] not in SPACES]
-        new = dict(zip(plain, self.whole([f" {p}" for p in plain]), strict=True))
-        self.held.update((p, x) for p, x in new.items() if len(p) <= LONGEST_PIECE)
-        if len(plain) < len(fresh) or not first or first[-1] in SPACES:
-            return b"".join(self._joined([first, *pieces], [None, *(x or new.get(p) for p, x in zip(pieces, found, strict=True))]))
-        return b"".join([*self.whole([first]), *(x or new[p] for p, x in zip(pieces, found, strict=True))])
-
-    def _joined(self, pieces: list[str], found: list[bytes | None]) -> Iterator[bytes]:
-        """Pieces without ids of their own, with the neighbours that they can't be cut from."""
-        plain = [bool(p) and p[0] not in SPACES and p[-1] not in SPACES for p in pieces]
+            out = [x + end for x in self.whole(texts.to_pylist())]
+            return pa.array(out, pa.binary()), np.array([len(x) // self.width for x in out], np.int64)
+        lists = pc.split_pattern(texts, " ")
+        at = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        pieces, of = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        easy = np.array(list(map(plain, pieces)), bool)
+        ids = self._known([p if e else "a" for p, e in zip(pieces, easy.tolist(), strict=True)])
+        first = [pieces[k] for k in of[at[:-1]]]
+        odd = np.add.reduceat(~easy[of], at[:-1]) > 0  # texts with a piece that can't be cut from its neighbours
+        ahead = self._known(["a" if o else f" {p}" for p, o in zip(first, odd.tolist(), strict=True)])
+        for i in np.flatnonzero(odd).tolist():
+            own = of[at[i] : at[i + 1]]
+            ahead[i] = b"".join(self._joined([pieces[k] for k in own], [ids[k] for k in own])) if len(own) > 1 or first[i] else b""
+        nothing = len(pieces) + len(first)
+        of[np.repeat(odd, np.diff(at))] = nothing
+        of[at[:-1]] = len(pieces) + np.arange(len(first))
+        of = np.insert(of, at[1:], nothing + 1)
+        every = pa.array([*ids, *ahead, b"", end], pa.binary()).take(pa.array(of))
+        ends = np.frombuffer(every.buffers()[1], np.int32)[at + np.arange(len(at))]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), every.buffers()[2]]), np.diff(ends).astype(np.int64) // self.width
+
+    def _joined(self, pieces: list[str], found: list[bytes]) -> Iterator[bytes]:
+        """Ids of a text's pieces, those ``found`` for what follows a blank alone; pieces that can't be cut from their neighbours are coded with these."""
+        easy = list(map(plain, pieces))
         at = 0
         while at < len(pieces):
             to = at + 1
-            while to < len(pieces) and not (plain[to - 1] and plain[to]):
+            while to < len(pieces) and not (easy[to - 1] and easy[to]):
                 to += 1
-            if to == at + 1 and found[at] is not None:
+            if at and to == at + 1 and easy[at]:
                 yield found[at]
             else:
                 yield self.whole([(" " if at else "") + " ".join(pieces[at:to])])[0]
             at = to
 
 
+def plain(piece: str) -> bool:
+    """Whether a piece between two blanks has something else than white space at both ends."""
+    return bool(piece) and piece[0] not in SPACES and piece[-1] not in SPACES
+
+
 def _coded(path: str, end_id: int):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         end = np.array([end_id], encoder.type).tobytes()
         for batch in batches:
-            ids = [encoder(t.decode("utf-8", "replace")) + end for t in batch.column(1).to_pylist()]
-            n = [len(x) // encoder.width for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([encoder.width] * len(n), pa.int32()), pa.array(ids, pa.large_binary()).cast(pa.binary())], names=["doc_id", "n_ids", "width", "ids"])
+            for at, to in some_rows(batch.column(1), 4 << 20):
+                ids, n = encoder(batch.column(1)[at:to].cast(pa.string()), end)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], pa.array(n), pa.array([encoder.width] * len(n), pa.int32()), ids], names=["doc_id", "n_ids", "width", "ids"])
 
     return code
 
@@ -193,7 +255,7 @@ def _placed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _pieces(shares, ids: bool):
-    """What a block has of each document: doc_id, the document's start, ids that stand before the piece, its size, ids that follow, its checksum and (if asked for) the ids."""
+    """What a block has of each document: doc_id, the document's start, ids that stand before the piece, its size, ids that follow, its part of the document's checksum and (if asked for) the ids."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rans.Table(shares.value)
@@ -206,7 +268,7 @@ def _pieces(shares, ids: bool):
                 ahead, behind = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
                 ahead[0], behind[-1] = before, after
                 each = [own[b - k : b] for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                cols = [pa.array(docs, pa.int64()), pa.array(start + ends - n - ahead), pa.array(ahead), pa.array(n), pa.array(behind), pa.array([zlib.crc32(x) for x in each], pa.int64())]
+                cols = [pa.array(docs, pa.int64()), pa.array(start + ends - n - ahead), pa.array(ahead), pa.array(n), pa.array(behind), pa.array([rans.crc_before(zlib.crc32(x), 4 * k) for x, k in zip(each, behind.tolist(), strict=True)], pa.int64())]
                 names = ["doc_id", "start", "ahead", "n", "behind", "crc"]
                 if ids:
                     cols.append(pa.array([x.astype(np.int32) for x in each], pa.list_(pa.int32())))
@@ -221,20 +283,10 @@ def read_pieces(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     return placed.mapInArrow(_pieces(_shares(spark, path), ids), "doc_id long, start long, ahead long, n long, behind long, crc long" + ", ids array<int>" * ids)
 
 
-def _crc_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        crc = [rans.crc_before(c, 4 * b) for c, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], names=["doc_id", "start", "n", "crc"])
-
-
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from decoded blocks; checksums of documents in several blocks are put together from their parts'."""
     pieces = read_pieces(spark, path, ids=False)
-    alone = (F.col("ahead") == 0) & (F.col("behind") == 0)
-    whole = pieces.filter(alone).select("doc_id", "start", "n", "crc")
-    parts = pieces.filter(~alone).select("doc_id", "start", "n", "crc", "behind").mapInArrow(_crc_parts, "doc_id long, start long, n long, crc long")
-    met = parts.groupBy("doc_id", "start").agg(F.sum("n").alias("n"), F.bit_xor("crc").alias("crc"))
-    return whole.unionByName(met).select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    return pieces.groupBy("doc_id", "start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
 
 
 def read_range(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:

@@ -164,3 +164,26 @@ def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", DOCS), ("labels", "doc_id long, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_go_by_row_and_columns_keep_their_values(spark, corpus):
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(3, long, 0.5, "a", 1), (7, long + " x", 0.25, "b", 2), (7, "quite another text of some words", 0.75, "c", 3), (None, long, 1.0, "d", 4), (8, None, 1.0, "e", 5), (8, None, 1.0, "f", 6), (9, "w" * 200_000, 1.0, None, 7), (None, "none of these has an id at all", 0.0, "g", 8), (None, "none of these has an id at all", 0.0, "h", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, items string, _bytes int")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, corpus[0])
+    got = {r["_bytes"] for r in kept.collect()}
+    assert kept.columns == docs.columns and got - {8, 9} == {1, 3, 5, 6, 7} and len(got & {8, 9}) == 1
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.dedup_lines, corpus_pipeline.drop_contaminated):
+        out = stage(spark, docs, corpus[0])
+        assert out.columns == docs.columns
+        assert {(r["_bytes"], r["score"], r["items"]) for r in out.collect()} == {(r[4], r[2], r[3]) for r in rows}
+    assert corpus_pipeline.mix(spark, docs.withColumn("source", docs["items"]), corpus[0]).count() == len(rows)
+
+
+def test_mixing_parts_rows_of_one_id(spark):
+    from quillspark.llm import mixing
+
+    rows = [(1, " ".join(["w"] * 10), "a")] * 90 + [(i, " ".join(["w"] * 10), "b") for i in range(100, 140)] + [(2, f"{'w ' * 9}{i}", "c") for i in range(50)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for r in out.groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 10
