@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
@@ -19,6 +19,8 @@ from quillspark.rules.engine import answers, rule_table
 from quillspark.rules.engine import evaluate as evaluate_rules
 from quillspark.rules.model import Config, Model
 
+from . import search
+
 DIMENSION = 384
 TOP = 5
 NOTHING = "No passage of the document bears on this question."
@@ -86,41 +88,20 @@ def parse_reply(reply: Column) -> Column:
     return F.when(good, F.struct((flag == "true").alias("passed"), evidence.alias("evidence"), raw.alias("locations")))
 
 
-#: Questions that are asked of every chunk at once; they are collected and go to every task.
-MOST_QUESTIONS = 1000
-
-
-def _scores(matrix: np.ndarray):
-    norms = np.sqrt((matrix**2).sum(1))
-
-    @F.pandas_udf("array<double>")
-    def scores(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype=object)
-        x = np.stack(vectors.to_numpy())
-        return pd.Series(list((x @ matrix.T) / np.outer(np.sqrt((x**2).sum(1)), norms)))
-
-    return scores
-
-
 def retrieve(chunks: DataFrame, asked: DataFrame, k: int = TOP, where: Column | None = None) -> DataFrame:
-    """The k nearest chunks of every document to each question (chunks: doc_id, embedding and what context needs).
+    """The k nearest chunks of every document to each question (chunks: doc_id, seq, embedding and what context needs).
 
-    ``asked`` has rule_id and embedding, MOST_QUESTIONS rows at most; a question without a vector is an error.
-    ``where`` filters chunks by their metadata (``same_source``, ``same_section``). A batch of chunks is scored
-    against all questions by one product; ranking stays inside a document.
+    ``asked`` has rule_id and embedding, any number of rows; a question without a vector is an error. ``where``
+    filters chunks by their metadata (``same_source``, ``same_section``). Blocks of chunks are scored against blocks of
+    questions by one product; documents are the search's groups.
     """
-    rows = asked.select("rule_id", "embedding").orderBy("rule_id").limit(MOST_QUESTIONS + 1).collect()
-    if len(rows) > MOST_QUESTIONS or any(r["embedding"] is None for r in rows):
-        raise ValueError(f"{MOST_QUESTIONS} questions at most, none of them blank")
-    if not rows:
-        return chunks.drop("embedding").withColumns({"rule_id": F.lit(0), "score": F.lit(0.0), "rank": F.lit(0)}).limit(0)
-    scores, numbers = _scores(np.array([r["embedding"] for r in rows], np.float64)), F.array(*[F.lit(r["rule_id"]) for r in rows])
-    kept = chunks.filter("embedding is not null") if where is None else chunks.filter("embedding is not null").filter(where)
-    kept = kept.withColumn("_scores", scores("embedding")).drop("embedding")
-    scored = kept.select("*", F.posexplode("_scores").alias("_at", "score")).withColumn("rule_id", F.get(numbers, F.col("_at"))).drop("_scores", "_at")
-    w = Window.partitionBy("doc_id", "rule_id").orderBy(F.col("score").desc(), "seq")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    if not asked.filter("embedding is null").isEmpty():
+        raise ValueError("a question without words has no vector")
+    kept = chunks if where is None else chunks.filter(where)
+    store = kept.select(F.col("seq").alias("id"), F.col("seq").alias("ins_ord"), "embedding", F.col("doc_id").alias("grp"))
+    found = search.top_k_groups(store, asked.select(F.col("rule_id").alias("query_id"), F.col("embedding").alias("query")), k)
+    found = found.select(F.col("grp").alias("doc_id"), F.col("id").alias("seq"), F.col("query_id").alias("rule_id"), "score", "rank")
+    return kept.drop("embedding").join(found, ["doc_id", "seq"])
 
 
 def same_source(source: str) -> Column:
