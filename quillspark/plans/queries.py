@@ -14,7 +14,7 @@ from quillspark.rules import engine
 from quillspark.rules.model import Config
 from quillspark.sources import corpus, models
 
-from . import ledger  # noqa: F401
+from . import ledger, specimens  # noqa: F401
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ def records(extractions: DataFrame) -> DataFrame:
     blocks = extractions.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*")
     tables = extractions.select("doc_id", F.explode("tables").alias("t")).select("doc_id", "t.table_index", "t.rows")
     full = F.filter("rows", lambda r: F.exists(r, lambda x: F.trim(x) != ""))
-    tables = tables.select("doc_id", "table_index", F.array_join(F.transform(full, lambda r: F.array_join(F.transform(r, F.trim), " | ")), "\n").alias("body"))
+    tables = tables.select("doc_id", "table_index", F.array_join(F.transform(full, lambda r: F.array_join(F.transform(r, lambda x: F.trim(x)), " | ")), "\n").alias("body"))
     out = blocks.join(tables, ["doc_id", "table_index"], "left").withColumn("text", F.coalesce("body", F.trim("text"))).filter("text <> ''")
     return out.select("doc_id", F.col("block_index").alias("ord"), "text", "block_index", "location", "kind", "level", "table_index")
 
