@@ -6,8 +6,7 @@ hashes words and needs no model.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as X
 from quillspark.rules.engine import answers, rule_table
 from quillspark.rules.engine import evaluate as evaluate_rules
-from quillspark.rules.model import Config, Model
+from quillspark.rules.model import Config, Model, yes
 
 from . import search
 
@@ -45,18 +44,19 @@ def hashed_embedding(text: Column, dimension: int = DIMENSION) -> Column:
     """Unit vector of signed counts of hashed words; null for a text without words, or whose counts cancel out."""
 
     @F.pandas_udf("array<double>")
-    def embed(words: pd.Series) -> pd.Series:
-        def one(row):
-            v = np.zeros(dimension)
-            codes = [zlib.crc32(w.encode()) for w in row] if row is not None else []
-            for code in codes:
-                v[(code >> 1) % dimension] += 1.0 if code & 1 else -1.0
-            norm = np.linalg.norm(v)
-            return v / norm if norm else None
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for codes in batches:
+            own = [c if c is not None else () for c in codes]
+            row = np.repeat(np.arange(len(own)), [len(c) for c in own])
+            flat = np.concatenate([np.zeros(0, np.int64), *(np.asarray(c, np.int64) for c in own)])
+            v = np.zeros((len(own), dimension))
+            np.add.at(v, (row, (flat >> 1) % dimension), np.where(flat & 1, 1.0, -1.0))
+            norm = np.sqrt((v * v).sum(1))
+            v /= np.where(norm > 0, norm, 1.0)[:, None]
+            yield pd.Series([x if n else None for x, n in zip(v, norm, strict=True)], index=codes.index, dtype=object)
 
-        return words.map(one)
-
-    return embed(F.filter(F.split(F.lower(X.squeeze(text)), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    words = F.filter(F.split(F.lower(X.squeeze(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return embed(F.transform(words, lambda w: F.crc32(w.cast("binary"))))
 
 
 def questions(spark: SparkSession) -> DataFrame:
@@ -78,14 +78,31 @@ def prompt(question: Column, text: Column) -> Column:
 
 
 def parse_reply(reply: Column) -> Column:
-    """The judge's struct; null unless passed is a JSON boolean, evidence has text and locations are all strings."""
-    bare = F.regexp_replace(F.trim(reply), r"(?s)^```(?:json)?\s*|\s*```$", "")
-    flag, evidence = F.get_json_object(bare, "$.passed"), F.get_json_object(bare, "$.evidence")
-    typed = bare.rlike(r'"passed"\s*:\s*(?:true|false)\b') & bare.rlike(r'"evidence"\s*:\s*"')
-    raw = F.from_json(F.coalesce(F.get_json_object(bare, "$.locations"), F.lit("[]")), "array<string>")
-    strings = F.coalesce(F.get_json_object(bare, "$.locations"), F.lit("[]")).rlike(r'^\s*\[\s*(?:"(?:[^"\\]|\\.)*"\s*(?:,\s*"(?:[^"\\]|\\.)*"\s*)*)?\]\s*$')
-    good = typed & strings & flag.isin("true", "false") & (F.trim(evidence) != "")
-    return F.when(good, F.struct((flag == "true").alias("passed"), evidence.alias("evidence"), raw.alias("locations")))
+    """The judge's struct; null unless the reply is one JSON object whose passed is a boolean, evidence a text that isn't blank and locations, if given, a list of texts.
+
+    Types are those of the parsed value, so nested, quoted or escaped keys don't count; an object with a repeated key can't be read.
+    """
+    v = F.try_parse_json(F.regexp_replace(F.trim(reply), r"(?s)^```[^\n]*\n|\s*```$", ""))
+    part = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
+    kind = lambda name: F.schema_of_variant(part(name))
+    evidence = F.trim(F.try_variant_get(v, "$.evidence", "string"))
+    listed = F.coalesce(kind("locations").isin("ARRAY<STRING>", "ARRAY<VOID>") & ~yes(F.exists(F.try_variant_get(v, "$.locations", "array<string>"), lambda x: x.isNull())), F.lit(True))
+    good = (kind("passed") == "BOOLEAN") & (kind("evidence") == "STRING") & (evidence != "") & listed
+    return F.when(good, F.struct(F.try_variant_get(v, "$.passed", "boolean").alias("passed"), evidence.alias("evidence"), F.coalesce(F.try_variant_get(v, "$.locations", "array<string>"), F.array().cast("array<string>")).alias("locations")))
+
+
+def ask(rows: DataFrame, judge: Callable[[Column], Column], cache: str | None = None) -> DataFrame:
+    """``rows`` (with prompt) and reply. With a ``cache`` folder each prompt is asked once, whoever asks it and however often: replies are kept there under the prompt's hash."""
+    if cache is None:
+        return rows.withColumn("reply", judge(F.col("prompt")))
+    spark, rows = rows.sparkSession, rows.withColumn("_key", F.sha2("prompt", 256))
+    at = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    known = (lambda: spark.read.schema("key string, reply string").parquet(cache)) if there else (lambda: spark.createDataFrame([], "key string, reply string"))
+    fresh = rows.select("_key", "prompt").distinct().join(known().select("key"), F.col("_key") == F.col("key"), "left_anti")
+    fresh.select(F.col("_key").alias("key"), judge(F.col("prompt")).alias("reply")).write.mode("append").parquet(cache)
+    replies = spark.read.schema("key string, reply string").parquet(cache).groupBy("key").agg(F.min("reply").alias("reply"))  # two runs at once may have asked the same
+    return rows.join(replies, F.col("_key") == F.col("key"), "left").drop("_key", "key")
 
 
 def retrieve(chunks: DataFrame, asked: DataFrame, k: int = TOP, where: Column | None = None) -> DataFrame:
@@ -113,17 +130,17 @@ def same_section(path: list[str]) -> Column:
     return F.col("section_path") == F.array(*map(F.lit, path)).cast("array<string>")
 
 
-def judge_rules(chunks: DataFrame, judge: Callable[[Column], Column], embed: Callable[[Column], Column] = hashed_embedding, k: int = TOP, where: Column | None = None) -> DataFrame:
+def judge_rules(chunks: DataFrame, judge: Callable[[Column], Column], embed: Callable[[Column], Column] = hashed_embedding, k: int = TOP, where: Column | None = None, cache: str | None = None) -> DataFrame:
     """doc_id, rule_id, rule_name, severity, passed, evidence, locations, method, code: a judge's answer for each document and rule.
 
     A reply that can't be read leaves passed null and has code 503; code is 200 else. Documents without chunks have
-    no rows here: ``unreadable`` gives them code 422.
+    no rows here: ``unreadable`` gives them code 422. ``cache``: see ``ask``.
     """
     spark = chunks.sparkSession
     asked = questions(spark)
     hits = retrieve(chunks.withColumn("embedding", embed(F.col("text"))), asked.withColumn("embedding", embed(F.col("question"))).drop("question"), k, where)
     every = chunks.select("doc_id").distinct().join(F.broadcast(asked), F.lit(True)).join(context(hits, ["doc_id", "rule_id"]), ["doc_id", "rule_id"], "left")
-    answered = every.withColumn("a", parse_reply(judge(prompt(F.col("question"), F.col("context")))))
+    answered = ask(every.withColumn("prompt", prompt(F.col("question"), F.col("context"))), judge, cache).withColumn("a", parse_reply(F.col("reply"))).drop("prompt", "reply")
     named = answered.join(F.broadcast(rule_table(spark)), "rule_id", "left")
     code = F.when(F.col("a.passed").isNull(), 503).otherwise(200)
     return named.select("doc_id", "rule_id", "rule_name", F.coalesce("severity", F.lit("warning")).alias("severity"), "a.passed", "a.evidence", "a.locations", F.lit("retrieval").alias("method"), code.alias("code"))

@@ -42,7 +42,8 @@ def test_judge(extracted):
 
 
 def test_replies(spark):
-    cases = {'{"passed": true, "evidence": "x"}': True, '{"passed": "true", "evidence": "x"}': None, '{"passed": false, "evidence": " "}': None, '{"passed": false, "evidence": "y", "locations": [1]}': None, '{"passed": false, "evidence": "y", "locations": ["a", "b"]}': False, "": None}
+    cases = {'{"passed": true, "evidence": "x"}': True, '{"passed": "true", "evidence": "x"}': None, '{"passed": false, "evidence": " "}': None, '{"passed": false, "evidence": "y", "locations": [1]}': None, '{"passed": false, "evidence": "y", "locations": ["a", "b"]}': False, "": None, '{"a": {"passed": true, "evidence": "x"}}': None, '{"passed": true, "evidence": "a \\"passed\\": false"}': True, '{"passed": true, "passed": false, "evidence": "x"}': None, '[{"passed": true, "evidence": "x"}]': None,
+             '{"passed": true, "evidence": "x", "locations": null}': None, '{"passed": true, "evidence": "x", "locations": []}': True, '{"passed": 1, "evidence": "x"}': None, '{"passed": true, "evidence": 5}': None, '{"passed": true, "evidence": "x", "locations": ["a", null]}': None, "{": None, '```json\n{"passed": false, "evidence": "é"}\n```': False}
     rows = spark.createDataFrame([(k,) for k in cases], "r string").select("r", retrieval.parse_reply(F.col("r")).alias("a")).collect()
     assert {r.r: r.a and r.a.passed for r in rows} == cases
 
@@ -81,3 +82,31 @@ def test_filters_modes_and_codes(spark, extracted):
     assert [r[:2] for r in retrieval.unreadable(spark.createDataFrame([("one",), ("blank",)], "doc_id string"), rows).collect()] == [("blank", 422)]
     with pytest.raises(ValueError):
         retrieval.evaluate("retrieval", None)
+
+
+def test_no_prompt_is_asked_twice(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def judge(x):
+        asked.add(1)
+        return f"re: {x}"
+
+    rows = spark.createDataFrame([(i, f"p{i % 3}") for i in range(9)], "id long, prompt string")
+    for more, want in ((rows.limit(0), 0), (rows, 3), (rows, 3), (rows.unionByName(spark.createDataFrame([(9, "new")], rows.schema)), 4)):
+        got = retrieval.ask(more, judge, str(tmp_path / "cache"))
+        assert {(r.prompt, r.reply) for r in got.collect()} == {(r.prompt, f"re: {r.prompt}") for r in more.collect()} and asked.value == want
+
+
+def test_embeddings_of_batches(spark):
+    import zlib
+
+    import numpy as np
+
+    texts = ["one two two", None, "", "...", "Three, éa ONE"] * 3
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(retrieval.hashed_embedding(F.col("t"), 7)).collect()]
+    for text, vector in zip(texts, got, strict=True):
+        v = np.zeros(7)
+        for w in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split():
+            v[(zlib.crc32(w.encode()) >> 1) % 7] += 1 if zlib.crc32(w.encode()) & 1 else -1
+        assert vector is None if not v.any() else np.allclose(vector, v / np.linalg.norm(v))
