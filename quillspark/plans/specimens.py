@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators import styles
 from quillspark.sources import packages
 
 from .registry import query, table
@@ -125,3 +126,14 @@ def package_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = store.records(store.extraction(packages.package_model(parsed))).filter("kind = 'table'").select("doc_id", F.col("text").alias("table_text"))
     styles = packages.package_styles(parsed).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_styles"))
     return parsed.select("doc_id", "title", "author").join(tables, "doc_id").join(styles, "doc_id")
+
+
+@query("""WITH RECURSIVE s AS (SELECT p_partkey AS k, CASE WHEN p_partkey = 1 THEN 3 ELSE p_partkey // 2 END AS up, CASE WHEN p_size % 3 = 0 THEN p_size::INT END AS size, CASE WHEN p_size % 5 = 0 THEN p_brand END AS face FROM part),
+c(k, spot, depth, seen) AS (SELECT k, k, 0, [k] FROM s UNION ALL SELECT c.k, s.up, depth + 1, list_append(seen, s.up) FROM c JOIN s ON s.k = c.spot WHERE depth < 50 AND NOT list_contains(seen, s.up))
+SELECT 'parts' AS doc_id, c.k AS style_id, arg_min(size, CASE WHEN size IS NOT NULL THEN depth END) AS size, arg_min(face, CASE WHEN face IS NOT NULL THEN depth END) AS face, count(*)::BIGINT AS n_levels FROM c JOIN s ON s.k = c.spot GROUP BY c.k""")
+def style_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as styles that are based on each other, the first ones in a circle: sizes and faces from the nearest ancestor that sets them."""
+    parts, size = table(spark, sf_dir, "part"), F.col("p_size").cast("int")
+    rows = parts.select(F.lit("parts").alias("doc_id"), F.col("p_partkey").alias("style_id"), F.when(F.col("p_partkey") == 1, F.lit(3)).otherwise(F.floor(F.col("p_partkey") / 2)).cast("long").alias("based_on"), F.when(size % 3 == 0, size).alias("size"), F.when(size % 5 == 0, F.col("p_brand")).alias("face"))
+    levels = styles.chains(rows).join(rows.select(F.col("style_id").alias("at")), "at").groupBy("doc_id", "style_id").agg(F.count(F.lit(1)).alias("n_levels"))
+    return styles.inherited(rows, ["size", "face"]).join(levels, ["doc_id", "style_id"])
