@@ -144,3 +144,22 @@ def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         X.version_cell(F.when(n % 2 == 0, text("v", n, ".2")).otherwise("about 3")).alias("cell"), D.parse_date(day).alias("day"), X.phrase(listed).alias("listed"), X.person_name(F.lit("Kim West / QA")).alias("person"),
     )
     return rows
+
+
+@query(f"""WITH {MODEL}, h AS (SELECT u, b, text FROM p WHERE y = 'click'),
+o AS (SELECT p.u, p.b, p.text, 'Paragraph ' || p.b AS spot, max(h.b) AS hb FROM p LEFT JOIN h ON h.u = p.u AND h.b <= p.b WHERE p.y = 'error' AND p.k % 5 > 0 GROUP BY ALL),
+l AS (SELECT o.u, list(o.spot || CASE WHEN h.text IS NULL THEN '' ELSE ', under “' || h.text || '”' END || ' — “' || o.text || '”' ORDER BY o.b) AS s, list(o.spot ORDER BY o.b) AS spots FROM o LEFT JOIN h ON h.u = o.u AND h.b = o.hb GROUP BY o.u),
+n AS (SELECT u, list('Table 2, row ' || (r + 1) || ': ' || text ORDER BY r) AS s, list('Table 2, row ' || (r + 1) ORDER BY r) AS spots FROM c WHERE t = 1 AND r > 0 AND c = 0 AND text <> '' GROUP BY u),
+d AS (SELECT u, r, text, try_strptime(text, '%d %b %Y') AS day FROM c JOIN rev USING (u) WHERE t = 0 AND c = 1 AND r > 0), w AS (SELECT u, r, day < lag(day) OVER (PARTITION BY u ORDER BY r) AS early FROM d WHERE day IS NOT NULL),
+g AS (SELECT u, list(CASE WHEN day IS NULL THEN 'not a date: ' WHEN day > TIMESTAMP '2026-12-02' THEN 'in the future: ' WHEN early THEN 'out of order: ' ELSE '' END || text ORDER BY r) AS s FROM d LEFT JOIN w USING (u, r) GROUP BY u),
+k AS (SELECT e.u, min(e.b) - 6 AS block FROM e JOIN rev USING (u) WHERE y = 'purchase' GROUP BY e.u), kh AS (SELECT k.u, arg_max(h.text, h.b) AS head FROM k LEFT JOIN h ON h.u = k.u AND h.b <= k.block GROUP BY k.u),
+q AS (SELECT u, list(text ORDER BY b) AS s, max(CASE WHEN text = '1. Purpose' THEN b END) AS x, max(CASE WHEN text = 'Revision History' THEN b END) AS z FROM h GROUP BY u),
+z AS (SELECT u, CASE u % 4 WHEN 1 THEN 'QA-SOP-' || u || ' Confidential' WHEN 2 THEN 'Page 3' WHEN 3 THEN 'kept by the office' END AS foot FROM users)
+SELECT users.u AS doc_id, 3::INT AS rule_id, coalesce(g.s, []) AS evidence, CASE WHEN g.u IS NULL THEN [] ELSE ['Table 1' || CASE WHEN kh.head IS NULL THEN '' ELSE ', under “' || kh.head || '”' END] END AS locations FROM users LEFT JOIN g USING (u) LEFT JOIN kh USING (u)
+UNION ALL SELECT users.u, 6, list_concat(coalesce(l.s, []), coalesce(n.s, [])), list_concat(coalesce(l.spots, []), coalesce(n.spots, [])) FROM users LEFT JOIN l USING (u) LEFT JOIN n USING (u)
+UNION ALL SELECT users.u, 10, coalesce(q.s, []), list_filter(['Paragraph ' || q.x, 'Paragraph ' || q.z], lambda x: x IS NOT NULL) FROM users LEFT JOIN q USING (u)
+UNION ALL SELECT u, 11, CASE WHEN foot IS NULL THEN [] ELSE ['Footer, section 1: ' || CASE u % 4 WHEN 1 THEN 'page field' WHEN 2 THEN 'typed number in “Page 3”' ELSE 'no page number' END] END, CASE WHEN u % 4 IN (1, 2) THEN ['Footer, section 1'] ELSE [] END FROM z
+UNION ALL SELECT u, 13, CASE WHEN foot IS NULL THEN [] ELSE ['Footer, section 1: ' || foot] END, CASE WHEN foot IS NULL THEN [] ELSE ['Footer, section 1'] END FROM z""")
+def rule_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rules 3, 6, 10, 11 and 13 saw and where: ordered lists, with sections, snippets and notes (A5, A12, F-H, F14, O1)."""
+    return engine.evaluate(events_model(spark, sf_dir), CONFIG, [3, 6, 10, 11, 13]).select("doc_id", "rule_id", "evidence", "locations")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import dates as D
@@ -54,7 +54,7 @@ def _paragraphs(m: Model, c: Config, dated: bool, checked: bool) -> DataFrame:
     wide = F.col("level").isNull() & ~F.col("in_table") & (F.col("words") >= c.min_words_for_language)
     p = p.withColumn("issues", F.when(wide, c.checker(text)) if checked else F.lit(None).cast(ISSUE))
     p = p.withColumn("flow_pos", F.row_number().over(order) - 1)
-    section = F.last(F.when(F.col("heading"), text), ignorenulls=True).over(order.rowsBetween(-(1 << 31), 0))
+    section = F.last(F.when(F.col("heading"), text), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     p = p.withColumn("place", X.locator(F.coalesce("location", F.format_string("Block %d", "block_index")), section))
     reach = max(1, c.date_window)
     near = F.collect_list(F.when(F.size("dates") > 0, F.struct(F.col("flow_pos").alias("pos"), "t", first(F.col("dates")).alias("day")))).over(order.rowsBetween(-reach, reach))
