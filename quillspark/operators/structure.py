@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as X
+
+
 def in_order():
     return Window.partitionBy("doc_id").orderBy("block_index")
 
@@ -129,6 +132,21 @@ def first_paragraphs(flow: DataFrame, most: int = 20, width: int = 160) -> DataF
     return flow.filter(F.col("flow_pos") < most).select("doc_id", "block_index", "flow_pos", cut.alias("shown"))
 
 
+def section_view(blocks: DataFrame, section: str) -> DataFrame:
+    """Blocks of the sections with this heading (as a key): from the heading to the next one of its level or above."""
+    named = X.normalize_key(X.strip_leading_number(F.col("text"))) == X.normalize_key(F.lit(section))
+    heads = blocks.filter("level is not null and not in_table").select("doc_id", "block_index", "level", "text")
+    wanted = heading_ranges(heads).join(heads.filter(named).select("doc_id", "block_index"), ["doc_id", "block_index"], "left_semi")
+    wanted = wanted.select(F.col("doc_id").alias("_d"), F.col("block_index").alias("_a"), F.col("until").alias("_u"))
+    inside = (blocks["doc_id"] == F.col("_d")) & (blocks["block_index"] >= F.col("_a")) & (F.col("_u").isNull() | (blocks["block_index"] < F.col("_u")))
+    return blocks.join(wanted, inside, "left_semi")
+
+
+def summary_view(blocks: DataFrame) -> DataFrame:
+    """Headings alone: a document's outline."""
+    return blocks.filter("level is not null and not in_table").select("doc_id", "block_index", "level", "text")
+
+
 def with_section_text(blocks: DataFrame) -> DataFrame:
     """With section_text: the text of the nearest heading at or before."""
     head = F.when(F.col("level").isNotNull(), F.col("text"))

@@ -13,15 +13,16 @@ from quillspark.rules.model import Model
 ITEMS = "block_index int, kind string, text string, level int, table_index int, location string"
 
 
-def extraction(m: Model) -> DataFrame:
-    """doc_id, filename, blocks (paragraphs outside tables and table references, in order) and tables (rows of cell texts)."""
+def extraction(m: Model, dates: DataFrame | None = None) -> DataFrame:
+    """doc_id, filename, blocks (paragraphs outside tables and table references, in order) and tables (rows of cell texts); with ``dates`` (``packages.core_dates``) created and modified."""
     text = m.paragraphs.filter("not in_table").select("doc_id", "block_index", F.lit("paragraph").alias("kind"), "text", "level", F.lit(None).cast("int").alias("table_index"), "location")
     rows = m.cells.groupBy("doc_id", "table_index", "row").agg(F.min("block_index").alias("block_index"), F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda s: s["text"]).alias("cells"))
     tables = rows.groupBy("doc_id", "table_index").agg(F.min("block_index").alias("block_index"), F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda s: s["cells"]).alias("rows"))
     refs = tables.select("doc_id", "block_index", F.lit("table").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("level"), "table_index", F.format_string("Table %d", F.col("table_index") + 1).alias("location"))
     blocks = text.unionByName(refs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_index", "kind", "text", "level", "table_index", "location"))).alias("blocks"))
     tables = tables.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("table_index", "rows"))).alias("tables"))
-    return m.docs.select("doc_id", "filename").join(blocks, "doc_id", "left").join(tables, "doc_id", "left")
+    out = m.docs.select("doc_id", "filename").join(blocks, "doc_id", "left").join(tables, "doc_id", "left")
+    return out if dates is None else out.join(dates.select("doc_id", "created", "modified"), "doc_id", "left")
 
 
 def write_extractions(rows: DataFrame, path: str) -> None:
@@ -29,10 +30,15 @@ def write_extractions(rows: DataFrame, path: str) -> None:
     rows.withColumn("stem", F.col("doc_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stem").json(path)
 
 
-def read_extractions(spark: SparkSession, path: str) -> DataFrame:
-    """Extractions of a folder; ``pathGlobFilter`` and order are the reader's to add, as rows are keyed by doc_id."""
-    schema = f"doc_id string, filename string, blocks array<struct<{ITEMS}>>, tables array<struct<table_index int, rows array<array<string>>>>"
-    return spark.read.schema(schema).json(path)
+def read_extractions(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """Extractions of a folder's files whose names match ``pattern``; created and modified where they were written."""
+    schema = f"doc_id string, filename string, created timestamp, modified timestamp, blocks array<struct<{ITEMS}>>, tables array<struct<table_index int, rows array<array<string>>>>"
+    return spark.read.schema(schema).option("pathGlobFilter", pattern).json(path)
+
+
+def in_name_order(extractions: DataFrame) -> DataFrame:
+    """With ins_ord, ascending in the order of file names (then doc_id): rows are sorted by ranges, not in one task, and numbers have gaps between these."""
+    return extractions.orderBy("filename", "doc_id").withColumn("ins_ord", F.monotonically_increasing_id())
 
 
 def records(extractions: DataFrame) -> DataFrame:

@@ -110,3 +110,15 @@ def test_embeddings_of_batches(spark):
         for w in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split():
             v[(zlib.crc32(w.encode()) >> 1) % 7] += 1 if zlib.crc32(w.encode()) & 1 else -1
         assert vector is None if not v.any() else np.allclose(vector, v / np.linalg.norm(v))
+
+
+def test_views_order_and_dates(spark, extracted, tmp_path):
+    from quillspark.operators import structure
+
+    rows = [("d", 0, "1. Purpose", 1), ("d", 1, "why", None), ("d", 2, "Detail", 2), ("d", 3, "more", None), ("d", 4, "Scope", 1), ("d", 5, "where", None), ("e", 0, "why", None)]
+    blocks = spark.createDataFrame([(*r, False) for r in rows], "doc_id string, block_index int, text string, level int, in_table boolean")
+    assert [r.block_index for r in structure.section_view(blocks, "purpose").orderBy("block_index").collect()] == [0, 1, 2, 3]
+    assert [r.text for r in structure.summary_view(blocks).orderBy("block_index").collect()] == ["1. Purpose", "Detail", "Scope"]
+    assert [r.filename for r in store.in_name_order(extracted).orderBy("ins_ord").collect()] == ["one.docx", "two.docx"]
+    store.write_extractions(extracted.drop("created").withColumn("created", F.lit("2024-01-02 03:04:05").cast("timestamp")), str(tmp_path / "x"))
+    assert {r.created.year for r in store.read_extractions(spark, str(tmp_path / "x")).collect()} == {2024} and store.read_extractions(spark, str(tmp_path / "x"), "none*").count() == 0
