@@ -26,8 +26,8 @@ from .common import Staged, some_rows, text_bytes
 
 #: Ids of a block and, about, of a run of blocks (one task's share of the ordered ids).
 BLOCK, PART = 4 * rans.SEGMENT, 1 << 23
-#: Pieces of text that a worker remembers the ids of, the longest, and bits of a filter of those that came once.
-HELD_PIECES, LONGEST_PIECE, FILTER = 200_000, 40, 1 << 24
+#: Pieces of text that a worker remembers the ids of, the longest, and bytes of texts that are coded together.
+HELD_PIECES, LONGEST_PIECE, TOGETHER = 300_000, 40, 12 << 20
 #: A run of letters (of any script's that are letters for sure) and what follows it, from another ASCII character on.
 HEAD = re.compile("( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-@[-`{-~\n].*)", re.DOTALL)
 #: White space and what might be taken for it; a blank next to one of these is no place to cut.
@@ -59,8 +59,6 @@ class Encoder:
         self.blank[[i for w, i in words.items() if w[0] == "\u0120"]] = True  # a blank's letter in such files
         #: Ids of pieces that follow a blank, and of other parts under a blank and the part.
         self.held: dict[str, bytes] = {}
-        #: Bits of the pieces that came once.
-        self.seen = bytearray(FILTER // 8)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -79,8 +77,9 @@ class Encoder:
     def _after_blanks(self, parts: list[str]) -> list[bytes]:
         """Every part as it is coded after a blank, many at a time: a part begins where a token begins with a blank."""
         out = []
-        for at in range(0, len(parts), 256):
-            ids = np.array(self.library.encode(" " + " ".join(parts[at : at + 256]), add_special_tokens=False).ids, self.type)
+        joined = [" " + " ".join(parts[at : at + 256]) for at in range(0, len(parts), 256)]
+        for e in (e for at in range(0, len(joined), 64) for e in self.library.encode_batch_fast(joined[at : at + 64], add_special_tokens=False)):
+            ids = np.array(e.ids, self.type)
             data, starts = ids.tobytes(), (np.flatnonzero(self.blank[ids]) * self.width).tolist()
             out += [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
         return out
@@ -94,25 +93,18 @@ class Encoder:
         for at in range(0, len(bare), 256):
             new.update(zip(bare[at : at + 256], self.whole([k[1:] for k in bare[at : at + 256]]), strict=True))
         of = lambda x: new[x] if x in new else self.held[x]
-        out = [of(x) if y is None else of(x) + of(y) for x, y in halves]
-        if len(self.held) > HELD_PIECES:  # what came first is what is frequent
-            self.held = dict(islice(self.held.items(), HELD_PIECES // 2))
-        for keys, ids in ((new, new.values()), (fresh, out)):
-            for k, x in zip(keys, ids, strict=True):
-                # of the pieces that come for the first time most never come again
-                h = hash(k) & (FILTER - 1)
-                if self.seen[h >> 3] >> (h & 7) & 1:
-                    if len(k) <= LONGEST_PIECE:
-                        self.held[k] = x
-                else:
-                    self.seen[h >> 3] |= 1 << (h & 7)
-        return out
+        return [of(x) if y is None else of(x) + of(y) for x, y in halves]
 
-    def _known(self, keys: list[str]) -> list[bytes]:
+    def _known(self, keys: list[str], counts: list[int]) -> list[bytes]:
+        """Ids of all ``keys``; those that came more than once are remembered, as most others never come again."""
         out = list(map(self.held.get, keys))
         missed = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(missed, self._learn([keys[i] for i in missed]), strict=True):
             out[i] = x
+            if counts[i] > 1 and len(keys[i]) <= LONGEST_PIECE:
+                self.held[keys[i]] = x
+        if len(self.held) > HELD_PIECES:  # what came first is what is frequent
+            self.held = dict(islice(self.held.items(), HELD_PIECES // 2))
         return out
 
     def __call__(self, texts: pa.Array, end: bytes = b"") -> tuple[pa.Array, np.ndarray]:
@@ -125,10 +117,10 @@ class Encoder:
         coded = lists.flatten().dictionary_encode()
         pieces, of = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
         easy = np.array(list(map(plain, pieces)), bool)
-        ids = self._known([p if e else "a" for p, e in zip(pieces, easy.tolist(), strict=True)])
+        ids = self._known([p if e else "a" for p, e in zip(pieces, easy.tolist(), strict=True)], np.bincount(of, minlength=len(pieces)).tolist())
         first = [pieces[k] for k in of[at[:-1]]]
         odd = np.add.reduceat(~easy[of], at[:-1]) > 0  # texts with a piece that can't be cut from its neighbours
-        ahead = self._known(["a" if o else f" {p}" for p, o in zip(first, odd.tolist(), strict=True)])
+        ahead = self._known(["a" if o else f" {p}" for p, o in zip(first, odd.tolist(), strict=True)], [1] * len(first))
         for i in np.flatnonzero(odd).tolist():
             own = of[at[i] : at[i + 1]]
             ahead[i] = b"".join(self._joined([pieces[k] for k in own], [ids[k] for k in own])) if len(own) > 1 or first[i] else b""
@@ -160,30 +152,27 @@ def plain(piece: str) -> bool:
     return bool(piece) and piece[0] not in SPACES and piece[-1] not in SPACES
 
 
+CODED = "doc_id long, n_ids long, width int, ids binary, tokens array<long>, counts array<long>"
+
+
 def _coded(path: str, end_id: int):
+    """Every row's ids; and a last row without ids for how often the task saw each."""
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        end = np.array([end_id], encoder.type).tobytes()
+        end, total = np.array([end_id], encoder.type).tobytes(), np.zeros(max(len(encoder.blank), end_id + 1), np.int64)
+        names, lists = [x.split()[0] for x in CODED.split(", ")], pa.list_(pa.int64())
         for batch in batches:
-            for at, to in some_rows(batch.column(1), 4 << 20):
+            for at, to in some_rows(batch.column(1), TOGETHER):
                 ids, n = encoder(batch.column(1)[at:to].cast(pa.string()), end)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], pa.array(n), pa.array([encoder.width] * len(n), pa.int32()), ids], names=["doc_id", "n_ids", "width", "ids"])
+                total += np.bincount(np.frombuffer(ids.buffers()[2], encoder.type, int(n.sum())), minlength=len(total))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], pa.array(n), pa.array([encoder.width] * len(n), pa.int32()), ids, pa.nulls(len(n), lists), pa.nulls(len(n), lists)], names=names)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.array([encoder.width], pa.int32()), pa.nulls(1, pa.binary()), pa.array([some], lists), pa.array([total[some]], lists)], names=names)
 
     return code
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for width, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.bincount(np.frombuffer(ids, f"<u{width}"))
-            if len(own) > len(total):
-                total, own = own, total
-            total[: len(own)] += own
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "n"])
-
-
 BLOCKS = "part int, block int, first long, n_ids int, before long, after long, doc_ids array<long>, sizes array<int>, payload binary"
 
 
@@ -228,9 +217,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bl
     may span many blocks; ``block`` and ``part`` are numbers of ids.
     """
     spark, staged = docs.sparkSession, Staged(docs.sparkSession, "tokens")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t")).mapInArrow(_coded(tokenizer, end_id), "doc_id long, n_ids long, width int, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t")).mapInArrow(_coded(tokenizer, end_id), CODED)
     rows = staged.put(rows.withColumns({"_crc": F.crc32("ids"), "_seq": F.monotonically_increasing_id()}), "ids")
-    counts = rows.select("width", "ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = rows.filter("ids is null").select(F.inline(F.arrays_zip(F.col("tokens").alias("id"), F.col("counts").alias("n")))).groupBy("id").agg(F.sum("n").alias("n"))
+    rows = rows.filter("ids is not null").drop("tokens", "counts")
     counts = {r["id"]: r["n"] for r in counts.collect()}  # as many rows as the tokenizer has ids, at most
     shares, total = rans.frequencies(counts), sum(counts.values())
     spark.createDataFrame(sorted(shares.items()), "id long, frequency long").coalesce(1).write.parquet(f"{path}/model")
