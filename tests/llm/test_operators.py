@@ -12,8 +12,9 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quillspark.llm import ann, decontam, jaccard, lines, maskedlm, mixing, secrets, toxicity, urls, warc
+from quillspark.llm import ann, decontam, jaccard, lines, maskedlm, mixing, secret_levels, secrets, toxicity, urls, warc
 from quillspark.llm.common import BLANKS, LETTERS, Lookup, hash_words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, score string, n_words string"
@@ -360,6 +361,36 @@ def test_random_tokens_are_found_whatever_surrounds_them(spark):
     assert [len([i for i in found[0] if i // 20 == k]) >= 10 for k in range(5)] == [True] * 5
 
 
+def test_few_of_the_reported_tokens_are_words_however_many_there_are(spark):
+    rng = random.Random(9)
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    nulls = secret_levels.null_strings(texts, 64).cache()
+    words = [r["token"] for r in nulls.filter("range = 32 and not single").limit(3000).collect()]
+    hidden = ["".join(rng.choices(string.ascii_letters + string.digits, k=32)) for _ in range(150)]
+    rows = [(i, f"see {t} there", "a") for i, t in enumerate(hidden + words)]
+    out = {r["doc_id"]: r["s"] for r in secrets.scan_secrets(docs(spark, rows)).select("doc_id", secrets.listed("all").alias("s")).collect()}
+    true, false = (sum("random" in out[i] for i in of) for of in (range(150), range(150, len(rows))))
+    assert len(words) > 2000 and true >= 60 and false <= 0.15 * (true + false)
+    # the table of levels holds for other words than it was fitted on
+    scored = secrets.with_chances(secrets.battery(nulls.filter("range in (20, 32, 64)").drop("range")))
+    shares = scored.groupBy("range", "single").agg(*[F.avg((F.col("p") <= t).cast("double")).alias(str(i)) for i, t in enumerate((0.05, 0.01))]).collect()
+    assert len(shares) == 6 and all(r["0"] <= 0.075 and r["1"] <= 0.02 for r in shares)
+
+
+def test_step_up_rule_against_a_plain_version(spark):
+    rng = random.Random(2)
+    rows = [(f"t{i}", rng.choice(["lower", "base62"]), rng.choice([20, 32]), rng.choice([1.0] * 6 + list(secrets.TAILS))) for i in range(160)]
+    rows += [("one", "hex_upper", 20, 0.02), ("none", "decimal", 20, 0.05)] + [("often", "decimal", 64, 0.05)] * 50
+    want = set()
+    for family in {r[1:3] for r in rows}:
+        own = {r[0]: r[3] for r in rows if r[1:3] == family}
+        w = (1 + sum(p > 0.05 for p in own.values())) / 0.95
+        best = max((t for t in secrets.TAILS if (r := sum(p <= t for p in own.values())) and t in own.values() and w * t <= 0.05 * r), default=0)
+        want |= {t for t, p in own.items() if p <= best}
+    got = {r["token"] for r in secrets.discoveries(spark.createDataFrame(rows, "token string, encoding string, range int, p double")).collect()}
+    assert got == want and "one" in got and "often" not in got and 0 < len(got) < 160
+
+
 def test_lines_against_plain_counts(spark):
     rng = random.Random(6)
     pool = [f"Line number {i} of the common pool" for i in range(30)] + ["short", ""]
