@@ -176,6 +176,8 @@ LETTERS = fold_table(lambda b: not (b >= 0x80 or 0x30 <= b <= 0x39 or 0x41 <= b
 
 #: Bits of a marking bitmap for each number, and the most bits at all (128 MB); beyond, more unmarked numbers pass.
 MARK_EACH, MARK_MOST, MARK_SLICES = 12, 1 << 30, 64
+#: Bytes of a bitmap that come to the driver by one job.
+MARK_AT_ONCE = 8 << 20
 
 
 def _spots(numbers: pa.Array, bits: int) -> np.ndarray:
@@ -215,9 +217,9 @@ def marks(numbers: DataFrame) -> tuple[bytes, int]:
     """A bitmap of the hashes of ``numbers`` (one column of longs) and its bits, which follow their count."""
     bits = min(MARK_MOST, 1 << max(16, math.ceil(math.log2(max(1, numbers.count()) * MARK_EACH))))
     parts = numbers.mapInArrow(_mark(bits), "slice long, marks binary")
-    merged = parts.repartition(MARK_SLICES // 8, "slice").sortWithinPartitions("slice").mapInArrow(_merge_marks, "slice long, marks binary")
+    merged = parts.repartition(MARK_SLICES // 8, "slice").sortWithinPartitions("slice").mapInArrow(_merge_marks, "slice long, marks binary").coalesce(MARK_SLICES // 8)
     out, each = bytearray(bits // 8), bits // 8 // MARK_SLICES
-    for row in merged.toLocalIterator():
+    for row in merged.collect() if len(out) <= MARK_AT_ONCE else merged.toLocalIterator():  # a job for all, or one for each partition
         out[row["slice"] * each : (row["slice"] + 1) * each] = row["marks"]
     return bytes(out), bits
 

@@ -478,9 +478,9 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     put = staged.put
     scan = put(docs.select("doc_id", text_bytes().alias("t")).mapInArrow(_scan(width), SCAN), "scan")
     slices = scan.filter("kind = 1").select("number", "counts")
-    summed = slices.repartition(SLICES // 8, "number").sortWithinPartitions("number").mapInArrow(_sum_counts, "number long, counts binary")
+    summed = slices.repartition(SLICES // 8, "number").sortWithinPartitions("number").mapInArrow(_sum_counts, "number long, counts binary").coalesce(SLICES // 8)
     counts, each = bytearray(4 << SKETCH_BITS), (4 << SKETCH_BITS) // SLICES
-    for row in summed.toLocalIterator():  # 4 bytes for each of the sketch's cells, whatever the input
+    for row in summed.collect():  # 8 MB, 4 bytes for each of the sketch's cells, whatever the input
         counts[row["number"] * each : (row["number"] + 1) * each] = row["counts"]
     members = scan.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "print", "bins")
     classes = members.filter("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("bins").alias("bins"), F.count(F.lit(1)).alias("_rows"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann, decontam, jaccard, lines, maskedlm, mixing, secret_levels, secrets, toxicity, urls, warc
+from quillspark.llm import ann, common, decontam, jaccard, lines, maskedlm, mixing, secret_levels, secrets, toxicity, urls, warc
 from quillspark.llm.common import BLANKS, LETTERS, Lookup, hash_words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, score string, n_words string"
@@ -361,6 +361,20 @@ def test_random_tokens_are_found_whatever_surrounds_them(spark):
     assert [len([i for i in found[0] if i // 20 == k]) >= 10 for k in range(5)] == [True] * 5
 
 
+@pytest.mark.parametrize("at_once", [8 << 20, 0])
+def test_marks_take_few_jobs_whatever_the_partitions(spark, monkeypatch, at_once):
+    frame, numbers = type(spark.range(0)), spark.range(0, 3000, 3)
+    deal = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *by: deal(self, max(n, 211), *by))
+    monkeypatch.setattr(common, "MARK_AT_ONCE", at_once)
+    spark.sparkContext.setJobGroup(f"marks{at_once}", "marks")
+    bitmap, bits = common.marks(numbers)
+    spark.sparkContext.setJobGroup("others", "others")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"marks{at_once}")) <= 30
+    likely = common.may_be_marked(pa.array(range(3000)), bitmap, bits).to_pylist()
+    assert all(likely[::3]) and sum(likely) < 1500
+
+
 def test_few_of_the_reported_tokens_are_words_however_many_there_are(spark):
     rng = random.Random(9)
     texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
