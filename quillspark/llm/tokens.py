@@ -9,7 +9,6 @@ among all ids.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -26,10 +25,12 @@ from .common import Staged, some_rows, text_bytes
 
 #: Ids of a block and, about, of a run of blocks (one task's share of the ordered ids).
 BLOCK, PART = 4 * rans.SEGMENT, 1 << 23
-#: Pieces of text that a worker remembers the ids of, the longest, and bytes of texts that are coded together.
-HELD_PIECES, LONGEST_PIECE, TOGETHER = 300_000, 40, 12 << 20
-#: A run of letters (of any script's that are letters for sure) and what follows it, from another ASCII character on.
-HEAD = re.compile("( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-@[-`{-~\n].*)", re.DOTALL)
+#: Words that a worker remembers the ids of, the longest, and bytes of texts that are coded together.
+HELD_WORDS, LONGEST_WORD, TOGETHER = 320_000, 40, 12 << 20
+#: Characters that the library gets at a time.
+AT_ONCE = 1 << 12
+#: Pieces of text that are a run of letters (of any script's that are letters for sure) and a rest, from another ASCII character on.
+HALVES = "(?s)\\A(?P<head>[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)(?P<rest>[!-@\\[-`{-~\n].*)\\z"
 #: White space and what might be taken for it; a blank next to one of these is no place to cut.
 SPACES = frozenset(map(chr, (*range(0x21), *range(0x7F, 0xA1), 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
 
@@ -57,8 +58,9 @@ class Encoder:
         self.width = int(self.type[2])
         self.blank = np.zeros(max(words.values()) + 1, bool)
         self.blank[[i for w, i in words.items() if w[0] == "\u0120"]] = True  # a blank's letter in such files
-        #: Ids of pieces that follow a blank, and of other parts under a blank and the part.
+        #: Ids of words that follow a blank, and of those that don't under a blank and the word.
         self.held: dict[str, bytes] = {}
+        self.lead = len(self.whole([" a"])[0])
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -70,41 +72,51 @@ class Encoder:
             known[path] = cls(path)
         return known[path]
 
+    def _coded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.type) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def whole(self, texts: list[str]) -> list[bytes]:
         """Every text by the library."""
-        return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [ids.tobytes() for some in grouped(texts) for ids in self._coded(some)]
 
     def _after_blanks(self, parts: list[str]) -> list[bytes]:
         """Every part as it is coded after a blank, many at a time: a part begins where a token begins with a blank."""
         out = []
-        joined = [" " + " ".join(parts[at : at + 256]) for at in range(0, len(parts), 256)]
-        for e in (e for at in range(0, len(joined), 64) for e in self.library.encode_batch_fast(joined[at : at + 64], add_special_tokens=False)):
-            ids = np.array(e.ids, self.type)
+        for some in grouped(parts):
+            ids = self._coded([" " + " ".join(some)])[0]
             data, starts = ids.tobytes(), (np.flatnonzero(self.blank[ids]) * self.width).tolist()
             out += [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
         return out
 
-    def _learn(self, fresh: list[str]) -> list[bytes]:
-        """Ids of pieces that nothing remembers, from those of their letters and of what follows."""
-        halves = [(m[1], f" {m[2]}") if (m := HEAD.fullmatch(k)) else (k, None) for k in fresh]
-        want = {x for own in halves for x in own if x is not None and x not in self.held}
-        spaced, bare = [k for k in want if k[0] != " "], [k for k in want if k[0] == " "]
-        new = dict(zip(spaced, self._after_blanks(spaced), strict=True))
-        for at in range(0, len(bare), 256):
-            new.update(zip(bare[at : at + 256], self.whole([k[1:] for k in bare[at : at + 256]]), strict=True))
-        of = lambda x: new[x] if x in new else self.held[x]
-        return [of(x) if y is None else of(x) + of(y) for x, y in halves]
-
-    def _known(self, keys: list[str], counts: list[int]) -> list[bytes]:
-        """Ids of all ``keys``; those that came more than once are remembered, as most others never come again."""
-        out = list(map(self.held.get, keys))
-        missed = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(missed, self._learn([keys[i] for i in missed]), strict=True):
+    def _after_letters(self, parts: list[str]) -> list[bytes]:
+        """Every part as it is coded after a letter, or by itself: it begins with another ASCII character than letters and blanks."""
+        return [x[self.lead :] for x in self._after_blanks([f"a{p}" for p in parts])]
+
+    def _ids(self, words: pa.Array, blank: bool, learn) -> list[bytes]:
+        """Ids of different ``words``, by ``learn`` if nothing remembers them."""
+        keys = listed(words)
+        names = keys if blank else [f" {k}" for k in keys]
+        out = list(map(self.held.get, names))
+        fresh = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(fresh, learn([keys[i] for i in fresh]), strict=True):
             out[i] = x
-            if counts[i] > 1 and len(keys[i]) <= LONGEST_PIECE:
-                self.held[keys[i]] = x
-        if len(self.held) > HELD_PIECES:  # what came first is what is frequent
-            self.held = dict(islice(self.held.items(), HELD_PIECES // 2))
+            if len(keys[i]) <= LONGEST_WORD:
+                self.held[names[i]] = x
+        if len(self.held) > HELD_WORDS:  # what came first is what is frequent
+            self.held = dict(islice(self.held.items(), HELD_WORDS // 2))
+        return out
+
+    def _known(self, pieces: pa.Array, blank: bool) -> list[bytes]:
+        """Ids of all ``pieces`` (after a ``blank`` or not), from those of their letters and of what follows."""
+        halves = pc.extract_regex(pieces, HALVES)
+        heads = pc.coalesce(pc.struct_field(halves, "head"), pieces).dictionary_encode()
+        rests = pc.struct_field(halves, "rest").dictionary_encode()
+        first = self._ids(heads.dictionary, blank, self._after_blanks if blank else self.whole)
+        then = self._ids(rests.dictionary, False, self._after_letters)
+        out = list(map(first.__getitem__, heads.indices.to_numpy().tolist()))
+        both = np.flatnonzero(rests.indices.is_valid().to_numpy(zero_copy_only=False))
+        for i, k in zip(both.tolist(), rests.indices.drop_null().to_numpy().tolist(), strict=True):
+            out[i] += then[k]
         return out
 
     def __call__(self, texts: pa.Array, end: bytes = b"") -> tuple[pa.Array, np.ndarray]:
@@ -115,12 +127,12 @@ class Encoder:
         lists = pc.split_pattern(texts, " ")
         at = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        pieces, of = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        pieces, of = listed(coded.dictionary), coded.indices.to_numpy().copy()
         easy = np.array(list(map(plain, pieces)), bool)
-        ids = self._known([p if e else "a" for p, e in zip(pieces, easy.tolist(), strict=True)], np.bincount(of, minlength=len(pieces)).tolist())
-        first = [pieces[k] for k in of[at[:-1]]]
+        ids = self._known(pc.if_else(pa.array(easy), coded.dictionary, "a"), True)
+        first = [pieces[k] for k in of[at[:-1]].tolist()]
         odd = np.add.reduceat(~easy[of], at[:-1]) > 0  # texts with a piece that can't be cut from its neighbours
-        ahead = self._known(["a" if o else f" {p}" for p, o in zip(first, odd.tolist(), strict=True)], [1] * len(first))
+        ahead = self._known(pa.array(["a" if o else p for p, o in zip(first, odd.tolist(), strict=True)], pa.string()), False)
         for i in np.flatnonzero(odd).tolist():
             own = of[at[i] : at[i + 1]]
             ahead[i] = b"".join(self._joined([pieces[k] for k in own], [ids[k] for k in own])) if len(own) > 1 or first[i] else b""
@@ -143,10 +155,23 @@ class Encoder:
             if at and to == at + 1 and easy[at]:
                 yield found[at]
             else:
-                yield self.whole([(" " if at else "") + " ".join(pieces[at:to])])[0]
+                yield self._coded([(" " if at else "") + " ".join(pieces[at:to])])[0].tobytes()
             at = to
 
 
+def listed(words: pa.Array) -> list[str]:
+    """A list of ``words``, none of which has a blank; many times faster than ``to_pylist``."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ") if len(words) else []
+
+
+def grouped(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of ``texts`` of about AT_ONCE characters each, one text at least: the library holds much more for each token than its id."""
+    run = (np.cumsum(np.array(list(map(len, texts)), np.int64)) - 1) // AT_ONCE
+    edges = [*np.flatnonzero(np.diff(run, prepend=-2)).tolist(), len(texts)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield texts[a:b]
+
+
 def plain(piece: str) -> bool:
     """Whether a piece between two blanks has something else than white space at both ends."""
     return bool(piece) and piece[0] not in SPACES and piece[-1] not in SPACES

@@ -92,6 +92,44 @@ def test_pieces_have_the_ids_of_whole_texts(text):
     assert encoder(pa.array(texts))[0].to_pylist() == encoder.whole(texts)
 
 
+class Asked:
+    """A tokenizer that notes the texts it is given."""
+
+    def __init__(self, library):
+        self.library, self.texts, self.noted = library, [], lambda texts: None
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += texts
+        self.noted(texts)
+        return self.library.encode_batch_fast(texts, **how)
+
+
+@pytest.mark.parametrize("held", [tokens.HELD_WORDS, 50])
+def test_library_gets_each_word_once(monkeypatch, held):
+    monkeypatch.setattr(tokens, "HELD_WORDS", held)
+    encoder = tokens.Encoder(FILE)
+    # every word in its letters' only place of a batch, with another rest the second time
+    batches = [[f"It's no{rest}\nnext wörd{chr(97 + k // 26)}{chr(97 + k % 26)}{rest} it's{rest}" for k in range(300)] for rest in (".", "\n\n7x'll", "\n\n7x'll", "'s\t!")]
+    right = [encoder.whole(texts) for texts in batches]
+    encoder.library = asked = Asked(encoder.library)
+    for k, texts in enumerate(batches):
+        asked.texts.clear()
+        assert encoder(pa.array(texts))[0].to_pylist() == right[k]
+        if held > 50:
+            assert ("wörd" in " ".join(asked.texts)) == (k == 0)
+            assert len(asked.texts) <= 10 and (k != 2 or not asked.texts)
+
+
+def test_library_gets_long_pieces_a_few_at_a_time():
+    encoder = tokens.Encoder(FILE)
+    texts = [f"{k} a,{k}{'中' * 3000} b{k}{'é' * 3000} {'x.' * 3000}{k}" for k in range(40)] + ["", "z" * 9000, ""]
+    right, sizes = encoder.whole(texts), []
+    encoder.library = asked = Asked(encoder.library)
+    asked.noted = lambda some: sizes.append(sum(map(len, some)))
+    assert encoder(pa.array(texts))[0].to_pylist() == right
+    assert max(sizes) <= 2 * tokens.AT_ONCE + 9000
+
+
 def test_checksums_of_parts():
     data = random.Random(3).randbytes(5000)
     for cut in (0, 1, 17, 4999):
