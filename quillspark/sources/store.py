@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import structure
@@ -41,12 +41,17 @@ def in_name_order(extractions: DataFrame) -> DataFrame:
     return extractions.orderBy("filename", "doc_id").withColumn("ins_ord", F.monotonically_increasing_id())
 
 
+def table_text(rows: Column) -> Column:
+    """Rows of cell texts joined by " | ", one a line; rows of blanks are left out."""
+    full = F.filter(rows, lambda r: F.exists(r, lambda x: F.trim(x) != ""))
+    return F.array_join(F.transform(full, lambda r: F.array_join(F.transform(r, lambda x: F.trim(x)), " | ")), "\n")
+
+
 def records(extractions: DataFrame) -> DataFrame:
     """Ordered records for chunks: paragraphs, and tables as rows of cells joined by " | "; blanks are left out."""
     blocks = extractions.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*")
     tables = extractions.select("doc_id", F.explode("tables").alias("t")).select("doc_id", "t.table_index", "t.rows")
-    full = F.filter("rows", lambda r: F.exists(r, lambda x: F.trim(x) != ""))
-    tables = tables.select("doc_id", "table_index", F.array_join(F.transform(full, lambda r: F.array_join(F.transform(r, lambda x: F.trim(x)), " | ")), "\n").alias("body"))
+    tables = tables.select("doc_id", "table_index", table_text(F.col("rows")).alias("body"))
     out = blocks.join(tables, ["doc_id", "table_index"], "left").withColumn("text", F.coalesce("body", F.trim("text"))).filter("text <> ''")
     return out.select("doc_id", F.col("block_index").alias("ord"), "text", "block_index", "location", "kind", "level", "table_index")
 
